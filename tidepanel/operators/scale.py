@@ -124,19 +124,56 @@ def xs_order(df, keys, value, tie, prefix, bounds=Bounds(), parts=64, number=Tru
     return out.drop("__tied", "__hash", "__bucket", "__sub", "__before", "__same", "__under", "__total")
 
 
-def xs_quantile(df, keys, value, named, tie="instrument", bounds=Bounds()):
-    """Exact linear-interpolated quantiles per group: ``named`` maps an output name to q."""
-    if bounds.names is not None and bounds.names <= GROUP_ROWS:
+def exact_quantiles(df, keys, value, named, bounds=Bounds(), accuracy=100_000):
+    """Exact linear-interpolated quantiles per group (``keys`` may be empty): output name -> q.
+
+    Large groups are never gathered. One pass finds an approximate bracket around every quantile; a second
+    one counts the rows below it and keeps the distinct values inside it, a share of about 4/accuracy.
+    """
+    keys = list(keys)
+    if keys and bounds.names is not None and bounds.names <= GROUP_ROWS:
         return df.groupBy(*keys).agg(*[F.percentile(value, F.lit(q)).alias(n) for n, q in named.items()])
-    r = xs_order(df.select(*keys, tie, value), keys, value, tie, "__q", bounds)
+    v, names = F.col(value), list(named)
+    df = df.select(*keys, value).where(v.isNotNull())
+    points = []
+    for q in named.values():
+        points += [max(q - 2 / accuracy, 0.0), min(q + 2 / accuracy, 1.0)]
+    brackets = df.groupBy(*keys).agg(
+        F.percentile_approx(v, points, F.lit(accuracy)).alias("__at"), F.count(v).alias("__n")
+    )
+    rows = bounds.dates if keys else 1
+    small = bounded(brackets, rows)
+    marked = df.join(small, keys) if keys else df.crossJoin(small)
+    low = [F.col("__at")[2 * i] for i in range(len(names))]
+    high = [F.col("__at")[2 * i + 1] for i in range(len(names))]
+    aggs = [F.max("__n").alias("__n")]
+    for i in range(len(names)):
+        aggs += [
+            F.count(F.when(v < low[i], 1)).alias(f"__under{i}"),
+            F.max(F.when(v < low[i], v)).alias(f"__prev{i}"),
+            F.min(F.when(v > high[i], v)).alias(f"__next{i}"),
+        ]
+    totals = marked.groupBy(*keys).agg(*aggs)
+    inside = F.array_compact(F.array(*[F.when(v.between(low[i], high[i]), F.lit(i)) for i in range(len(names))]))
+    kept = (
+        marked.select(*keys, v.alias("__v"), F.explode(inside).alias("__i")).groupBy(*keys, "__i", "__v").agg(F.count(F.lit(1)).alias("__c"))
+    )
+    upto = F.sum("__c").over(Window.partitionBy(*keys, "__i").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    kept = kept.withColumn("__upto", upto)
+    small = bounded(totals, rows)
+    kept = kept.join(small, keys) if keys else kept.crossJoin(small)
     picks = []
-    for name, q in named.items():
-        at = F.lit(q) * (F.col("__q_n") - 1) + 1
-        low = F.max(F.when(F.col("__q_rn") == F.floor(at), F.col(value)))
-        high = F.max(F.when(F.col("__q_rn") == F.ceil(at), F.col(value)))
-        part = F.max(at - F.floor(at))
-        picks.append((low + (high - low) * part).alias(name))
-    return r.groupBy(*keys).agg(*picks)
+    for i, (name, q) in enumerate(named.items()):
+        at = F.lit(float(q)) * (F.col("__n") - 1)
+        first, last = F.col(f"__under{i}") + F.col("__upto") - F.col("__c"), F.col(f"__under{i}") + F.col("__upto")
+
+        def pick(place):
+            return F.max(F.when((F.col("__i") == i) & (first <= place) & (place < last), F.col("__v")))
+
+        lo = F.coalesce(pick(F.floor(at)), F.max(f"__prev{i}"))
+        hi = F.coalesce(pick(F.ceil(at)), F.max(f"__next{i}"))
+        picks.append((lo + (hi - lo) * F.max(at - F.floor(at))).alias(name))
+    return kept.groupBy(*keys).agg(*picks)
 
 
 def xs_top(df, keys, order, n):

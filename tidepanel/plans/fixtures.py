@@ -98,6 +98,19 @@ def pit(spark, sf_dir):
     )
 
 
+def pred(spark, sf_dir):
+    """Predictions and labels: a momentum factor, two more factors, and the return from the next to the second next week."""
+    from tidepanel.functions.expr import features
+
+    exprs = {
+        "score": "Mean($close,5)/$close",
+        "f_std": "Std($close,5)/$close",
+        "f_vol": "$volume",
+        "label": "Ref($close,-2)/Ref($close,-1)-1",
+    }
+    return features(panel(spark, sf_dir), exprs)
+
+
 # DuckDB table expressions of the same panels
 BARS = """bars AS (
  SELECT CAST(l_suppkey AS VARCHAR) AS instrument, CAST(date_trunc('week', l_shipdate) AS DATE) AS datetime,
@@ -134,3 +147,12 @@ PIT = """pit AS (
   CAST(o_orderdate AS DATE) + CAST(45 + o_orderkey % 60 AS INTEGER) AS date,
   year(o_orderdate) * 100 + quarter(o_orderdate) AS period, o_totalprice AS value, o_orderkey AS seq
  FROM orders JOIN customer ON o_custkey = c_custkey)"""
+PRED = f"""{PANEL}, pred AS (
+ SELECT instrument, datetime, cal_ix, avg(close) OVER w / close AS score, stddev_samp(close) OVER w / close AS f_std, volume AS f_vol,
+  lead(close, 2) OVER p / lead(close, 1) OVER p - 1 AS label
+ FROM panel WINDOW p AS (PARTITION BY instrument ORDER BY datetime), w AS (PARTITION BY instrument ORDER BY datetime ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))"""
+
+
+def avg_rank(x, by):
+    """DuckDB text of an average-tie rank of non-null rows."""
+    return f"(rank() OVER (PARTITION BY {by} ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, {x}) - 1) / 2.0::DOUBLE)"
