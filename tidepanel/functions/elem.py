@@ -27,9 +27,9 @@ def power(a, b):
 
 
 def div(a, b):
+    """x/0 is signed infinity, 0/0 is missing."""
     a, b = lift(a), lift(b)
-    zero = b == 0
-    return F.when(b != 0, no_nan(a / F.when(b != 0, b))).when(zero & (a > 0), F.lit(INF)).when(zero & (a < 0), F.lit(-INF))
+    return F.when(b != 0, a / b).otherwise(F.when((b == 0) & (a != 0), a * INF))
 
 
 def log(a):

@@ -94,7 +94,15 @@ Power = pair("Power", E.power, may_inf=True)
 Add = pair("Add", lambda a, b: a + b)
 Sub = pair("Sub", lambda a, b: a - b)
 Mul = pair("Mul", lambda a, b: a * b)
-Div = pair("Div", E.div, may_inf=True)
+
+
+def Div(a, b):
+    a, b = term(a), term(b)
+    # inf / inf is missing; with one finite side no NaN can appear
+    fn = (lambda cols, env: E.no_nan(E.div(*cols))) if a.may_inf and b.may_inf else (lambda cols, env: E.div(*cols))
+    return Term(f"Div({a},{b})", (a, b), fn, may_inf=True)
+
+
 Greater = pair("Greater", E.greater)
 Less = pair("Less", E.less)
 Gt, Ge, Lt, Le, Eq, Ne = (pair(n, f) for n, f in zip(("Gt", "Ge", "Lt", "Le", "Eq", "Ne"), (E.gt, E.ge, E.lt, E.le, E.eq, E.ne)))
@@ -150,38 +158,165 @@ def rolling(name, fn, position=False, raw=False):
     return make
 
 
-Mean = rolling("Mean", R.mean)
-Sum = rolling("Sum", R.total)
-Std = rolling("Std", R.std)
-Var = rolling("Var", R.var)
 Skew = rolling("Skew", R.skew)
 Kurt = rolling("Kurt", R.kurt)
 Max = rolling("Max", R.highest)
 Min = rolling("Min", R.lowest)
-Quantile = rolling("Quantile", R.quantile)
-Med = rolling("Med", R.median)
 Mad = rolling("Mad", R.mad)
-Rank = rolling("Rank", R.rank)
-Count = rolling("Count", R.count)
 IdxMax = rolling("IdxMax", R.idx_max, position=True, raw=True)
 IdxMin = rolling("IdxMin", R.idx_min, position=True, raw=True)
-Slope = rolling("Slope", R.slope, position=True)
-Rsquare = rolling("Rsquare", R.rsquare, position=True)
-Resi = rolling("Resi", R.resi, position=True)
-WMA = rolling("WMA", R.wma, position=True)
 
 
-def pair_rolling(name, fn):
-    def make(x, y, n):
-        x, y = term(x), term(y)
-        build = lambda cols, env: fn(_input(x, cols[0]), _input(y, cols[1]), env.w, n)
-        return Term(f"{name}({x},{y},{n})", (x, y), build, back=INFINITE if n == 0 else n - 1, window=True)
+def _base(kind, x, n, fn):
+    """A plain window aggregate that several functions share; equal texts are computed once."""
+    return Term(
+        f"_{kind}({x},{n})", (x,), lambda cols, env: fn(_input(x, cols[0]), env).over(R.frame(env.w, n)),
+        back=INFINITE if n == 0 else n - 1, window=True,
+    )
 
-    return make
+
+def _count(x, n):
+    return _base("n", x, n, lambda c, env: F.count(c))
+
+
+def _sum(x, n):
+    return _base("sum", x, n, lambda c, env: F.sum(c))
+
+
+def _values(x, n):
+    return _base("list", x, n, lambda c, env: F.collect_list(c))
+
+
+def _centered(x):
+    """x minus its mean over the task's stretch of the instrument: sums of squares stay well scaled."""
+    build = lambda cols, env: _input(x, cols[0]) - F.avg(_input(x, cols[0])).over(Window.partitionBy(*env.keys))
+    return Term(f"_centered({x})", (x,), build, window=True)
+
+
+def _place(x):
+    """Position of the rows where x is present."""
+    return Term(f"_place({x})", (x,), lambda cols, env: F.when(_input(x, cols[0]).isNotNull(), env.place))
+
+
+def _times(a, b):
+    return Term(f"_times({a},{b})", (a, b), lambda cols, env: cols[0] * cols[1])
+
+
+def _derived(name, text, inputs, fn):
+    return Term(f"{name}({text})", tuple(inputs), lambda cols, env: fn(*cols))
+
+
+def _rolled(name):
+    """Row-count forms; a window below one means an exponential mean."""
+
+    def wrap(make):
+        def outer(x, n, *extra):
+            x = term(x)
+            return EMA(x, n) if 0 < n < 1 else make(x, n, *extra)
+
+        outer.__name__ = name
+        return outer
+
+    return wrap
+
+
+@_rolled("Sum")
+def Sum(x, n):
+    return _sum(x, n)
+
+
+@_rolled("Count")
+def Count(x, n):
+    return _derived("Count", f"{x},{n}", [_count(x, n)], lambda k: k.cast("double"))
+
+
+@_rolled("Mean")
+def Mean(x, n):
+    return _derived("Mean", f"{x},{n}", [_sum(x, n), _count(x, n)], lambda s, k: s / F.when(k > 0, k))
+
+
+def _moments(x, n):
+    c = _centered(x)
+    return [_count(x, n), _sum(c, n), _sum(_times(c, c), n), Max(x, n), Min(x, n)]
+
+
+@_rolled("Var")
+def Var(x, n):
+    return _derived("Var", f"{x},{n}", _moments(x, n), R.var_of_sums)
 
 
-Corr = pair_rolling("Corr", R.corr)
-Cov = pair_rolling("Cov", R.cov)
+@_rolled("Std")
+def Std(x, n):
+    return _derived("Std", f"{x},{n}", [Var(x, n)], F.sqrt)
+
+
+def _line(x, n):
+    """Sums for the regression of x on its position."""
+    c, p = _centered(x), _place(x)
+    return [_count(x, n), _sum(c, n), _sum(_times(c, p), n), _sum(p, n), _sum(_times(p, p), n)]
+
+
+@_rolled("Slope")
+def Slope(x, n):
+    return _derived("Slope", f"{x},{n}", _line(x, n), R.slope_of_sums)
+
+
+@_rolled("Resi")
+def Resi(x, n):
+    here = Term(f"_here({x})", (x,), lambda cols, env: F.when(_input(x, cols[0]).isNotNull(), env.place))
+    return _derived("Resi", f"{x},{n}", [_centered(x), here, Slope(x, n), *_line(x, n)], R.resi_of_sums)
+
+
+@_rolled("Rsquare")
+def Rsquare(x, n):
+    return _derived("Rsquare", f"{x},{n}", [Var(x, n), Slope(x, n), *_line(x, n)], R.rsquare_of_sums)
+
+
+@_rolled("WMA")
+def WMA(x, n):
+    rows = _base("rows", x, n, lambda c, env: F.count(F.lit(1)))
+    place = Term(f"_place_of_row({x})", (x,), lambda cols, env: env.place)
+    px = Term(f"_placed({x})", (x,), lambda cols, env: _input(x, cols[0]) * env.place)
+    return _derived("WMA", f"{x},{n}", [_count(x, n), _sum(x, n), _sum(px, n), rows, place], R.wma_of_sums)
+
+
+@_rolled("Quantile")
+def Quantile(x, n, q):
+    ordered = _derived("_sorted", f"{x},{n}", [_values(x, n)], F.array_sort)
+    return _derived("Quantile", f"{x},{n},{q}", [ordered], lambda v: R.quantile_of_list(v, q))
+
+
+@_rolled("Med")
+def Med(x, n):
+    return Quantile(x, n, 0.5)
+
+
+@_rolled("Rank")
+def Rank(x, n):
+    here = Term(f"_value({x})", (x,), lambda cols, env: _input(x, cols[0]))
+    return _derived("Rank", f"{x},{n}", [here, _values(x, n)], R.rank_in_list)
+
+
+def _paired(x, y):
+    """x where both are present."""
+    build = lambda cols, env: F.when(_input(y, cols[1]).isNotNull(), _input(x, cols[0]))
+    return Term(f"_paired({x},{y})", (x, y), build)
+
+
+def _cross(x, y, n):
+    px, py = _centered(_paired(x, y)), _centered(_paired(y, x))
+    return [_count(px, n), _sum(px, n), _sum(py, n), _sum(_times(px, py), n)]
+
+
+def Cov(x, y, n):
+    x, y = term(x), term(y)
+    return _derived("Cov", f"{x},{y},{n}", _cross(x, y, n), R.cov_of_sums)
+
+
+def Corr(x, y, n):
+    x, y = term(x), term(y)
+    parts = [Cov(x, y, n), Var(_paired(x, y), n), Var(_paired(y, x), n), Var(x, n), Var(y, n)]
+    return _derived("Corr", f"{x},{y},{n}", parts, R.corr_of_vars)
 
 
 def FFillNan(x):
@@ -194,6 +329,22 @@ def BFillNan(x):
     return Term(f"BFillNan({x})", (x,), lambda cols, env: R.next_valid(cols[0], env.w), ahead=INFINITE, window=True, may_inf=x.may_inf)
 
 
+def DayLast(x):
+    """Last non-null value of the trade day on every row of that day."""
+    x = term(x)
+
+    def build(cols, env):
+        day = Window.partitionBy(*env.keys, F.to_date("datetime")).orderBy("cal_ix")
+        return F.last(cols[0], ignorenulls=True).over(day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+
+    return Term(f"DayLast({x})", (x,), build, back=INFINITE, ahead=INFINITE, window=True, may_inf=x.may_inf)
+
+
+def Date(x):
+    x = term(x)
+    return Term(f"Date({x})", (x,), lambda cols, env: F.to_date("datetime"))
+
+
 def EMA(x, n):
     """Exponential mean with weights by absolute position.
 
@@ -273,10 +424,12 @@ def Mask(x, code):
 
 
 class _Env:
-    def __init__(self, keys):
+    def __init__(self, keys, size=0):
         self.keys = keys
         self.w = Window.partitionBy(*keys).orderBy("cal_ix")
         self.pos = F.col("cal_ix")
+        # small numbers inside a chunk, so that sums over squared positions stay exact
+        self.place = (F.col("cal_ix") - F.col("chunk") * size if size else F.col("cal_ix")).cast("double")
 
 
 FUNCTIONS = {
@@ -329,7 +482,7 @@ def lookback_bounds(terms):
     return max([t.back for t in terms], default=0), max([t.ahead for t in terms], default=0)
 
 
-def features(panel, exprs, start=None, end=None, calendar_rows=None, keep=(), chunk_rows=8192):
+def features(panel, exprs, start=None, end=None, calendar_rows=None, keep=(), chunk_rows=2048):
     """Add one column per expression to an aligned panel (instrument, datetime, cal_ix, fields).
 
     The time range is applied after the windows, so a row inside it sees the rows before it. With finite
@@ -358,9 +511,10 @@ def features(panel, exprs, start=None, end=None, calendar_rows=None, keep=(), ch
     chunked = back < INFINITE and ahead < INFINITE and (back or ahead)
     keys = ["instrument"]
     if chunked:
-        df = with_chunks(df, "cal_ix", int(back), int(ahead), chunk_rows)
+        size = max(chunk_rows, 4 * (int(back) + int(ahead) + 1))
+        df = with_chunks(df, "cal_ix", int(back), int(ahead), size)
         keys.append("chunk")
-    env = _Env(keys)
+    env = _Env(keys, size if chunked else 0)
     made = {}
 
     def column(t):
@@ -386,7 +540,7 @@ def features(panel, exprs, start=None, end=None, calendar_rows=None, keep=(), ch
             if t.level == level:
                 step[t.text] = (f"__w{len(made) + len(step)}", t)
                 for i in t.inputs:
-                    if i.inputs and i.text not in made:
+                    if i.inputs and i.text not in made and i.text not in inputs:
                         inputs[i.text] = (f"__i{len(made)}_{len(inputs)}", i)
         # compound inputs become columns once, so that several windows over them do not repeat the work
         if inputs:

@@ -12,22 +12,6 @@ def _null_nan(c):
     return F.when(~F.isnan(c), c)
 
 
-def mean(x, w, n):
-    return F.avg(x).over(frame(w, n))
-
-
-def total(x, w, n):
-    return F.sum(x).over(frame(w, n))
-
-
-def std(x, w, n):
-    return F.stddev_samp(x).over(frame(w, n))
-
-
-def var(x, w, n):
-    return F.var_samp(x).over(frame(w, n))
-
-
 def highest(x, w, n):
     return F.max(x).over(frame(w, n))
 
@@ -36,10 +20,6 @@ def lowest(x, w, n):
     return F.min(x).over(frame(w, n))
 
 
-def count(x, w, n):
-    return F.count(x).over(frame(w, n)).cast("double")
-
-
 def skew(x, w, n):
     """Bias-corrected skewness, three values at least."""
     f = frame(w, n)
@@ -57,14 +37,6 @@ def kurt(x, w, n):
     return F.when((k >= 4) & (F.var_samp(x).over(f) > 1e-14), scale * ((k + 1) * g + 6))
 
 
-def quantile(x, w, n, q):
-    return F.percentile(x, F.lit(q)).over(frame(w, n))
-
-
-def median(x, w, n):
-    return quantile(x, w, n, 0.5)
-
-
 def mad(x, w, n):
     """Mean absolute distance from the mean of the window."""
     f = frame(w, n)
@@ -74,15 +46,21 @@ def mad(x, w, n):
     return far / F.when(F.size(values) > 0, F.size(values))
 
 
-def rank(x, w, n):
+def rank_in_list(x, values):
     """Percentile rank of the current value in its window, ties averaged."""
-    values = F.collect_list(x).over(frame(w, n))
     below = F.aggregate(
         values, F.lit(0.0), lambda acc, v: acc + F.when(v < x, 1.0).when(v == x, 0.5).otherwise(0.0)
     )
     return F.when(x.isNotNull(), (below + 0.5) / F.size(values))
 
 
+def quantile_of_list(ordered, q):
+    at = (F.size(ordered) - 1) * F.lit(float(q))
+    low = F.floor(at).cast("int")
+    a, b = F.get(ordered, low), F.get(ordered, F.ceil(at).cast("int"))
+    return a + (b - a) * (at - low)
+
+
 def idx_max(x, w, n, pos):
     """1-based place of the first maximum, counted from the oldest row; a missing row takes precedence."""
     f = frame(w, n)
@@ -96,44 +74,40 @@ def idx_min(x, w, n, pos):
     return (best["p"] - (pos - F.count(F.lit(1)).over(f))).cast("double")
 
 
-def slope(x, w, n, pos):
-    f = frame(w, n)
-    return F.when(F.count(x).over(f) > 1, F.regr_slope(x, pos.cast("double")).over(f))
+def var_of_sums(k, s, ss, hi, lo):
+    """Sample variance from centred sums; equal values give exactly zero."""
+    v = (ss - s * s / F.when(k > 0, k)) / F.when(k > 1, k - 1)
+    return F.when(k > 1, F.when(hi == lo, F.lit(0.0)).otherwise(F.greatest(v, F.lit(0.0))))
 
 
-def rsquare(x, w, n, pos):
-    f = frame(w, n)
-    return F.when(F.stddev_samp(x).over(f) > 2e-5, _null_nan(F.regr_r2(x, pos.cast("double")).over(f)))
+def slope_of_sums(k, s, sp, p, pp):
+    d = k * pp - p * p
+    return (k * sp - p * s) / F.when(d > 0, d)
 
 
-def resi(x, w, n, pos):
-    f = frame(w, n)
-    p = pos.cast("double")
-    fit = F.regr_intercept(x, p).over(f) + F.regr_slope(x, p).over(f) * p
-    return F.when(F.count(x).over(f) > 1, x - fit)
+def resi_of_sums(c, here, slope, k, s, sp, p, pp):
+    """Last residual: value minus the fitted line at its own position."""
+    return c - s / F.when(k > 0, k) - slope * (here - p / F.when(k > 0, k))
+
+
+def rsquare_of_sums(var, slope, k, s, sp, p, pp):
+    """Explained share; missing in a flat window."""
+    return F.when(var > 4e-10, slope * slope * (pp - p * p / F.when(k > 0, k)) / F.when(k > 1, k - 1) / var)
 
 
-def wma(x, w, n, pos):
+def wma_of_sums(k, s, sp, rows, place):
     """Linear weights scaled to one and then averaged once more over the non-null rows, as the reference defines it."""
-    f = frame(w, n)
-    rows = F.count(F.lit(1)).over(f).cast("double")
-    weighted = F.sum(x * pos).over(f) - (pos - rows) * F.sum(x).over(f)
-    k = F.count(x).over(f)
-    return weighted / (rows * (rows + 1) / 2) / F.when(k > 0, k)
+    return (sp - (place - rows) * s) / (rows * (rows + 1) / 2.0) / F.when(k > 0, k)
 
 
-def cov(x, y, w, n):
-    return F.covar_samp(x, y).over(frame(w, n))
+def cov_of_sums(k, sx, sy, sxy):
+    return (sxy - sx * sy / F.when(k > 0, k)) / F.when(k > 1, k - 1)
 
 
-def corr(x, y, w, n):
-    """Pairwise complete; null when one of the two windows is flat."""
-    f = frame(w, n)
-    px, py = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    sx, sy = F.stddev_samp(px).over(f), F.stddev_samp(py).over(f)
-    both = F.covar_samp(x, y).over(f) / F.when((sx > 0) & (sy > 0), sx * sy)
-    flat = (F.stddev_samp(x).over(f) <= 2e-5) | (F.stddev_samp(y).over(f) <= 2e-5)
-    return F.when(~F.coalesce(flat, F.lit(False)), both)
+def corr_of_vars(cov, px, py, vx, vy):
+    """Pairwise complete; null when one of the two windows is flat (standard deviation within 2e-5 of zero)."""
+    flat = F.coalesce(vx <= 4e-10, F.lit(False)) | F.coalesce(vy <= 4e-10, F.lit(False))
+    return F.when(~flat & (px > 0) & (py > 0), cov / F.sqrt(px * py))
 
 
 def last_valid(x, w):

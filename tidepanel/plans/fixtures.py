@@ -80,6 +80,15 @@ def ticks(spark, sf_dir):
     )
 
 
+def hours(spark, sf_dir):
+    """Hourly bars from ticks on the hourly calendar of all instruments; a day has 24 slots."""
+    t = ticks(spark, sf_dir)
+    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
+    b = P.bars_from_trades(t, F.col("instrument"), hour, F.col("price"), F.col("size"), ["ts", "event_id"])
+    cal = P.build_calendar(t.select(hour.alias("datetime")))
+    return P.align_calendar(b, cal)
+
+
 def quotes(spark, sf_dir):
     step = 0.01 * (F.pmod("event_id", F.lit(5)) + 1)
     return ticks(spark, sf_dir).withColumns({"ask": F.col("price") + step, "bid": F.col("price") - step})
@@ -142,6 +151,13 @@ TICKS = """ticks AS (
   CAST(event_id % 100 + 1 AS DOUBLE) AS size, event_type AS code, event_id, user_id, props FROM events)"""
 QUOTES = f"""{TICKS}, quotes AS (
  SELECT *, price + 0.01::DOUBLE * (event_id % 5 + 1) AS ask, price - 0.01::DOUBLE * (event_id % 5 + 1) AS bid FROM ticks)"""
+HOURS = f"""{TICKS}, hbars AS (
+ SELECT instrument, date_trunc('hour', ts) AS datetime, arg_min(price, row(ts, event_id)) AS open, max(price) AS high, min(price) AS low,
+  arg_max(price, row(ts, event_id)) AS close, sum(price * size) / sum(size) AS vwap, sum(size) AS volume FROM ticks GROUP BY 1, 2),
+ hcal AS (SELECT datetime, CAST(row_number() OVER (ORDER BY datetime) - 1 AS INTEGER) AS cal_ix FROM (SELECT DISTINCT date_trunc('hour', ts) AS datetime FROM ticks)),
+ hspans AS (SELECT instrument, min(datetime) AS a, max(datetime) AS b FROM hbars GROUP BY 1),
+ hours AS (SELECT s.instrument, c.datetime, c.cal_ix, open, high, low, close, vwap, volume FROM hspans s JOIN hcal c ON c.datetime BETWEEN a AND b
+  LEFT JOIN hbars h ON h.instrument = s.instrument AND h.datetime = c.datetime)"""
 PIT = """pit AS (
  SELECT CAST(c_nationkey AS VARCHAR) AS instrument, 'total_q' AS field,
   CAST(o_orderdate AS DATE) + CAST(45 + o_orderkey % 60 AS INTEGER) AS date,

@@ -2,8 +2,6 @@
 
 import re
 
-from pyspark.sql import functions as F
-
 QUERIES = {}
 STATEMENTS = {}
 # Doubles are cut at a fixed digit. Two engines break exact decimal ties differently, so the cut point is moved off them.
@@ -21,23 +19,24 @@ def spark_output(df, cols):
     """Cast to portable types: text, ISO dates, 64-bit integers and doubles cut at a fixed digit."""
     out = []
     for name, kind, digits in _fields(cols):
-        c = F.col(f"`{name}`")
+        c = f"`{name}`"
         if kind == "s":
-            c = c.cast("string")
+            c = f"CAST({c} AS STRING)"
         elif kind == "d":
-            c = F.date_format(c, "yyyy-MM-dd")
+            c = f"date_format({c}, 'yyyy-MM-dd')"
         elif kind == "t":
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+            c = f"date_format({c}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
         elif kind == "i":
-            c = c.cast("bigint")
+            c = f"CAST({c} AS BIGINT)"
         elif kind == "b":
-            c = c.cast("boolean")
+            c = f"CAST({c} AS BOOLEAN)"
         else:
-            c = c.cast("double")
-            cut = F.floor(c * float(10**digits) + _SHIFT) / float(10**digits)
-            c = F.when(F.abs(c) < 1e12, F.when(cut == 0, F.lit(0.0)).otherwise(cut)).when(~F.isnan(c), c)
-        out.append(c.alias(name))
-    return df.select(*out)
+            v = f"CAST({c} AS DOUBLE)"
+            # adding zero turns a negative zero into a plain one
+            cut = f"floor({v} * 1e{digits}D + {_SHIFT}D) / 1e{digits}D + 0D"
+            c = f"CASE WHEN abs({v}) < 1e12D THEN {cut} WHEN NOT isnan({v}) THEN {v} END"
+        out.append(f"{c} AS `{name}`")
+    return df.selectExpr(*out)
 
 
 def duck_output(sql, cols):

@@ -23,6 +23,8 @@ def build_session(app="tidepanel", master=None, partitions=None):
         # hundreds of factor columns in one projection
         .config("spark.sql.codegen.maxFields", "1000")
         .config("spark.sql.debug.maxToStringFields", "50")
+        # call-site capture of every Column call dominates the building of wide factor sets
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
     )
     spark = builder.getOrCreate()
