@@ -175,12 +175,42 @@ def _base(kind, x, n, fn):
     )
 
 
+def _running(kind, x, fn):
+    """Running aggregate from the start of the task's stretch: one update per row, shared by all window lengths."""
+    build = lambda cols, env: fn(_input(x, cols[0])).over(R.frame(env.w, 0))
+    return Term(f"_running_{kind}({x})", (x,), build, window=True)
+
+
+def _windowed(kind, x, n, fn):
+    """A window total as the difference of two running totals, so its cost does not grow with the length."""
+    run = _running(kind, x, fn)
+    if n == 0:
+        return Term(f"_{kind}({x},0)", (run,), lambda cols, env: cols[0], back=INFINITE)
+    zero = F.lit(0.0)
+    diff = lambda cols, env: F.coalesce(cols[0], zero) - F.coalesce(cols[1], zero)
+    return Term(f"_{kind}({x},{n})", (run, Ref(run, n)), diff)
+
+
 def _count(x, n):
-    return _base("n", x, n, lambda c, env: F.count(c))
+    return _windowed("n", x, n, F.count)
 
 
 def _sum(x, n):
-    return _base("sum", x, n, lambda c, env: F.sum(c))
+    return _windowed("sum", x, n, F.sum)
+
+
+def _run_length(x):
+    """How many values in a row, up to here, were equal (missing ones skipped)."""
+    before = lambda cols, env: F.last(_input(x, cols[0]), ignorenulls=True).over(env.w.rowsBetween(Window.unboundedPreceding, -1))
+    prev = Term(f"_before({x})", (x,), before, window=True)
+    seen = _running("n", x, F.count)
+
+    def begin(cols, env):
+        v = _input(x, cols[0])
+        return F.when(v.isNotNull() & (cols[1].isNull() | (v != cols[1])), cols[2])
+
+    started = _running("max", Term(f"_begin({x})", (x, prev, seen), begin), F.max)
+    return Term(f"_run_length({x})", (seen, started), lambda cols, env: cols[0] - cols[1] + 1)
 
 
 def _values(x, n):
@@ -222,7 +252,7 @@ def _rolled(name):
 
 @_rolled("Sum")
 def Sum(x, n):
-    return _sum(x, n)
+    return _derived("Sum", f"{x},{n}", [_sum(x, n), _count(x, n)], lambda s, k: F.when(k > 0, s))
 
 
 @_rolled("Count")
@@ -237,7 +267,7 @@ def Mean(x, n):
 
 def _moments(x, n):
     c = _centered(x)
-    return [_count(x, n), _sum(c, n), _sum(_times(c, c), n), Max(x, n), Min(x, n)]
+    return [_count(x, n), _sum(c, n), _sum(_times(c, c), n), _run_length(x)]
 
 
 @_rolled("Var")
@@ -274,7 +304,7 @@ def Rsquare(x, n):
 
 @_rolled("WMA")
 def WMA(x, n):
-    rows = _base("rows", x, n, lambda c, env: F.count(F.lit(1)))
+    rows = Term(f"_rows({x},{n})", (x,), lambda cols, env: F.count(F.lit(1)).over(R.frame(env.w, n)), back=INFINITE if n == 0 else n - 1, window=True)
     place = Term(f"_place_of_row({x})", (x,), lambda cols, env: env.place)
     px = Term(f"_placed({x})", (x,), lambda cols, env: _input(x, cols[0]) * env.place)
     return _derived("WMA", f"{x},{n}", [_count(x, n), _sum(x, n), _sum(px, n), rows, place], R.wma_of_sums)

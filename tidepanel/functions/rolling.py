@@ -74,10 +74,10 @@ def idx_min(x, w, n, pos):
     return (best["p"] - (pos - F.count(F.lit(1)).over(f))).cast("double")
 
 
-def var_of_sums(k, s, ss, hi, lo):
+def var_of_sums(k, s, ss, equal):
     """Sample variance from centred sums; equal values give exactly zero."""
     v = (ss - s * s / F.when(k > 0, k)) / F.when(k > 1, k - 1)
-    return F.when(k > 1, F.when(hi == lo, F.lit(0.0)).otherwise(F.greatest(v, F.lit(0.0))))
+    return F.when(k > 1, F.when(equal >= k, F.lit(0.0)).otherwise(F.greatest(v, F.lit(0.0))))
 
 
 def slope_of_sums(k, s, sp, p, pp):

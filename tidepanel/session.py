@@ -20,8 +20,6 @@ def build_session(app="tidepanel", master=None, partitions=None):
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "64m")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # hundreds of factor columns in one projection
-        .config("spark.sql.codegen.maxFields", "1000")
         .config("spark.sql.debug.maxToStringFields", "50")
         # call-site capture of every Column call dominates the building of wide factor sets
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
