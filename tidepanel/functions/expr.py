@@ -214,7 +214,7 @@ def _run_length(x):
 
 
 def _values(x, n):
-    return _base("list", x, n, lambda c, env: F.collect_list(c))
+    return _base("list", x, n, F.collect_list)
 
 
 def _centered(x):
@@ -250,9 +250,16 @@ def _rolled(name):
     return wrap
 
 
+def _base(kind, x, n, fn):
+    """A plain window aggregate that several functions share; equal texts are computed once."""
+    build = lambda cols, env: fn(_input(x, cols[0])).over(R.frame(env.w, n))
+    return Term(f"_{kind}({x},{n})", (x,), build, back=INFINITE if n == 0 else n - 1, window=True)
+
+
+# sums and means stay plain window aggregates: a window of one value must give that value exactly
 @_rolled("Sum")
 def Sum(x, n):
-    return _derived("Sum", f"{x},{n}", [_sum(x, n), _count(x, n)], lambda s, k: F.when(k > 0, s))
+    return _base("plain_sum", x, n, F.sum)
 
 
 @_rolled("Count")
@@ -262,7 +269,7 @@ def Count(x, n):
 
 @_rolled("Mean")
 def Mean(x, n):
-    return _derived("Mean", f"{x},{n}", [_sum(x, n), _count(x, n)], lambda s, k: s / F.when(k > 0, k))
+    return _base("plain_mean", x, n, F.avg)
 
 
 def _moments(x, n):

@@ -90,3 +90,102 @@ def day_last(df, value, name="value"):
     df = df.withColumn("__day", F.to_date("ts"))
     last = df.groupBy("instrument", "__day").agg(F.max_by(value, order).alias(name))
     return df.join(last, ["instrument", "__day"], "left").drop("__day")
+
+
+def tresample(ticks, freq, aggs, fill_empty=False):
+    """Aggregates per time bin; with ``fill_empty`` every bin between the first and last one of an instrument exists.
+
+    Bins of one instrument are bounded by the clock, and the aggregates are partial, so a busy instrument does no harm.
+    """
+    out = ticks.groupBy("instrument", F.window("ts", freq)["start"].alias("bin")).agg(*[c.alias(n) for n, c in aggs.items()])
+    if not fill_empty:
+        return out
+    w = Window.partitionBy("instrument").orderBy("bin")
+    step = F.expr(f"interval {freq}")
+    nxt = F.coalesce(F.lead("bin").over(w) - step, F.col("bin"))
+    names = [n for n in aggs]
+    return (
+        out.withColumn("__to", nxt)
+        .select("instrument", F.explode(F.sequence("bin", "__to", step)).alias("__b"), "bin", *names)
+        .select("instrument", F.col("__b").alias("bin"), *[F.when(F.col("__b") == F.col("bin"), F.col(n)).alias(n) for n in names])
+    )
+
+
+def tresample_ffill(ticks, freq, value):
+    """Densify to fixed bins and carry the last value forward: each bin is expanded up to the next one."""
+    last = ticks.groupBy("instrument", F.window("ts", freq)["start"].alias("bin")).agg(F.max_by(value, F.struct("ts", "event_id")).alias(value))
+    w = Window.partitionBy("instrument").orderBy("bin")
+    step = F.expr(f"interval {freq}")
+    to = F.coalesce(F.lead("bin").over(w) - step, F.col("bin"))
+    return last.withColumn("__to", to).select("instrument", F.explode(F.sequence("bin", "__to", step)).alias("bin"), value)
+
+
+def resample_calendar(days, unit, n=1):
+    """Every n-th day, first trade day of each week or of each month, every n-th of them."""
+    d = days.select("datetime")
+    if unit != "day":
+        d = d.groupBy(F.date_trunc(unit, "datetime").alias("__u")).agg(F.min("datetime").alias("datetime"))
+    # a calendar: one row per trade day
+    ix = F.row_number().over(Window.orderBy("datetime")) - 1
+    return d.withColumn("__ix", ix).where(F.col("__ix") % n == 0).select("datetime")
+
+
+def resample_method(df, start, end, method, value, time="datetime"):
+    """One value per instrument over a time range."""
+    v, t = F.col(value), F.col(time)
+    known = F.when(v.isNotNull(), t)
+    agg = {
+        "last": F.max_by(v, t),
+        "first": F.min_by(v, t),
+        "mean": F.avg(v),
+        "sum": F.sum(v),
+        "all": F.bool_and(v) if method == "all" else None,
+        "last_valid": F.max_by(v, known),
+        "first_valid": F.min_by(v, known),
+    }[method]
+    return df.where(t.between(F.lit(start), F.lit(end))).groupBy("instrument").agg(agg.alias(method))
+
+
+def minute_calendar(days, sessions, step="1 minute"):
+    """Session minutes of each trade day; sessions are (first, last) clock times."""
+    one = lambda a, b: F.sequence(*[F.to_timestamp_ntz(F.concat(F.date_format("datetime", "yyyy-MM-dd"), F.lit(f" {t}"))) for t in (a, b)], F.expr(f"interval {step}"))
+    return days.select(F.explode(F.concat(*[one(a, b) for a, b in sessions])).alias("datetime"))
+
+
+def calendar_by_ratio(df, ratio, time="datetime"):
+    """Dates on which at least ``ratio`` of the instruments founded by then traded."""
+    first = df.groupBy("instrument").agg(F.min(time).alias(time)).groupBy(time).agg(F.count(F.lit(1)).alias("founded"))
+    daily = df.select("instrument", time).distinct().groupBy(time).agg(F.count(F.lit(1)).alias("traded"))
+    w = Window.orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    j = daily.join(first, time, "left").withColumn("alive", F.sum(F.coalesce("founded", F.lit(0))).over(w))
+    return j.where(F.col("traded") >= ratio * F.col("alive")).select(time, "traded", "alive")
+
+
+def order_book_features(quotes):
+    """Per minute: relative spread and mid at the last quote, size share, mean change rate against the quote k rows before."""
+    last = lambda c: F.max_by(c, F.struct("ts", "event_id"))
+    g = quotes.groupBy("instrument", F.window("ts", "60 minutes")["start"].alias("bin")).agg(
+        last(F.col("ask") - F.col("bid")).alias("spread"),
+        last(F.col("ask") + F.col("bid")).alias("total"),
+        F.avg("size").alias("mean_size"),
+        F.sum("size").alias("volume"),
+        last("price").alias("last_price"),
+    )
+    return g.select(
+        "instrument", "bin",
+        (2 * F.col("spread") / F.when(F.col("total") != 0, F.col("total"))).alias("p_spread"),
+        (F.col("mean_size") / F.col("volume")).alias("v_share"),
+        "last_price",
+    )
+
+
+def intensity(ticks, code, short_seconds, long_seconds):
+    """Share of one event code over a short and a long time window, per row; averaged per hour by the caller."""
+    flag = (F.col("code") == code).cast("double")
+    df = time_halo(ticks.withColumns({"__us": micros("ts"), "__f": flag}), "ts", long_seconds)
+    part = Window.partitionBy("instrument", "chunk").orderBy("__us")
+    ratio = lambda s: F.sum("__f").over(part.rangeBetween(-s * 1_000_000, 0)) / F.count(F.lit(1)).over(part.rangeBetween(-s * 1_000_000, 0))
+    out = df.withColumns({"short": ratio(short_seconds), "long": ratio(long_seconds)}).where("own")
+    return out.groupBy("instrument", F.window("ts", "60 minutes")["start"].alias("bin")).agg(
+        F.avg("short").alias("intensity"), F.avg((F.col("short") > F.col("long")).cast("double")).alias("relative_intensity")
+    )
