@@ -143,8 +143,11 @@ def large_steps(df, col, limit):
 
 
 def missing_columns(df, required=("open", "high", "low", "close", "volume")):
-    gone = [c for c in required if c not in df.columns]
-    return df.sparkSession.createDataFrame([(c, c in gone) for c in required], "name string, missing boolean")
+    """Required columns that the table lacks, and the filled rows of the others."""
+    have = {c: F.count(c) if c in df.columns else F.lit(0).cast("bigint") for c in required}
+    counts = df.agg(*[v.alias(c) for c, v in have.items()])
+    long = counts.unpivot([], [F.col(c) for c in required], "name", "rows")
+    return long.withColumn("missing", F.col("name").isin([c for c in required if c not in df.columns]))
 
 
 def empty_factor(df, factor, exempt):
