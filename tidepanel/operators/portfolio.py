@@ -247,3 +247,44 @@ def threshold(cov, level, kind="soft"):
     scad = F.when(size <= 2 * level, soft).when(size <= a * level, ((a - 1) * r - F.signum(r) * a * level) / (a - 2)).otherwise(r)
     new = {"hard": F.when(size >= level, r).otherwise(0.0), "soft": soft, "scad": scad}[kind]
     return c.withColumn("cov", F.when(F.col("i") == F.col("j"), F.col("cov")).otherwise(new * F.col("si") * F.col("sj"))).drop("si", "sj", "corr")
+
+
+def pca_covariance(df, names, factors=5, value="ret", limit=5_000):
+    """Structured covariance: factor part from the leading components plus residual variance on the diagonal.
+
+    Rows are dates with one vector over all instruments, so the method is for a checked number of instruments.
+    """
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    if names > limit:
+        raise ValueError(f"structured covariance takes at most {limit} instruments")
+    stats = df.groupBy("instrument").agg(F.avg(value).alias("m"))
+    filled = df.join(bounded(stats, names), "instrument").select("date", "instrument", (F.coalesce(value, "m") - F.col("m")).alias("x")).where("x IS NOT NULL")
+    order = stats.agg(F.array_sort(F.collect_list("instrument")).alias("__names"))
+    byname = filled.groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("instrument", "x"))).alias("by"))
+    rows = byname.crossJoin(F.broadcast(order)).select(
+        "date", "__names", F.transform("__names", lambda n: F.coalesce(F.element_at("by", n), F.lit(0.0))).alias("v")
+    )
+    rows = rows.withColumn("vec", array_to_vector("v"))
+    model = PCA(k=factors, inputCol="vec", outputCol="pc").fit(rows)
+    load = model.pc.toArray()
+    spark = df.sparkSession
+    loads = spark.createDataFrame([(k, [float(x) for x in load[k]]) for k in range(load.shape[0])], "pos int, b array<double>")
+    scored = model.transform(rows).select("__names", "v", vector_to_array("pc").alias("f"))
+    # covariance of the factors: a few numbers
+    pairs = scored.select(F.posexplode("f").alias("a", "fa"), "f").select("a", "fa", F.posexplode("f").alias("b", "fb"))
+    fcov = pairs.groupBy("a", "b").agg(F.covar_samp("fa", "fb").alias("c"))
+    named = order.select(F.posexplode("__names").alias("pos", "instrument")).join(F.broadcast(loads), "pos")
+    one = named.select("instrument", "b")
+    fit = lambda f, b: F.aggregate(F.zip_with(f, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    long = scored.select("f", F.posexplode("v").alias("pos", "x")).join(F.broadcast(loads), "pos")
+    resid = long.groupBy("pos").agg(F.var_samp(F.col("x") - fit(F.col("f"), F.col("b"))).alias("rv"))
+    rv = resid.join(named.select("pos", "instrument"), "pos").select("instrument", "rv")
+    wide = fcov.agg(F.array_sort(F.collect_list(F.struct("a", "b", "c"))).alias("fc"))
+    mid = one.crossJoin(F.broadcast(wide)).select("instrument", F.transform("fc", lambda e: F.struct(e["b"].alias("b"), (F.element_at("b", e["a"] + 1) * e["c"]).alias("c"))).alias("h"))
+    half = mid.select(F.col("instrument").alias("i"), F.explode("h").alias("e")).groupBy("i", F.col("e.b").alias("k")).agg(F.sum("e.c").alias("h"))
+    other = one.select(F.col("instrument").alias("j"), F.posexplode("b").alias("k", "bj"))
+    cov = half.join(other, "k").groupBy("i", "j").agg(F.sum(F.col("h") * F.col("bj")).alias("cov"))
+    d = rv.select(F.col("instrument").alias("i"), "rv")
+    return cov.join(d, "i").withColumn("cov", F.col("cov") + F.when(F.col("i") == F.col("j"), F.col("rv")).otherwise(0.0)).drop("rv")

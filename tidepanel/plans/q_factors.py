@@ -94,15 +94,15 @@ _ROLL_SQL = {
 _ROLL = A.rolling_factors()
 
 
-def _rolling_sql():
+def _rolling_sql(names=tuple(_ROLL_SQL), windows=A.WINDOWS):
     # greatest skips nulls in DuckDB, so the steps keep their null
-    cols = [f"{s.format(d=d).replace('greatest(dc, 0)', 'dc_up').replace('greatest(-dc, 0)', 'dc_dn').replace('greatest(dv, 0)', 'dv_up').replace('greatest(-dv, 0)', 'dv_dn')} AS {n}{d}" for n, s in _ROLL_SQL.items() for d in A.WINDOWS]
-    wins = ", ".join(f"w{d} AS {frame(d)}" for d in A.WINDOWS)
+    cols = [f"{s.format(d=d).replace('greatest(dc, 0)', 'dc_up').replace('greatest(-dc, 0)', 'dc_dn').replace('greatest(dv, 0)', 'dv_up').replace('greatest(-dv, 0)', 'dv_dn')} AS {n}{d}" for n, s in _ROLL_SQL.items() if n in names for d in windows]
+    wins = ", ".join(f"w{d} AS {frame(d)}" for d in windows)
     return f"""WITH {T.PANEL}, s0 AS (SELECT *, lag(close) OVER p AS pc, lag(volume) OVER p AS pv FROM panel WINDOW p AS {P}),
     s1 AS (SELECT *, ln(volume + 1) AS lv, close / pc AS rc, ln(volume / pv + 1) AS rv, CAST(coalesce(close > pc, false) AS INT) AS up, CAST(coalesce(close < pc, false) AS INT) AS dn,
      close - pc AS dc, CASE WHEN close - pc IS NOT NULL THEN greatest(close - pc, 0) END AS dc_up, CASE WHEN close - pc IS NOT NULL THEN greatest(pc - close, 0) END AS dc_dn,
      volume - pv AS dv, CASE WHEN volume - pv IS NOT NULL THEN greatest(volume - pv, 0) END AS dv_up, CASE WHEN volume - pv IS NOT NULL THEN greatest(pv - volume, 0) END AS dv_dn, abs(close / pc - 1) * volume AS wv FROM s0),
-    s2 AS (SELECT *, {', '.join(f'list(close) OVER w{d} AS vs{d}' for d in A.WINDOWS)} FROM s1 WINDOW {wins})
+    s2 AS (SELECT *, {', '.join(f'list(close) OVER w{d} AS vs{d}' for d in windows)} FROM s1 WINDOW {wins})
     SELECT instrument, datetime, {', '.join(cols)} FROM s2 WINDOW p AS {P}, {wins}"""
 
 
@@ -111,6 +111,16 @@ def f158_rolling(spark, sf_dir):
     return X.features(T.panel(spark, sf_dir), _ROLL)
 
 
+# the 14-factor data set of the published timing
+_FOURTEEN = ("ROC", "MA", "STD", "BETA", "RSQR", "RESI", "MAX", "MIN", "QTLU", "QTLD", "RANK", "RSV", "CORR", "CORD")
+_DATASET = A.rolling_factors((10,), _FOURTEEN)
+
+
+@query("dataset_build", KEY + " ".join(f"{n}:f5" for n in _DATASET), _rolling_sql(_FOURTEEN, (10,)))
+def dataset_build(spark, sf_dir):
+    return X.features(T.panel(spark, sf_dir), _DATASET)
+
+
 @query(
     "label_forward",
     KEY + "label:f label_vwap:f",

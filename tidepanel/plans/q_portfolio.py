@@ -303,9 +303,9 @@ def brinson(spark, sf_dir):
 _NAV = lambda ret: f"product(1 + {ret}) OVER {RUN}"
 
 
-@query("topk_periods", "date:d positions:i gross:f turnover:f cost:f ret:f nav:f2", f"WITH {PER} SELECT date, positions, gross, turnover, turnover * 0.001 AS cost, gross - turnover * 0.001 AS ret, {_NAV('gross - turnover * 0.001')} AS nav FROM (SELECT date, positions, gross / 10 AS gross, turnover FROM per)".replace("gross / 10 AS gross", "gross AS gross"))
+@query("topk_periods", "date:d positions:i gross:f turnover:f cost:f ret:f log_nav:f", f"WITH {PER} SELECT date, positions, gross, turnover, turnover * 0.001 AS cost, gross - turnover * 0.001 AS ret, ln({_NAV('gross - turnover * 0.001')}) AS log_nav FROM per")
 def topk_periods(spark, sf_dir):
-    return periods(spark, sf_dir, 1, 0.001)
+    return periods(spark, sf_dir, 1, 0.001).withColumn("log_nav", F.ln("nav"))
 
 
 @query("stress_grid", "lag:i cost:f date:d ret:f", f"WITH {PER}, h2 AS (SELECT p.ix, p.date, p.weight, x.price / e.price - 1 AS r FROM pos p LEFT JOIN px e ON e.instrument = p.instrument AND e.ix = p.ix + 2 LEFT JOIN px x ON x.instrument = p.instrument AND x.ix = p.ix + 6), p2 AS (SELECT ix, date, sum(weight * coalesce(r, 0)) AS gross, any_value(turnover) AS turnover FROM h2 JOIN turn USING (ix) GROUP BY 1, 2), v AS (SELECT unnest([0.0, 0.002]) AS cost) SELECT 1 AS lag, cost, date, gross - turnover * cost AS ret FROM per, v UNION ALL SELECT 2, cost, date, gross - turnover * cost FROM p2, v")
@@ -453,7 +453,7 @@ def position_diff_summary(spark, sf_dir):
     return d.groupingSets([["change"], ["change", "sector"]], "change", "sector").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"))
 
 
-@query("ic_topk_divergence", "date:d ic:f ret:f kind:s", f"WITH {SER}, i AS (SELECT date, corr(score, label) AS ic FROM sig WHERE score IS NOT NULL AND label IS NOT NULL GROUP BY 1 HAVING count(*) > 2) SELECT date, ic, ret - bench AS ret, CASE WHEN ic > 0 AND ret < bench THEN 'ic_good_topk_bad' WHEN ic <= 0 AND ret >= bench THEN 'ic_bad_topk_good' ELSE 'same' END AS kind FROM ser JOIN i USING (date)")
+@query("ic_topk_divergence", "date:d ic:f ret:f kind:s", f"WITH {SER}, i AS (SELECT date, CASE WHEN stddev_samp(score) > 0 AND stddev_samp(label) > 0 THEN corr(score, label) END AS ic FROM sig WHERE score IS NOT NULL AND label IS NOT NULL GROUP BY 1 HAVING count(*) > 2) SELECT date, ic, ret - bench AS ret, CASE WHEN ic > 0 AND ret < bench THEN 'ic_good_topk_bad' WHEN ic <= 0 AND ret >= bench THEN 'ic_bad_topk_good' ELSE 'same' END AS kind FROM ser JOIN i USING (date)")
 def ic_topk_divergence(spark, sf_dir):
     full = sig(spark, sf_dir).where("score IS NOT NULL AND label IS NOT NULL")
     i = full.groupBy("date").agg(E.pearson("score", "label").alias("ic"), F.count(F.lit(1)).alias("n")).where("n > 2")
@@ -534,3 +534,9 @@ def shrink_cov_var(spark, sf_dir):
 @query("threshold_cov", "i:s j:s cov:f", f"WITH {_COV} SELECT i, j, CASE WHEN i = j THEN cov ELSE sign(r) * greatest(abs(r) - 0.05::DOUBLE, 0) * si * sj END AS cov FROM cr")
 def threshold_cov(spark, sf_dir):
     return Q.threshold(_cov(spark, sf_dir), 0.05, "soft")
+
+
+@query("pca_cov", "i:s j:s cov:f")
+def pca_cov(spark, sf_dir):
+    d = sig(spark, sf_dir).withColumn("ret", F.col("label") / 10)
+    return Q.pca_covariance(d, T.bounds(spark, sf_dir).names)
