@@ -44,7 +44,7 @@ def stream_dedupe(spark, sf_dir):
     return _run(spark, L.dedupe(t, ["instrument", "minute"]).select("instrument", "minute"), "dedupe")
 
 
-@query("stream_ema", "instrument:s at:f value:f", f"WITH {T.TICKS}, m AS (SELECT instrument, max(epoch_us(ts)) / 1e6 AS upto FROM ticks GROUP BY 1) SELECT t.instrument, any_value(upto) AS "at", sum(price * pow(0.5, (upto - epoch_us(ts) / 1e6) / 86400)) / sum(pow(0.5, (upto - epoch_us(ts) / 1e6) / 86400)) AS value FROM ticks t JOIN m USING (instrument) GROUP BY 1")
+@query("stream_ema", "instrument:s at:f value:f", f"WITH {T.TICKS}, m AS (SELECT instrument, max(epoch_us(ts)) / 1e6 AS upto FROM ticks GROUP BY 1) SELECT t.instrument, any_value(upto) AS \"at\", sum(price * pow(0.5, (upto - epoch_us(ts) / 1e6) / 86400)) / sum(pow(0.5, (upto - epoch_us(ts) / 1e6) / 86400)) AS value FROM ticks t JOIN m USING (instrument) GROUP BY 1")
 def stream_ema(spark, sf_dir):
     return _run(spark, L.decayed_mean(_ticks(spark, sf_dir).select("instrument", "ts", "price"), 86400.0), "decayed")
 

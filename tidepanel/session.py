@@ -9,7 +9,7 @@ def build_session(app="tidepanel", master=None, partitions=None):
     """A session tuned for panel work; ``master`` stays unset on a cluster."""
     builder = SparkSession.builder.appName(app)
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false")
+        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         builder = builder.config("spark.driver.memory", os.environ.get("TIDEPANEL_DRIVER_MEMORY", "12g"))
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
@@ -18,6 +18,8 @@ def build_session(app="tidepanel", master=None, partitions=None):
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # window work is heavy per byte: do not merge it into fewer tasks than there are cores
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "64m")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.debug.maxToStringFields", "50")
