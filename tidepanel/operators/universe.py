@@ -164,13 +164,13 @@ COMMON_TYPES = ("COMMON", "CS", "ADR")
 EXCLUDED_NAME = r"(?i)\b(warrant|unit|right|preferred|etf|fund|note)s?\b"
 
 
-def equity_filter(df, types=COMMON_TYPES, exchanges=None, allow_adr=True):
+def equity_filter(df, types=COMMON_TYPES, exchanges=None, allow_adr=True, excluded=EXCLUDED_NAME):
     keep = F.col("type").isin(list(types))
     if exchanges:
         keep &= F.col("exchange").isin(list(exchanges))
     if not allow_adr:
         keep &= ~F.coalesce(F.col("is_adr"), F.lit(False))
-    return df.where(keep & ~F.col("name").rlike(EXCLUDED_NAME))
+    return df.where(keep & ~F.col("name").rlike(excluded))
 
 
 def latest_members(df):

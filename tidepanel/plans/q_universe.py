@@ -181,8 +181,7 @@ def monthly_topn_universe(spark, sf_dir):
 )
 def equity_filter(spark, sf_dir):
     df = T.table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.col("p_brand").alias("exchange"))
-    old = U.EXCLUDED_NAME
-    return df.where(F.col("type").isin("ECONOMY", "STANDARD", "SMALL") & F.col("exchange").isin("Brand#2", "Brand#3", "Brand#17") & ~F.col("name").rlike(r"(?i)\b(ring|bolt)s?\b"))
+    return U.equity_filter(df, ("ECONOMY", "STANDARD", "SMALL"), ("Brand#2", "Brand#3", "Brand#17"), excluded=r"(?i)\b(ring|bolt)s?\b")
 
 
 @query(
