@@ -1,10 +1,11 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB statements."""
 
-from tidepanel.llm import packing, quality, tokens
+from tidepanel.llm import minhash, packing, quality, tokens
 
 QUERIES = {
     "op1_line_quality": quality.op1_line_quality,
     "op2_token_counts": tokens.op2_token_counts,
     "op5_pack": packing.op5_pack,
+    "op7_near_duplicates": minhash.op7_near_duplicates,
 }
 STATEMENTS = {}
