@@ -14,7 +14,7 @@ from tidepanel.llm import packing, quality, tokens
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 SF = "/root/testdata/sf0.001"
-ALPHABET = "aZé ßΣ́  \x1c\n\r\t '.,!12<|>世\U0001f600"
+ALPHABET = "aZé ßÀΣ́  \x1c\n\r\t '.,!12<|>世\U0001f600"
 
 
 def key(x):
@@ -58,7 +58,7 @@ def test_splicing_special_strings_and_widening():
 @settings(max_examples=150, deadline=None)
 @given(st.text(ALPHABET, max_size=200))
 def test_piece_counts_and_word_ids_equal_the_library(text):
-    known = tokens.piece_lookup(BYTE).many(tokens._cut(text))
+    known = tokens.piece_lookup(BYTE).many(set(tokens._cut(text)))
     assert sum(known[p] for p in tokens._cut(text)) == len(tokens.tokenizer(BYTE).encode(text, add_special_tokens=False).ids)
     ids = np.frombuffer(packing.document_ids([text], WORD)[0], "<u4").tolist()
     assert ids == tokens.tokenizer(WORD).encode(text, add_special_tokens=False).ids + [2]

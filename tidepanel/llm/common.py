@@ -33,7 +33,8 @@ def new_folder(spark, tag):
 def materialize(df, tag):
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = new_folder(df.sparkSession, tag)
-    df.write.parquet(path)
+    # small row groups: a task buffers one
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -48,12 +49,20 @@ class Lookup:
         self.compute, self.limit, self.known = compute, limit, {}
 
     def many(self, keys):
-        """The dictionary, which now holds every key of ``keys``."""
+        """The dictionary, which now holds every key of the set ``keys``."""
         known = self.known
-        missing = [k for k in set(keys) if k not in known]
+        missing = list(keys.difference(known))
         if missing:
             if len(known) + len(missing) > self.limit:
                 known.clear()
-                missing = list(set(keys))
+                missing = list(keys)
             known.update(zip(missing, self.compute(missing)))
         return known
+
+
+def slices(batches, rows=128):
+    """Arrow batches as (ids, texts) of a few rows at a time, so that few texts are Python strings at once."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            part = b.slice(lo, rows)
+            yield part.column("id"), part.column("text").to_pylist()

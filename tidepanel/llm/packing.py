@@ -1,25 +1,36 @@
 """Packing of token ids into fixed windows: bounded-space online best fit, leftovers merged at the end."""
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
-from tidepanel.llm.common import Lookup, materialize, table, text_or_empty
-from tidepanel.llm.tokens import bare, tokenizer
+from tidepanel.llm.common import Lookup, materialize, slices, table, text_or_empty
+from tidepanel.llm.tokens import tokenizer
 
 #: Tokens of a sequence, windows a partition keeps open, smallest piece worth cutting off to fill a window.
 WINDOW, OPEN, SMALLEST_CUT = 4096, 64, 16
 #: Partitions whose leftovers one task of the final merge takes: at most ``MERGED * OPEN`` windows.
 MERGED = 16
 #: The id after each document, and the words whose ids a worker keeps.
-END_ID, KEPT_WORDS = 2, 400_000
+END_ID, KEPT_WORDS = 2, 250_000
 
 _PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-_WORD = re.compile(r"([a-z]+)([.,;:!?]*)")
+_FIELDS = [pa.field(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in _PIECE.split(", ")]
+_SPLIT = re.compile(r"[ \t\n\r\x0b\x0c]+")
+#: Latin-1 lower-case letters, then ASCII marks but the apostrophe: one pre-token each, and alike in every normal form.
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: The byte alphabet of byte-level vocabularies, for the bytes of such words that are no printable Latin-1 characters.
+_BYTES = np.arange(256, dtype="<u4")
+_BYTES[[*range(33), *range(127, 161), 173]] = np.arange(256, 324)
+_BYTES[32] = 32
+_ODD = re.compile(r"[\x1c-\x1f\x85\xa0]")
 
 
 @lru_cache(maxsize=4)
@@ -29,35 +40,56 @@ def word_lookup(path):
     The tokenizer drops white space after splitting at it, and neither its normal form nor its lower case reaches over ASCII
     white space, so the ids of a text are those of its words, one after the other.
     """
-    full, model = tokenizer(path), bare(path)
-    as_bytes = lambda es: [np.array(e.ids, "<u4").tobytes() for e in es]
-    parts = Lookup(lambda keys: as_bytes(model.encode_batch_fast(keys, add_special_tokens=False)), KEPT_WORDS)
+    full = tokenizer(path)
+    model = Tokenizer(full.model)
+    model.pre_tokenizer = WhitespaceSplit()
+    vocabulary = model.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def letter_ids(words):
+        # many words go through the model at a time, in its byte alphabet; the token that ends a word says so
+        for lo in range(0, len(words), 500):
+            text = " ".join(words[lo : lo + 500])
+            if not text.isascii():
+                text = _BYTES[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-32-le")
+            ids = np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cut, data = [0, *((np.flatnonzero(ends[ids]) + 1) * 4).tolist()], ids.tobytes()
+            yield from (data[a:b] for a, b in zip(cut, cut[1:]))
 
     def words(keys):
-        # ASCII letters, then marks: two pre-tokens, which the byte alphabet writes as themselves
-        plain = [_WORD.fullmatch(k.lower()) if k.isascii() else None for k in keys]
-        known = parts.many([g for m in plain if m for g in m.groups() if g])
-        rest = iter(as_bytes(full.encode_batch_fast([k for k, m in zip(keys, plain) if not m], add_special_tokens=False)))
-        return [b"".join(known[g] for g in m.groups() if g) if m else next(rest) for m in plain]
-
-    return Lookup(words, KEPT_WORDS)
+        plain = {k: m.groups() for k in keys if (m := _PLAIN.fullmatch(k))}
+        known, kept = {}, lookup.known
+        fresh = list({stem for stem, _ in plain.values()}.difference(kept))
+        known.update(zip(fresh, letter_ids(fresh)))
+        rest = list({*keys, *(marks for _, marks in plain.values() if marks)}.difference(plain).difference(kept))
+        known.update((k, array("I", e.ids).tobytes()) for k, e in zip(rest, full.encode_batch_fast(rest, add_special_tokens=False)))
+        for k, (stem, marks) in plain.items():
+            if marks:
+                known[k] = (known.get(stem) or kept[stem]) + (known.get(marks) or kept[marks])
+        return [known[k] for k in keys]
 
-
-_SPLIT = re.compile(r"[ \t\n\r\x0b\x0c]+")
+    lookup = Lookup(words, KEPT_WORDS)
+    return lookup
 
 
 def _words(text):
-    # str.split() also cuts at other white space, which the tokenizer drops as well; control characters need the narrow cut
-    if not text.isascii() or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+    """Parts of a text that are encoded each for itself. Latin-1 texts are lower-cased here, as the tokenizer does it, so that fewer
+    words differ."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
         return [w for w in _SPLIT.split(text) if w]
-    return text.split()
+    text = text.lower()
+    # str.split() also cuts at white space that only the tokenizer may judge
+    return [w for w in _SPLIT.split(text) if w] if _ODD.search(text) else text.split()
 
 
 def document_ids(texts, path, end_id=END_ID):
     """Little-endian ids of each text, with ``end_id`` after it."""
-    tail = np.array([end_id], "<u4").tobytes()
+    tail = array("I", [end_id]).tobytes()
     words = [_words(t) for t in texts]
-    known = word_lookup(path).many([w for ws in words for w in ws])
+    known = word_lookup(path).many(set().union(*words))
     return [b"".join(map(known.__getitem__, ws)) + tail for ws in words]
 
 
@@ -101,10 +133,10 @@ class Packer:
         window[0] += len(ids) // 4
 
 
-def _frame(windows, first):
+def _columns(windows, first):
+    """The pieces of ``windows`` as arrays in the order of the piece columns; the windows are numbered from ``first``."""
     rows = [(d, s, len(i) // 4, i, t, first + k, o) for k, (_, pieces) in enumerate(windows) for d, s, i, t, o in pieces]
-    f = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-    return f.assign(doc_id=pd.array([r[0] for r in rows], dtype="Int64"))
+    return [pa.array(c, f.type) for c, f in zip(zip(*rows), _FIELDS)]
 
 
 def pack(docs, path, window=WINDOW, keep=OPEN, smallest=SMALLEST_CUT, id_column="doc_id", text_column="text"):
@@ -120,26 +152,29 @@ def pack(docs, path, window=WINDOW, keep=OPEN, smallest=SMALLEST_CUT, id_column=
 
     def run(batches):
         part, number, packer = TaskContext.get().partitionId(), 0, Packer(window, keep, smallest)
-        for b in batches:
-            for lo in range(0, len(b), 128):
-                some = b.iloc[lo : lo + 128]
-                out = []
-                for doc, ids in zip(some["id"], document_ids(list(some["text"]), path)):
-                    out += packer.add(None if doc is None else int(doc), 0, ids, len(ids) // 4)
-                if out:
-                    f = _frame(out, (part << 32) + number)
-                    number += len(out)
-                    yield f.assign(closed=True, part=part)
+        schema = pa.schema([*_FIELDS, pa.field("closed", pa.bool_()), pa.field("part", pa.int64())])
+
+        def batch(windows, closed):
+            columns = _columns(windows, (part << 32) + number)
+            n = len(columns[0])
+            return pa.RecordBatch.from_arrays([*columns, pa.array([closed] * n), pa.array([part] * n, pa.int64())], schema=schema)
+
+        for ids, texts in slices(batches):
+            out = []
+            for doc, tokens in zip(ids.to_pylist(), document_ids(texts, path)):
+                out += packer.add(doc, 0, tokens, len(tokens) // 4)
+            if out:
+                yield batch(out, True)
+                number += len(out)
         if packer.open:
-            f = _frame(packer.open, (part << 32) + number)
-            yield f.assign(closed=False, part=part)
+            yield batch(packer.open, False)
 
     def merge(group, f):
         packer, out = Packer(window, max(keep, 1), smallest), []
-        # whole documents or pieces, longest first, so that the small ones fill what is left
-        f = f.sort_values(["length", "doc_id", "start"], ascending=[False, True, True])
-        for r in f.itertuples():
-            out += packer.add(None if r.doc_id is None else int(r.doc_id), r.start, r.ids, r.doc_tokens)
+        # longest first, so that the small ones fill what is left
+        f = f.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")]).to_pylist()
+        for r in f:
+            out += packer.add(r["doc_id"], r["start"], r["ids"], r["doc_tokens"])
         # the open windows of a group are full but for the last few: fill the fullest from the emptiest
         rest = sorted(packer.open, key=lambda w: -w[0])
         while len(rest) > 1:
@@ -156,14 +191,13 @@ def pack(docs, path, window=WINDOW, keep=OPEN, smallest=SMALLEST_CUT, id_column=
                 out.append(rest.pop(0))
             if not emptiest[1]:
                 rest.pop()
-        return _frame(out + rest, -((int(group[0]) + 1) << 32))
-
-    # ids go through pandas as text: a null among 64-bit integers would turn them all into doubles
-    rows = docs.select(F.col(id_column).cast("string").alias("id"), text_or_empty(text_column).alias("text"))
-    packed = materialize(rows.mapInPandas(run, f"{_PIECE}, closed boolean, part long"), "packed")
-    names = [c.split()[0] for c in _PIECE.split(", ")]
-    merged = packed.where("NOT closed").withColumn("doc_id", F.col("doc_id").cast("string")).groupBy(F.floor(F.col("part") / MERGED).alias("group")).applyInPandas(merge, _PIECE)
-    return packed.where("closed").select(*names).unionByName(merged)
+        return pa.Table.from_arrays(_columns(out + rest, -((group[0].as_py() + 1) << 32)), schema=pa.schema(_FIELDS))
+
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(text_column).alias("text"))
+    packed = materialize(rows.mapInArrow(run, f"{_PIECE}, closed boolean, part long"), "packed")
+    left = packed.where("NOT closed").drop("closed")
+    merged = left.groupBy(F.floor(F.col("part") / MERGED).alias("group")).applyInArrow(merge, _PIECE)
+    return packed.where("closed").select(*[f.name for f in _FIELDS]).unionByName(merged)
 
 
 def pieces_with_crc(pieces):

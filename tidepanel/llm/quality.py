@@ -137,3 +137,35 @@ def line_quality(docs, id_column="doc_id", text_column="text", least_kept=LEAST_
 
 def op1_line_quality(spark, sf_dir):
     return line_quality(table(spark, sf_dir, "documents")).drop("clean_text", "kept_share")
+
+
+_PHRASES = ", ".join(f"'{p}'" for p in BOILERPLATE)
+_UNMARKED = rf"(length(trim(l, ' ')) - length(replace(l, ' ', '')) + 1 >= {LONG_LINE} AND NOT regexp_matches(l, '{_MARK}'))"
+STATEMENT = rf"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+         w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[ 	-
+]+'), lambda x : x <> '') AS words,
+                      list_filter(string_split(text, chr(10)), lambda x : regexp_matches(x, '[^ 	-
+]')) AS lines FROM d),
+         t AS (SELECT doc_id, u.i AS i, words[u.i] || ' ' || words[u.i + 1] || ' ' || words[u.i + 2] AS triple
+               FROM w, LATERAL (SELECT unnest(range(1, len(words) - 1)) AS i) AS u),
+         r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, triple) AS n FROM t),
+         c AS (SELECT doc_id, sum(least(3, coalesce(next - i, 3))) AS n
+               FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM r WHERE n > 1) AS x GROUP BY doc_id),
+         s AS (SELECT doc_id, l, length(l) - length(regexp_replace(l, '[|»›·•]', '', 'g')) AS seps,
+                      length(l) - length(regexp_replace(l, '[#*$%&<>]', '', 'g')) AS syms, length(l) - length(replace(l, '!', '')) AS shouts,
+                      length(trim(l, ' ')) - length(replace(l, ' ', '')) + 1 AS words
+               FROM (SELECT doc_id, unnest(lines) AS l FROM w) AS x),
+         k AS (SELECT doc_id, sum(length(l) + 1) AS whole,
+                      sum(CASE WHEN (seps >= 2 AND seps * 4 >= words) OR (syms >= 2 AND syms * 12 >= length(l)) OR (shouts >= 2 AND shouts * 3 >= words)
+                          OR list_bool_or(list_transform([{_PHRASES}], lambda p : contains(lower(l), p))) OR {_UNMARKED} THEN 0 ELSE length(l) + 1 END) AS good
+               FROM s GROUP BY doc_id),
+         b AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[ 	-
+]+', '', 'g')) AS BIGINT) AS word_chars,
+                      CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                      CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+                      greatest(k.good, 1) / k.whole AS share
+               FROM w LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+           NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(share >= {LEAST_KEPT}, false) AS kept
+    FROM b"""

@@ -1,11 +1,21 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB statements."""
 
-from tidepanel.llm import minhash, packing, quality, tokens
+from tidepanel.llm import minhash, packing, quality, tokens, warc
 
 QUERIES = {
     "op1_line_quality": quality.op1_line_quality,
     "op2_token_counts": tokens.op2_token_counts,
     "op5_pack": packing.op5_pack,
     "op7_near_duplicates": minhash.op7_near_duplicates,
+    "op9_warc": warc.op9_warc,
+}
+STATEMENTS = {
+    "op1_line_quality": quality.STATEMENT,
+    "op9_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+             g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
+        FROM g""",
 }
-STATEMENTS = {}

@@ -9,18 +9,18 @@ import os
 import re
 from functools import lru_cache
 
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidepanel.llm.common import Lookup, table, text_or_empty
+from tidepanel.llm.common import Lookup, slices, table, text_or_empty
 
 #: Code points of a chunk, of the overlap of two chunks, and of the margin at a chunk's end that is never trusted. The margin
 #: must exceed what the splitting pattern looks ahead (2) and the longest added token (13).
 CHUNK, OVERLAP, MARGIN = 32_768, 512, 32
 #: Pieces of text whose counts a worker keeps.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 250_000
 
 # A space between two characters that are no white space always starts a pre-token: no class of the pattern goes over it.
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -54,7 +54,7 @@ def _piece_counts(path):
 
     def pieces(keys):
         plain = [_PLAIN.fullmatch(k) for k in keys]
-        known = parts.many([g for m in plain if m for g in m.groups() if g])
+        known = parts.many({g for m in plain if m for g in m.groups() if g})
         rest = iter(full.encode_batch_fast([k for k, m in zip(keys, plain) if not m], add_special_tokens=False))
         return [sum(known[g] for g in m.groups() if g) if m else len(next(rest).ids) for m in plain]
 
@@ -130,22 +130,15 @@ def token_counts(docs, path, id_column="doc_id", text_column="text", chunk=CHUNK
     def run(batches):
         encode = lambda s: tokenizer(path).encode(s, add_special_tokens=False)
         lookup = piece_lookup(path)
-        for b in batches:
-            out = []
-            for lo in range(0, len(b), 256):
-                texts = list(b["text"].iloc[lo : lo + 256])
-                short = [_cut(t) if len(t) <= chunk else [] for t in texts]
-                known = lookup.many([p for ps in short for p in ps])
-                for t, ps in zip(texts, short):
-                    out.append((sum(map(known.__getitem__, ps)), 0) if len(t) <= chunk else count_huge(encode, t, chunk))
-            n = pd.DataFrame(out, columns=["n_tokens", "n_widened"], dtype="int64")
-            yield pd.DataFrame({"id": b["id"], "n_bytes": b["n_bytes"], "n_tokens": n["n_tokens"].values, "n_widened": n["n_widened"].values})
-
-    text = text_or_empty(text_column)
-    # ids go through pandas as text: a null among 64-bit integers would turn them all into doubles
-    rows = docs.select(F.col(id_column).cast("string").alias("id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    counted = rows.mapInPandas(run, "id string, n_bytes long, n_tokens long, n_widened long")
-    return counted.select(F.col("id").cast("long").alias(id_column), "n_bytes", "n_tokens", "n_widened")
+        for ids, texts in slices(batches):
+            pieces = [_cut(t) if len(t) <= chunk else [] for t in texts]
+            known = lookup.many(set().union(*pieces))
+            n = [(sum(map(known.__getitem__, ps)), 0) if len(t) <= chunk else count_huge(encode, t, chunk) for t, ps in zip(texts, pieces)]
+            size = [len(t.encode()) for t in texts]
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in (size, *zip(*n)))], names=["id", "n_bytes", "n_tokens", "n_widened"])
+
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(text_column).alias("text"))
+    return rows.mapInArrow(run, "id long, n_bytes long, n_tokens long, n_widened long").withColumnRenamed("id", id_column)
 
 
 def op2_token_counts(spark, sf_dir):
