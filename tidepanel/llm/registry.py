@@ -1,11 +1,12 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB statements."""
 
-from tidepanel.llm import minhash, packing, quality, tokens, warc
+from tidepanel.llm import minhash, packing, quality, tokens, toxicity, warc
 
 QUERIES = {
     "op1_line_quality": quality.op1_line_quality,
     "op2_token_counts": tokens.op2_token_counts,
     "op5_pack": packing.op5_pack,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_near_duplicates": minhash.op7_near_duplicates,
     "op9_warc": warc.op9_warc,
 }
