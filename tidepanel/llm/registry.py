@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB statements."""
 
-from tidepanel.llm import minhash, packing, quality, tokens, toxicity, warc
+from tidepanel.llm import maxscore, minhash, packing, quality, tokens, toxicity, warc
 
 QUERIES = {
     "op1_line_quality": quality.op1_line_quality,
@@ -8,10 +8,12 @@ QUERIES = {
     "op5_pack": packing.op5_pack,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_near_duplicates": minhash.op7_near_duplicates,
+    "op8_top_k": maxscore.op8_top_k,
     "op9_warc": warc.op9_warc,
 }
 STATEMENTS = {
     "op1_line_quality": quality.STATEMENT,
+    "op8_top_k": maxscore.STATEMENT,
     "op9_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
              g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p)
