@@ -1,10 +1,11 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB statements."""
 
-from tidepanel.llm import maxscore, minhash, packing, quality, tokens, toxicity, warc
+from tidepanel.llm import chat, maxscore, minhash, packing, quality, tokens, toxicity, warc
 
 QUERIES = {
     "op1_line_quality": quality.op1_line_quality,
     "op2_token_counts": tokens.op2_token_counts,
+    "op4_chat": chat.op4_chat,
     "op5_pack": packing.op5_pack,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_near_duplicates": minhash.op7_near_duplicates,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 STATEMENTS = {
     "op1_line_quality": quality.STATEMENT,
+    "op4_chat": chat.STATEMENT,
     "op8_top_k": maxscore.STATEMENT,
     "op9_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
