@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB statements."""
 
-from tidepanel.llm import chat, maxscore, minhash, packing, quality, tokens, toxicity, warc
+from tidepanel.llm import chat, maxscore, minhash, packing, pii, quality, tokens, toxicity, warc
 
 QUERIES = {
     "op1_line_quality": quality.op1_line_quality,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_near_duplicates": minhash.op7_near_duplicates,
     "op8_top_k": maxscore.op8_top_k,
     "op9_warc": warc.op9_warc,
+    "op10_pii": pii.op10_pii,
 }
 STATEMENTS = {
     "op1_line_quality": quality.STATEMENT,
