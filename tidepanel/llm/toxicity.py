@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import Lookup, materialize, slices, table, text_or_empty
+from tidepanel.llm.common import Lookup, materialize, table, text_or_empty
 
 #: Labelled rows that the models are fitted on, about; chosen by a hash of their id.
 TRAINING_ROWS = 20_000
@@ -97,16 +97,20 @@ def features_of(text, lexicon):
     return [len(hits) / n, sum(weights) / n, sum(weights), max(weights, default=0.0), np.log1p(len(hits)), distinct, counts[2] / n, counts[4] / n, near / n, counts[3] / n, raw[1] / letters, shouted, raw[3] / size, raw[4] / size, raw[5] / size, np.log1p(n)]
 
 
-def features(docs, lexicon):
-    """id and the features of each row of ``id, text``."""
-    fields = ", ".join(f"{f} double" for f in FEATURES)
+def features(docs, lexicon, keep=()):
+    """id, the features and the columns of ``keep`` of each row of ``docs``, which has id and text."""
+    types = dict(docs.dtypes)
+    ddl = ", ".join(["id long", *(f"{f} double" for f in FEATURES), *(f"{k} {types[k]}" for k in keep)])
 
     def run(batches):
-        for ids, texts in slices(batches):
-            columns = zip(*(features_of(t, lexicon) for t in texts))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(list(c), pa.float64()) for c in columns)], names=["id", *FEATURES])
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                columns = zip(*(features_of(t, lexicon) for t in part.column("text").to_pylist()))
+                arrays = [part.column("id"), *(pa.array(list(c), pa.float64()) for c in columns), *(part.column(k) for k in keep)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", *FEATURES, *keep])
 
-    return docs.mapInArrow(run, f"id long, {fields}")
+    return docs.mapInArrow(run, ddl)
 
 
 def labelled_sample(docs, labels, limit=TRAINING_ROWS):
@@ -148,8 +152,8 @@ def fit(sample):
     return lexicon, trees, IsotonicRegression(featuresCol="raw").fit(raw)
 
 
-def score(docs, labels, id_column="doc_id", text_column="text", limit=TRAINING_ROWS):
-    """Per row: ``id_column``, held_out, score, predicted.
+def score(docs, labels, id_column="doc_id", text_column="text", limit=TRAINING_ROWS, keep=()):
+    """Per row: ``id_column``, held_out, score, predicted, and the columns of ``keep``.
 
     Null texts count as empty; empty texts have all features zero and the score that the trees give them. Repeated rows each give a
     row. A row with a null id is scored and not held out. Without labelled rows of both classes every score is 0. Other columns,
@@ -157,17 +161,19 @@ def score(docs, labels, id_column="doc_id", text_column="text", limit=TRAINING_R
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(text_column).alias("text"))
     sample = materialize(labelled_sample(rows, labels, limit), "sample")
+    kept = [f"__keep{i}" for i in range(len(keep))]
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), text_or_empty(text_column).alias("text"), *(F.col(c).alias(k) for c, k in zip(keep, kept)))
     model = fit(sample)
     held = F.coalesce(F.crc32(F.col("id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out")
     if model is None:
         scored = rows.withColumn("score", F.lit(0.0))
     else:
         lexicon, trees, calibration = model
-        at = VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(features(rows, lexicon))
-        at = calibration.transform(trees.transform(at).select("id", vector_to_array("probability")[1].alias("raw")))
+        at = VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(features(rows, lexicon, kept))
+        at = calibration.transform(trees.transform(at).select("id", vector_to_array("probability")[1].alias("raw"), *kept))
         # calibration has plateaus; a thousandth of the raw score keeps the order inside them
-        scored = at.select("id", F.least(F.greatest(0.999 * F.col("prediction") + 0.001 * F.col("raw"), F.lit(0.0)), F.lit(1.0)).alias("score"))
-    return scored.select(F.col("id").alias(id_column), held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+        scored = at.select("id", *kept, F.least(F.greatest(0.999 * F.col("prediction") + 0.001 * F.col("raw"), F.lit(0.0)), F.lit(1.0)).alias("score"))
+    return scored.select(F.col("id").alias(id_column), held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *(F.col(k).alias(c) for c, k in zip(keep, kept)))
 
 
 def op6_toxicity(spark, sf_dir):
