@@ -1,10 +1,11 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB statements."""
 
-from tidepanel.llm import chat, maxscore, minhash, packing, pii, quality, tokens, toxicity, warc
+from tidepanel.llm import chat, maxscore, minhash, packing, pieces, pii, quality, tokens, toxicity, warc
 
 QUERIES = {
     "op1_line_quality": quality.op1_line_quality,
     "op2_token_counts": tokens.op2_token_counts,
+    "op3_pieces": pieces.op3_pieces,
     "op4_chat": chat.op4_chat,
     "op5_pack": packing.op5_pack,
     "op6_toxicity": toxicity.op6_toxicity,
