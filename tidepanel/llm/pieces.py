@@ -38,7 +38,7 @@ class DoubleArray:
 
     def __init__(self, keys):
         """``keys``: byte string -> value of at least 0."""
-        size = 1 << max(12, (2 * sum(map(len, keys))).bit_length())
+        size = (1 << (2 * sum(map(len, keys))).bit_length()) + 16_384
         base, check, value = np.zeros(size, np.int64), np.full(size, -1, np.int64), np.full(size, -1, np.int64)
         check[0] = 0
         low = 1
