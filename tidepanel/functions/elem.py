@@ -18,8 +18,8 @@ def no_nan(c):
 
 
 def finite(c):
-    """Infinity becomes null: rolling statistics leave it out."""
-    return F.when(F.abs(c) != INF, c)
+    """Infinity and NaN become null: rolling statistics leave them out."""
+    return F.when(F.abs(c) < INF, c)
 
 
 def power(a, b):

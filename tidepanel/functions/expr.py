@@ -136,9 +136,8 @@ def Delta(x, n):
 
 
 def _input(t, col):
-    """Windows work on doubles, without infinity."""
-    col = col.cast("double")
-    return E.finite(col) if t.may_inf else col
+    """Windows work on doubles, without infinity, whatever the source field holds."""
+    return E.finite(col.cast("double"))
 
 
 def rolling(name, fn, position=False, raw=False):
@@ -169,69 +168,20 @@ IdxMin = rolling("IdxMin", R.idx_min, position=True, raw=True)
 
 def _base(kind, x, n, fn):
     """A plain window aggregate that several functions share; equal texts are computed once."""
-    return Term(
-        f"_{kind}({x},{n})", (x,), lambda cols, env: fn(_input(x, cols[0]), env).over(R.frame(env.w, n)),
-        back=INFINITE if n == 0 else n - 1, window=True,
-    )
-
-
-def _running(kind, x, fn):
-    """Running aggregate from the start of the task's stretch: one update per row, shared by all window lengths."""
-    build = lambda cols, env: fn(_input(x, cols[0])).over(R.frame(env.w, 0))
-    return Term(f"_running_{kind}({x})", (x,), build, window=True)
-
-
-def _windowed(kind, x, n, fn):
-    """A window total as the difference of two running totals, so its cost does not grow with the length."""
-    run = _running(kind, x, fn)
-    if n == 0:
-        return Term(f"_{kind}({x},0)", (run,), lambda cols, env: cols[0], back=INFINITE)
-    zero = F.lit(0.0)
-    diff = lambda cols, env: F.coalesce(cols[0], zero) - F.coalesce(cols[1], zero)
-    return Term(f"_{kind}({x},{n})", (run, Ref(run, n)), diff)
-
-
-def _count(x, n):
-    return _windowed("n", x, n, F.count)
-
-
-def _sum(x, n):
-    return _windowed("sum", x, n, F.sum)
-
-
-def _run_length(x):
-    """How many values in a row, up to here, were equal (missing ones skipped)."""
-    before = lambda cols, env: F.last(_input(x, cols[0]), ignorenulls=True).over(env.w.rowsBetween(Window.unboundedPreceding, -1))
-    prev = Term(f"_before({x})", (x,), before, window=True)
-    seen = _running("n", x, F.count)
+    build = lambda cols, env: fn(_input(x, cols[0])).over(R.frame(env.w, n))
+    return Term(f"_{kind}({x},{n})", (x,), build, back=INFINITE if n == 0 else n - 1, window=True)
 
-    def begin(cols, env):
-        v = _input(x, cols[0])
-        return F.when(v.isNotNull() & (cols[1].isNull() | (v != cols[1])), cols[2])
 
-    started = _running("max", Term(f"_begin({x})", (x, prev, seen), begin), F.max)
-    return Term(f"_run_length({x})", (seen, started), lambda cols, env: cols[0] - cols[1] + 1)
+def _placed(kind, x, n, fn):
+    """A window aggregate of x and its position."""
+    build = lambda cols, env: fn(_input(x, cols[0]), env.place).over(R.frame(env.w, n))
+    return Term(f"_{kind}({x},{n})", (x,), build, back=INFINITE if n == 0 else n - 1, window=True)
 
 
 def _values(x, n):
     return _base("list", x, n, F.collect_list)
 
 
-def _centered(x):
-    """x minus its mean over the task's stretch of the instrument: sums of squares stay well scaled."""
-    build = lambda cols, env: _input(x, cols[0]) - F.avg(_input(x, cols[0])).over(Window.partitionBy(*env.keys))
-    return Term(f"_centered({x})", (x,), build, window=True)
-
-
-def _place(x):
-    """Position of the rows where x is present."""
-    return Term(f"_place({x})", (x,), lambda cols, env: F.when(_input(x, cols[0]).isNotNull(), env.place))
-
-
-def _times(a, b):
-    return Term(f"_times({a},{b})", (a, b), lambda cols, env: cols[0] * cols[1])
-
-
 def _derived(name, text, inputs, fn):
     return Term(f"{name}({text})", tuple(inputs), lambda cols, env: fn(*cols))
 
@@ -250,13 +200,6 @@ def _rolled(name):
     return wrap
 
 
-def _base(kind, x, n, fn):
-    """A plain window aggregate that several functions share; equal texts are computed once."""
-    build = lambda cols, env: fn(_input(x, cols[0])).over(R.frame(env.w, n))
-    return Term(f"_{kind}({x},{n})", (x,), build, back=INFINITE if n == 0 else n - 1, window=True)
-
-
-# sums and means stay plain window aggregates: a window of one value must give that value exactly
 @_rolled("Sum")
 def Sum(x, n):
     return _base("plain_sum", x, n, F.sum)
@@ -264,7 +207,7 @@ def Sum(x, n):
 
 @_rolled("Count")
 def Count(x, n):
-    return _derived("Count", f"{x},{n}", [_count(x, n)], lambda k: k.cast("double"))
+    return _derived("Count", f"{x},{n}", [_base("count", x, n, F.count)], lambda k: k.cast("double"))
 
 
 @_rolled("Mean")
@@ -272,14 +215,10 @@ def Mean(x, n):
     return _base("plain_mean", x, n, F.avg)
 
 
-def _moments(x, n):
-    c = _centered(x)
-    return [_count(x, n), _sum(c, n), _sum(_times(c, c), n), _run_length(x)]
-
-
+# Second moments are aggregates of their own window: a large value outside it cannot cost them digits.
 @_rolled("Var")
 def Var(x, n):
-    return _derived("Var", f"{x},{n}", _moments(x, n), R.var_of_sums)
+    return _base("var", x, n, F.var_samp)
 
 
 @_rolled("Std")
@@ -287,34 +226,32 @@ def Std(x, n):
     return _derived("Std", f"{x},{n}", [Var(x, n)], F.sqrt)
 
 
-def _line(x, n):
-    """Sums for the regression of x on its position."""
-    c, p = _centered(x), _place(x)
-    return [_count(x, n), _sum(c, n), _sum(_times(c, p), n), _sum(p, n), _sum(_times(p, p), n)]
-
-
 @_rolled("Slope")
 def Slope(x, n):
-    return _derived("Slope", f"{x},{n}", _line(x, n), R.slope_of_sums)
+    return _placed("slope", x, n, F.regr_slope)
 
 
 @_rolled("Resi")
 def Resi(x, n):
-    here = Term(f"_here({x})", (x,), lambda cols, env: F.when(_input(x, cols[0]).isNotNull(), env.place))
-    return _derived("Resi", f"{x},{n}", [_centered(x), here, Slope(x, n), *_line(x, n)], R.resi_of_sums)
+    """Last residual: value minus the fitted line at its own position."""
+    here = Term(f"_here({x})", (x,), lambda cols, env: env.place)
+    value = Term(f"_value({x})", (x,), lambda cols, env: _input(x, cols[0]))
+    line = [_placed("slope", x, n, F.regr_slope), _placed("intercept", x, n, F.regr_intercept)]
+    return _derived("Resi", f"{x},{n}", [value, here, *line], lambda v, p, slope, start: v - start - slope * p)
 
 
 @_rolled("Rsquare")
 def Rsquare(x, n):
-    return _derived("Rsquare", f"{x},{n}", [Var(x, n), Slope(x, n), *_line(x, n)], R.rsquare_of_sums)
+    """Explained share; missing in a flat window."""
+    return _derived("Rsquare", f"{x},{n}", [Var(x, n), _placed("r2", x, n, F.regr_r2)], lambda var, r2: F.when(var > 4e-10, r2))
 
 
 @_rolled("WMA")
 def WMA(x, n):
     rows = Term(f"_rows({x},{n})", (x,), lambda cols, env: F.count(F.lit(1)).over(R.frame(env.w, n)), back=INFINITE if n == 0 else n - 1, window=True)
     place = Term(f"_place_of_row({x})", (x,), lambda cols, env: env.place)
-    px = Term(f"_placed({x})", (x,), lambda cols, env: _input(x, cols[0]) * env.place)
-    return _derived("WMA", f"{x},{n}", [_count(x, n), _sum(x, n), _sum(px, n), rows, place], R.wma_of_sums)
+    sums = [_base("count", x, n, F.count), _base("plain_sum", x, n, F.sum), _placed("weighted", x, n, lambda v, p: F.sum(v * p))]
+    return _derived("WMA", f"{x},{n}", [*sums, rows, place], R.wma_of_sums)
 
 
 @_rolled("Quantile")
@@ -340,14 +277,10 @@ def _paired(x, y):
     return Term(f"_paired({x},{y})", (x, y), build)
 
 
-def _cross(x, y, n):
-    px, py = _centered(_paired(x, y)), _centered(_paired(y, x))
-    return [_count(px, n), _sum(px, n), _sum(py, n), _sum(_times(px, py), n)]
-
-
 def Cov(x, y, n):
     x, y = term(x), term(y)
-    return _derived("Cov", f"{x},{y},{n}", _cross(x, y, n), R.cov_of_sums)
+    build = lambda cols, env: F.covar_samp(_input(x, cols[0]), _input(y, cols[1])).over(R.frame(env.w, n))
+    return Term(f"Cov({x},{y},{n})", (x, y), build, back=INFINITE if n == 0 else n - 1, window=True)
 
 
 def Corr(x, y, n):

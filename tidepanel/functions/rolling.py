@@ -74,36 +74,11 @@ def idx_min(x, w, n, pos):
     return (best["p"] - (pos - F.count(F.lit(1)).over(f))).cast("double")
 
 
-def var_of_sums(k, s, ss, equal):
-    """Sample variance from centred sums; equal values give exactly zero."""
-    v = (ss - s * s / F.when(k > 0, k)) / F.when(k > 1, k - 1)
-    return F.when(k > 1, F.when(equal >= k, F.lit(0.0)).otherwise(F.greatest(v, F.lit(0.0))))
-
-
-def slope_of_sums(k, s, sp, p, pp):
-    d = k * pp - p * p
-    return (k * sp - p * s) / F.when(d > 0, d)
-
-
-def resi_of_sums(c, here, slope, k, s, sp, p, pp):
-    """Last residual: value minus the fitted line at its own position."""
-    return c - s / F.when(k > 0, k) - slope * (here - p / F.when(k > 0, k))
-
-
-def rsquare_of_sums(var, slope, k, s, sp, p, pp):
-    """Explained share; missing in a flat window."""
-    return F.when(var > 4e-10, slope * slope * (pp - p * p / F.when(k > 0, k)) / F.when(k > 1, k - 1) / var)
-
-
 def wma_of_sums(k, s, sp, rows, place):
     """Linear weights scaled to one and then averaged once more over the non-null rows, as the reference defines it."""
     return (sp - (place - rows) * s) / (rows * (rows + 1) / 2.0) / F.when(k > 0, k)
 
 
-def cov_of_sums(k, sx, sy, sxy):
-    return (sxy - sx * sy / F.when(k > 0, k)) / F.when(k > 1, k - 1)
-
-
 def corr_of_vars(cov, px, py, vx, vy):
     """Pairwise complete; null when one of the two windows is flat (standard deviation within 2e-5 of zero)."""
     flat = F.coalesce(vx <= 4e-10, F.lit(False)) | F.coalesce(vy <= 4e-10, F.lit(False))
