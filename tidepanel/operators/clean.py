@@ -1,5 +1,6 @@
 """Market-data cleaning, price adjustment and health checks."""
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -20,15 +21,31 @@ def norm_bars(panel, volume_rule=True):
     return d.withColumns({"change": known / prev - 1})
 
 
-def fix_unit_jump(df, low=89.0, high=111.0, rounds=10):
-    """Rows whose close jumps by a factor of about a hundred are divided by 100, repeated because a repair can show the next one."""
-    w = by_time()
-    for _ in range(rounds):
-        prev = F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        jump = F.coalesce((F.col("close") / prev - 1).between(low, high), F.lit(False))
-        df = df.withColumn("__jump", jump)
-        df = df.withColumns({c: F.when(F.col("__jump"), F.col(c) / 100).otherwise(F.col(c)) for c in PRICES}).drop("__jump")
-    return df
+def fix_unit_jump(df, low=89.0, high=111.0):
+    """Rows whose close jumps by a factor of about a hundred are divided by 100, repeated until no row jumps.
+
+    A repair can show the next jump, so the number of rounds depends on the series. An instrument's rows, which the calendar
+    bounds, are repaired together; a jump is measured against the last close before it that is not null.
+    """
+    names = df.columns
+
+    def repair(f):
+        f = f.sort_values("datetime", kind="stable").reset_index(drop=True)
+        at = np.flatnonzero(f["close"].notna().to_numpy())
+        prices = f[PRICES].to_numpy(dtype=float, copy=True)
+        close = PRICES.index("close")
+        while True:
+            c = prices[at, close]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                change = c[1:] / c[:-1] - 1
+            jumps = at[1:][(change >= low) & (change <= high)]
+            if not len(jumps):
+                break
+            prices[jumps] /= 100
+        f[PRICES] = prices
+        return f[names]
+
+    return df.groupBy("instrument").applyInPandas(repair, df.schema)
 
 
 def adjust_price(df):
@@ -85,12 +102,19 @@ def fill_minutes(daily, minutes, sessions, step):
 
 
 def total_return_adjust(df, ret="ret"):
-    """Adjusted close from returns: the first close times the running product of 1 + r, prices scaled along."""
-    w = by_time().rowsBetween(Window.unboundedPreceding, 0)
-    growth = F.exp(F.sum(F.ln(1 + F.coalesce(F.when(F.col(ret) > -1, F.col(ret)), F.lit(0.0)))).over(w))
+    """Adjusted close from returns: the first close times the running product of 1 + r, prices scaled along.
+
+    A missing return falls back to the change of the raw close; after a total loss the adjusted close stays zero.
+    """
+    line = by_time()
+    w = line.rowsBetween(Window.unboundedPreceding, 0)
+    before = F.last("close", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    d = df.withColumn("__r", F.coalesce(F.col(ret), F.col("close") / F.when(before != 0, before) - 1, F.lit(0.0)))
+    lost = F.max(F.col("__r") <= -1).over(w)
+    growth = F.when(lost, F.lit(0.0)).otherwise(F.exp(F.sum(F.ln(F.when(F.col("__r") > -1, 1 + F.col("__r")).otherwise(1.0))).over(w)))
     first = F.first("close", ignorenulls=True).over(w)
-    d = df.withColumn("adj_close", first * growth).withColumn("__k", F.col("adj_close") / F.when(F.col("close") != 0, F.col("close")))
-    d = d.withColumns({f"adj_{c}": F.col(c) * F.col("__k") for c in ("open", "high", "low")}).drop("__k")
+    d = d.withColumn("adj_close", first * growth).withColumn("__k", F.col("adj_close") / F.when(F.col("close") != 0, F.col("close")))
+    d = d.withColumns({f"adj_{c}": F.col(c) * F.col("__k") for c in ("open", "high", "low")}).drop("__k", "__r")
     return d.withColumn("adj_vwap", (F.col("adj_open") + F.col("adj_high") + F.col("adj_low") + F.col("adj_close")) / 4)
 
 

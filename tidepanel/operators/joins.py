@@ -68,8 +68,13 @@ def next_date_join(events, calendar, date="date", lag=1, calendar_rows=None):
     """
     cal = calendar.select(F.col("datetime"), F.col("cal_ix"))
     line = calendar.select(F.col("datetime").alias("__from"), F.lead("datetime").over(Window.orderBy("datetime")).alias("__to"), F.col("cal_ix").alias("__ix"))
-    days = line.select(F.explode(F.sequence("__from", F.coalesce(F.date_sub("__to", 1), F.date_add("__from", 31)))).alias(date), (F.col("__ix") + lag).alias("cal_ix"))
-    return events.join(bounded(days, calendar_rows and calendar_rows * 2), date, "left").join(bounded(cal, calendar_rows), "cal_ix", "left").withColumnRenamed("datetime", "visible_date")
+    # days after the last trade date have no next one; days before the first have the first
+    days = line.where("__to IS NOT NULL").select(F.explode(F.sequence("__from", F.date_sub("__to", 1))).alias(date), (F.col("__ix") + lag).alias("cal_ix"))
+    first = calendar.agg(F.min("datetime").alias("__first"), F.min("cal_ix").alias("__ix"))
+    head = events.agg(F.min(date).cast("date").alias("__from")).crossJoin(F.broadcast(first)).where("__from < __first")
+    early = head.select(F.explode(F.sequence("__from", F.date_sub("__first", 1))).alias(date), (F.col("__ix") + lag - 1).alias("cal_ix"))
+    found = events.join(bounded(days.unionByName(early), None), date, "left")
+    return found.join(bounded(cal, calendar_rows), "cal_ix", "left").withColumnRenamed("datetime", "visible_date")
 
 
 def broadcast_dates(daily, instruments, rows=None):

@@ -161,7 +161,8 @@ def capped_topn(df, n, caps):
 
 
 def cap_weights(df, cap, rounds=20):
-    """Cap and renormalise per date: what lies over the cap is spread over the rest, repeated. Input holds top-n rows only."""
+    """Cap and renormalise per date: what lies over the cap is spread over the rest, repeated; at the end the weights are divided by
+    their total, so they sum to one even where the cap leaves no room. Input holds top-n rows only."""
     by = Window.partitionBy("date")
     df = df.withColumn("weight", F.col("weight") / F.sum("weight").over(by))
     for _ in range(rounds):
@@ -169,7 +170,7 @@ def cap_weights(df, cap, rounds=20):
         room = F.sum(F.when(F.col("weight") < cap, F.col("weight")).otherwise(0.0)).over(by)
         new = F.when(F.col("weight") >= cap, F.lit(cap)).otherwise(F.col("weight") * (1 + over / F.when(room > 0, room)))
         df = df.withColumn("__n", new).withColumn("weight", F.col("__n")).drop("__n")
-    return df
+    return df.withColumn("weight", F.col("weight") / F.sum("weight").over(by))
 
 
 def covariance(df, names, centre=True, value="ret", block=256):

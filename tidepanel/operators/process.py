@@ -224,7 +224,7 @@ def _fill_block(block, cols):
         return F.concat(acc, F.array(F.struct(*[F.coalesce(row[c], last[c]).alias(c) for c in cols])))
 
     first = F.slice(block, 1, 1)
-    return F.aggregate(F.slice(block, 2, 10_000), first, step)
+    return F.aggregate(F.slice(block, 2, F.greatest(F.size(block), F.lit(1))), first, step)
 
 
 def ts_slices(df, cols, length):

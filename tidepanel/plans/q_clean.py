@@ -2,10 +2,12 @@
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions import expr as X
 from tidepanel.operators import clean as C
+from tidepanel.operators import joins as J
 from tidepanel.operators.scale import exact_quantiles
 from tidepanel.plans import fixtures as T
 from tidepanel.plans.registry import query
@@ -34,9 +36,22 @@ def norm_5min(spark, sf_dir):
     return C.norm_bars(T.hours(spark, sf_dir))
 
 
-@query("fix_unit_jump", KEY + "close:f")
+# up to four rows in a row at 100, 10,000, … times their price, where the price itself hardly moves: one repair shows the next
+_CALM = "calm AS (SELECT instrument, datetime, 1000 + close % 300 AS close FROM bars)"
+_STEADY = f"j AS (SELECT *, row_number() OVER {P} % 8 AS k, close / lag(close) OVER {P} BETWEEN 0.9::DOUBLE AND 1.12::DOUBLE AS steady FROM calm)"
+_RUN = f"m AS (SELECT *, CASE WHEN k BETWEEN 1 AND 4 AND coalesce(steady, false) AND (k < 2 OR coalesce(lag(steady, 1) OVER {P}, false)) AND (k < 3 OR coalesce(lag(steady, 2) OVER {P}, false)) AND (k < 4 OR coalesce(lag(steady, 3) OVER {P}, false)) THEN k ELSE 0 END AS spoilt FROM j)"
+
+
+@query("fix_unit_jump", KEY + "close:f spoilt:i", f"WITH {T.BARS}, {_CALM}, {_STEADY}, {_RUN} SELECT instrument, datetime, close, spoilt FROM m")
 def fix_unit_jump(spark, sf_dir):
-    return C.fix_unit_jump(T.bars(spark, sf_dir), rounds=3)
+    w = Window.partitionBy("instrument").orderBy("datetime")
+    b = T.bars(spark, sf_dir).withColumn("close", 1000 + F.col("close") % 300).withColumn("k", F.row_number().over(w) % 8).withColumn("steady", F.coalesce((F.col("close") / F.lag("close").over(w)).between(0.9, 1.12), F.lit(False)))
+    run = F.col("k").between(1, 4) & F.col("steady")
+    for n in (1, 2, 3):
+        run = run & ((F.col("k") <= n) | F.coalesce(F.lag("steady", n).over(w), F.lit(False)))
+    b = b.withColumn("spoilt", F.when(run, F.col("k")).otherwise(0)).drop("k", "steady")
+    b = b.withColumns({c: F.col(c) * F.pow(F.lit(100.0), F.col("spoilt")) for c in C.PRICES})
+    return C.fix_unit_jump(b)
 
 
 _ADJ = "adjin AS (SELECT *, CASE WHEN volume > 30 THEN close * 0.9::DOUBLE END AS adjclose FROM panel)"
@@ -100,9 +115,16 @@ def _ret(spark, sf_dir):
     return T.bars(spark, sf_dir).withColumn("ret", F.col("close") / F.lag("close").over(w) - 1)
 
 
-@query("total_return_adjust", KEY + "adj_close:f2 adj_vwap:f2", f"WITH {T.BARS}, {_RET}, a AS (SELECT *, first_value(close) OVER {UPTO} * exp(sum(ln(1 + coalesce(r, 0) / 500)) OVER {UPTO}) AS adj_close FROM rets) SELECT instrument, datetime, adj_close, (open + high + low + close) * adj_close / close / 4 AS adj_vwap FROM a")
+# every seventh return is missing; one row in 97 is a total loss
+_HARD = f"hard AS (SELECT *, CASE WHEN n % 97 = 50 THEN -1 WHEN n % 7 = 3 THEN NULL ELSE r / 500 END AS x FROM (SELECT *, row_number() OVER {P} AS n FROM rets) AS y)"
+_GROWN = f"a AS (SELECT *, first_value(close) OVER {UPTO} * CASE WHEN bool_or(e <= -1) OVER {UPTO} THEN 0 ELSE exp(sum(ln(CASE WHEN e > -1 THEN 1 + e ELSE 1 END)) OVER {UPTO}) END AS adj_close FROM (SELECT *, coalesce(x, r, 0) AS e FROM hard) AS z)"
+
+
+@query("total_return_adjust", KEY + "adj_close:f2 adj_vwap:f2", f"WITH {T.BARS}, {_RET}, {_HARD}, {_GROWN} SELECT instrument, datetime, adj_close, (open + high + low + close) * adj_close / close / 4 AS adj_vwap FROM a")
 def total_return_adjust(spark, sf_dir):
-    return C.total_return_adjust(_ret(spark, sf_dir).withColumn("ret", F.col("ret") / 500))
+    n = F.row_number().over(Window.partitionBy("instrument").orderBy("datetime"))
+    d = _ret(spark, sf_dir).withColumn("n", n)
+    return C.total_return_adjust(d.withColumn("ret", F.when(F.col("n") % 97 == 50, F.lit(-1.0)).when(F.col("n") % 7 == 3, F.lit(None)).otherwise(F.col("ret") / 500)))
 
 
 @query("forward_return", KEY + "forward:f4", f"WITH {T.BARS}, {_RET} SELECT instrument, datetime, CASE WHEN count(r) OVER w = 5 THEN product(1 + r) OVER w - 1 END AS forward FROM rets WINDOW w AS (PARTITION BY instrument ORDER BY datetime ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)")
@@ -174,11 +196,13 @@ def _panelled(spark, sf_dir):
 _TOPM = f"""tm AS (SELECT CAST(date_trunc('month', datetime) AS DATE) AS month, instrument, datetime FROM bars WHERE volume > 80)"""
 
 
-@query("membership_check", "check_id:s fails:i passes:i", f"WITH {T.BARS}, {_TOPM}, c AS (SELECT month, count(DISTINCT instrument) AS n FROM tm GROUP BY 1) SELECT 'count' AS check_id, count(CASE WHEN n < 60 THEN 1 END) AS fails, count(CASE WHEN NOT n < 60 THEN 1 END) AS passes FROM c UNION ALL SELECT 'after_month_start', count(CASE WHEN datetime < month THEN 1 END), count(CASE WHEN NOT datetime < month THEN 1 END) FROM tm")
+@query("membership_check", "check_id:s fails:i passes:i", f"WITH {T.BARS}, {_TOPM}, c AS (SELECT month, count(DISTINCT instrument) AS n FROM tm GROUP BY 1) SELECT 'count' AS check_id, count(CASE WHEN n < 60 THEN 1 END) AS fails, count(CASE WHEN NOT n < 60 THEN 1 END) AS passes FROM c UNION ALL SELECT 'after_month_start', count(CASE WHEN claimed < month THEN 1 END), count(CASE WHEN NOT claimed < month THEN 1 END) FROM (SELECT month, CASE WHEN CAST(instrument AS INTEGER) % 13 = 0 THEN datetime - 20 ELSE datetime END AS claimed FROM tm)")
 def membership_check(spark, sf_dir):
+    """Members per month, and first use against the month of membership; every thirteenth instrument claims a use 20 days early."""
     tm = T.bars(spark, sf_dir).where("volume > 80").withColumn("month", F.trunc("datetime", "month"))
     n = tm.select("month", "instrument").distinct().groupBy("month").agg(F.count(F.lit(1)).alias("n"))
-    return C.check("count", n, F.col("n") < 60).unionByName(C.check("after_month_start", tm, F.col("datetime") < F.col("month")))
+    claimed = tm.withColumn("claimed", F.when(F.col("instrument").cast("int") % 13 == 0, F.date_sub("datetime", 20)).otherwise(F.col("datetime")))
+    return C.check("count", n, F.col("n") < 60).unionByName(C.check("after_month_start", claimed, F.col("claimed") < F.col("month")))
 
 
 @query("pit_quality", "check_id:s severity:s status:s evidence:i")
@@ -196,11 +220,13 @@ def pit_quality(spark, sf_dir):
     return out
 
 
-@query("leakage_audit", "check_id:s fails:i passes:i", f"WITH {T.PIT}, {T.CALENDAR}, v AS (SELECT p.*, (SELECT min(c.datetime) FROM calendar c WHERE c.datetime > p.date) AS visible FROM pit p) SELECT 'visible_after_event' AS check_id, count(CASE WHEN visible <= date THEN 1 END) AS fails, count(CASE WHEN NOT visible <= date THEN 1 END) AS passes FROM v WHERE date < (SELECT max(datetime) FROM calendar) - 7")
+@query("leakage_audit", "check_id:s fails:i passes:i", f"WITH {T.PIT}, {T.CALENDAR}, v AS (SELECT p.*, (SELECT min(c.datetime) FROM calendar c WHERE c.datetime > p.date) AS visible FROM pit p), u AS (SELECT *, CASE WHEN seq % 11 = 0 THEN date ELSE visible END AS used FROM v WHERE visible IS NOT NULL) SELECT 'used_before_visible' AS check_id, count(CASE WHEN used < visible THEN 1 END) AS fails, count(CASE WHEN NOT used < visible THEN 1 END) AS passes FROM u")
 def leakage_audit(spark, sf_dir):
-    from tidepanel.plans.q_joins import next_date_join
-
-    return C.check("visible_after_event", next_date_join(spark, sf_dir), F.col("visible_date") <= F.col("date"))
+    """Claimed dates of use against the first trade date after each event; every eleventh claim is the day of the event itself."""
+    cal, ev = T.calendar(spark, sf_dir), T.pit(spark, sf_dir)
+    seen = J.next_date_join(ev, cal, calendar_rows=T.bounds(spark, sf_dir).dates).where("visible_date IS NOT NULL")
+    used = seen.withColumn("used", F.when(F.col("seq") % 11 == 0, F.col("date")).otherwise(F.col("visible_date")))
+    return C.check("used_before_visible", used, F.col("used") < F.col("visible_date"))
 
 
 @query("industry_coverage", "year:i coverage:f", f"WITH {T.BARS}, {T.GROUPS} SELECT year(datetime) AS year, avg(CASE WHEN sector <> 'ASIA' THEN 1 ELSE 0 END) AS coverage FROM bars JOIN groups USING (instrument) GROUP BY 1")

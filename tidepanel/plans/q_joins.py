@@ -79,12 +79,11 @@ def interval_join(spark, sf_dir):
     return J.asof_join(_trade_days(spark, sf_dir), right, valid_until="effective_end", chunk_days=200)
 
 
-@query("next_date_join", "instrument:s date:d seq:i visible_date:d", f"WITH {T.PIT}, {T.CALENDAR} SELECT instrument, date, seq, (SELECT min(c.datetime) FROM calendar c WHERE c.datetime > p.date) AS visible_date FROM pit p WHERE date < (SELECT max(datetime) FROM calendar) - 7")
+@query("next_date_join", "instrument:s date:d seq:i visible_date:d", f"WITH {T.PIT}, {T.CALENDAR} SELECT instrument, date, seq, (SELECT min(c.datetime) FROM calendar c WHERE c.datetime > p.date) AS visible_date FROM (SELECT instrument, CASE WHEN seq % 5 = 0 THEN date - 2600 ELSE date END AS date, seq FROM pit) p")
 def next_date_join(spark, sf_dir):
-    cal = T.calendar(spark, sf_dir)
-    top = cal.agg(F.date_sub(F.max("datetime"), 7).alias("__top"))
-    ev = T.pit(spark, sf_dir).crossJoin(F.broadcast(top)).where("date < __top").drop("__top")
-    return J.next_date_join(ev, cal, calendar_rows=T.bounds(spark, sf_dir).dates)
+    """All events; every fifth is moved before the calendar begins."""
+    ev = T.pit(spark, sf_dir).withColumn("date", F.when(F.col("seq") % 5 == 0, F.date_sub("date", 2600)).otherwise(F.col("date")))
+    return J.next_date_join(ev, T.calendar(spark, sf_dir), calendar_rows=T.bounds(spark, sf_dir).dates)
 
 
 @query("broadcast_dates", KEY + "m:f", f"WITH {T.BARS}, {T.SPANS}, d AS (SELECT datetime, avg(close) AS m FROM bars GROUP BY 1) SELECT instrument, datetime, m FROM spans CROSS JOIN d")

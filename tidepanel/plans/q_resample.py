@@ -83,17 +83,21 @@ def calendar_by_ratio(spark, sf_dir):
 @query(
     "calendar_align",
     "o_orderkey:i aligned:d shifted:d",
-    f"""WITH {T.CALENDAR}, t AS (SELECT o_orderkey, max(cal_ix) AS ix FROM orders JOIN calendar c ON c.datetime <= CAST(o_orderdate AS DATE) GROUP BY 1)
-    SELECT t.o_orderkey, a.datetime AS aligned, b.datetime AS shifted FROM t JOIN calendar a ON a.cal_ix = t.ix LEFT JOIN calendar b ON b.cal_ix = t.ix - 3""",
+    f"""WITH {T.CALENDAR}, o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) + CASE o_orderkey % 7 WHEN 0 THEN 3000 WHEN 1 THEN -3000 ELSE 0 END AS day FROM orders), t AS (SELECT o_orderkey, max(cal_ix) AS ix FROM o LEFT JOIN calendar c ON c.datetime <= o.day GROUP BY 1)
+    SELECT t.o_orderkey, a.datetime AS aligned, b.datetime AS shifted FROM t LEFT JOIN calendar a ON a.cal_ix = t.ix LEFT JOIN calendar b ON b.cal_ix = t.ix - 3""",
 )
 def calendar_align(spark, sf_dir):
-    """Time points to the trade date at or before them, and three dates back."""
+    """Time points to the trade date at or before them, and three dates back; some points lie before or after the calendar."""
     b, cal = T.bounds(spark, sf_dir).dates, T.calendar(spark, sf_dir)
-    line = cal.withColumn("__to", F.lead("datetime").over(Window.orderBy("datetime")))
-    days = line.select(F.col("datetime").alias("aligned"), "cal_ix", F.explode(F.sequence("datetime", F.coalesce(F.date_sub("__to", 1), F.date_add("datetime", 366)))).alias("day"))
+    shift = F.when(F.col("o_orderkey") % 7 == 0, 3000).when(F.col("o_orderkey") % 7 == 1, -3000).otherwise(0)
+    o = T.table(spark, sf_dir, "orders").select("o_orderkey", F.date_add(F.to_date("o_orderdate"), shift).alias("day"))
+    # the last trade date holds for all points after it
+    upto = F.broadcast(o.agg(F.max("day").alias("__max")))
+    line = cal.withColumn("__to", F.lead("datetime").over(Window.orderBy("datetime"))).crossJoin(upto)
+    until = F.coalesce(F.date_sub("__to", 1), F.greatest("datetime", "__max"))
+    days = line.select(F.col("datetime").alias("aligned"), "cal_ix", F.explode(F.sequence("datetime", until)).alias("day"))
     back = cal.select((F.col("cal_ix") + 3).alias("cal_ix"), F.col("datetime").alias("shifted"))
-    o = T.table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
-    return o.join(T.bounded(days, b), "day").join(T.bounded(back, b), "cal_ix", "left")
+    return o.join(T.bounded(days, None), "day", "left").join(T.bounded(back, b), "cal_ix", "left")
 
 
 _SH = lambda s: f"avg(CAST(code = 'click' AS INT)) OVER (PARTITION BY instrument ORDER BY ts RANGE BETWEEN INTERVAL {s} SECOND PRECEDING AND CURRENT ROW)"

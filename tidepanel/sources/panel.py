@@ -125,7 +125,7 @@ def write_panel(df, path, calendar=None):
     df = df.withColumn("year", F.year("datetime"))
     df.repartition("year", F.pmod(F.hash("instrument"), F.lit(64))).sortWithinPartitions("instrument", "datetime").write.mode(
         "overwrite"
-    ).partitionBy("year").parquet(f"{path}/values")
+    ).option("partitionOverwriteMode", "static").partitionBy("year").parquet(f"{path}/values")
     stored = df.sparkSession.read.parquet(f"{path}/values")
     (calendar if calendar is not None else build_calendar(stored)).write.mode("overwrite").parquet(f"{path}/calendar")
     build_instruments(stored).write.mode("overwrite").parquet(f"{path}/instruments")
@@ -138,7 +138,7 @@ def export_partitioned(df, path, by="day"):
         df, key, spread = df.withColumn("day", F.to_date("datetime")), "day", F.pmod(F.hash("instrument"), F.lit(16))
     else:
         key, spread = "instrument", F.pmod(F.hash("datetime"), F.lit(16))
-    df.repartition(key, spread).write.mode("overwrite").partitionBy(key).parquet(path)
+    df.repartition(key, spread).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(key).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
