@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.expr import features
 from tidepanel.operators import clean, joins, portfolio, process
-from tidepanel.sources.panel import align_calendar, build_calendar, write_panel
+from tidepanel.sources.panel import align_calendar, build_calendar, scan_panel, write_panel
 
 DAY = dt.date(2020, 1, 1)
 
@@ -71,3 +71,11 @@ def test_a_full_write_replaces_the_store(spark, tmp_path):
     write_panel(a.unionByName(old), str(tmp_path))
     write_panel(a, str(tmp_path))
     assert spark.read.parquet(f"{tmp_path}/values").count() == 2
+
+
+def test_a_range_scan_prunes_years(spark, tmp_path):
+    a = bars(spark, [1.0, 2.0, 3.0])
+    write_panel(a.unionByName(a.withColumn("datetime", F.date_sub("datetime", 400))), str(tmp_path))
+    d = scan_panel(spark, f"{tmp_path}/values", ["close"], start=DAY, end=DAY + dt.timedelta(1))
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan and column(d, "close") == [1.0, 2.0] and d.columns == ["instrument", "datetime", "close"]

@@ -18,8 +18,8 @@ BAR = "instrument:s datetime:d open:f high:f low:f close:f vwap:f volume:f"
 
 
 def scratch(spark, name):
-    """A new folder in the shared checkpoint area; machine-local only where the session names none (tests)."""
-    return os.path.join(checkpoint_dir(spark, "/tmp/tidepanel-checkpoint"), f"{name}-{uuid.uuid4().hex[:12]}")
+    """A new folder in the shared checkpoint area."""
+    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
 @query("scan_panel", "instrument:s datetime:d close:f volume:f", f"WITH {T.BARS} SELECT instrument, datetime, close, volume FROM bars WHERE {RANGE}")
@@ -29,14 +29,15 @@ def scan_panel(spark, sf_dir):
     return P.scan_panel(spark, f"{path}/values", ["close", "volume"], start=A, end=B)
 
 
-@query("scan_csv_parquet", "instrument:s datetime:d close:f volume:f")
+@query("scan_csv_parquet", "instrument:s datetime:d close:f volume:f", f"WITH {T.BARS} SELECT instrument, datetime, close, volume FROM bars")
 def scan_csv_parquet(spark, sf_dir):
-    """Write the bars as CSV, read them back with the symbol column, typed by a schema."""
-    path = scratch(spark, "csv")
+    """Bars of even instruments through CSV files, of the others through Parquet files, both typed and with their symbol column."""
     b = T.bars(spark, sf_dir).select(F.col("instrument").alias("symbol"), F.col("datetime").alias("date"), "close", "volume")
-    b.write.option("header", True).csv(path)
-    back = P.scan_files(spark, path, "csv", schema="symbol string, date string, close double, volume double", symbol_from_name=False)
-    return back.withColumnRenamed("symbol", "instrument")
+    even, csv, parquet = F.col("symbol").cast("int") % 2 == 0, scratch(spark, "csv"), scratch(spark, "parquet")
+    b.where(even).write.option("header", True).csv(csv)
+    b.where(~even).write.parquet(parquet)
+    text = P.scan_files(spark, csv, "csv", schema="symbol string, date string, close double, volume double", symbol_from_name=False)
+    return text.unionByName(P.scan_files(spark, parquet, "parquet", symbol_from_name=False)).withColumnRenamed("symbol", "instrument")
 
 
 @query(
@@ -91,14 +92,22 @@ def select_dump_fields(spark, sf_dir):
     return P.select_fields(T.bars(spark, sf_dir), ["open", "close", "volume"], ["volume"])
 
 
-@query("write_panel", BAR)
+_STORED = f"WITH {T.BARS} SELECT instrument, datetime, open, high, low, close, vwap, volume FROM bars"
+
+
+@query("write_panel", BAR, _STORED)
 def write_panel(spark, sf_dir):
     return P.write_panel(T.bars(spark, sf_dir), scratch(spark, "panel"))
 
 
-@query("partitioned_export", BAR)
+@query("partitioned_export", BAR, _STORED)
 def partitioned_export(spark, sf_dir):
-    return P.export_partitioned(T.bars(spark, sf_dir), scratch(spark, "export"), "day")
+    """Instruments of even number by day, the others by instrument; the two exports together are the table."""
+    b = T.bars(spark, sf_dir)
+    even = F.col("instrument").cast("int") % 2 == 0
+    by_day = P.export_partitioned(b.where(even), scratch(spark, "export"), "day").drop("day")
+    by_name = P.export_partitioned(b.where(~even), scratch(spark, "export"), "instrument")
+    return by_day.unionByName(by_name.withColumn("instrument", F.col("instrument").cast("string")))
 
 
 def _old(df):
@@ -156,13 +165,17 @@ def range_write_overlap(spark, sf_dir):
     return P.write_at(old, new, T.calendar(spark, sf_dir), T.bounds(spark, sf_dir).dates)
 
 
-@query("hash_by_instrument", "instrument:s rows:i")
+@query("hash_by_instrument", "instrument:s rows:i volume:f", f"WITH {T.BARS} SELECT instrument, count(*) AS rows, sum(volume) AS volume FROM bars GROUP BY instrument")
 def hash_by_instrument(spark, sf_dir):
-    df = T.bars(spark, sf_dir).repartition("instrument").sortWithinPartitions("instrument", "datetime")
-    return df.groupBy("instrument").agg(F.count(F.lit(1)).alias("rows"))
+    """The bucketed table, aggregated by its bucket key without a shuffle."""
+    stored = P.hash_by_instrument(T.bars(spark, sf_dir), f"bars_{uuid.uuid4().hex[:12]}", path=scratch(spark, "bucketed"))
+    return stored.groupBy("instrument").agg(F.count(F.lit(1)).alias("rows"), F.sum("volume").alias("volume"))
+
+
+_MADE = f"WITH {T.PANEL} SELECT instrument, datetime, close / lag(close, 5) OVER w - 1 AS mom, stddev_samp(close) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) / close AS vol FROM panel WINDOW w AS (PARTITION BY instrument ORDER BY datetime)"
 
 
-@query("materialize_factors", "instrument:s datetime:d mom:f vol:f")
+@query("materialize_factors", "instrument:s datetime:d mom:f vol:f", _MADE)
 def materialize_factors(spark, sf_dir):
     """Factor columns kept as a table and read back by name."""
     path = scratch(spark, "factors")

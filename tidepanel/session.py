@@ -1,6 +1,7 @@
 """Session settings. Everything here is a default: a session handed in by the caller is used as it is."""
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -32,11 +33,15 @@ def build_session(app="tidepanel", master=None, partitions=None):
     return spark
 
 
-def checkpoint_dir(spark, fallback):
-    """The shared checkpoint folder of the cluster; ``fallback`` only where none is set (tests)."""
+def checkpoint_dir(spark):
+    """The shared folder of the cluster, as ``spark.checkpoint.dir`` names it. A session on one machine makes its own where none is
+    set; on a cluster that is an error, because executors do not see each other's disks."""
     current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if current is None:
-        current = fallback
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        current = tempfile.mkdtemp(prefix="tidepanel-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(current)
     return current

@@ -86,14 +86,17 @@ def select_fields(df, include=None, exclude=()):
 
 def scan_panel(spark, path, fields=None, instruments=None, start=None, end=None):
     df = spark.read.parquet(path)
-    if fields:
-        df = df.select("instrument", "datetime", *fields)
-    if start is not None:
-        df = df.where(F.col("datetime") >= F.lit(start))
-    if end is not None:
-        df = df.where(F.col("datetime") <= F.lit(end))
+    by_year = "year" in df.columns
+    # the store is cut by year: the filter on it prunes folders before any file is read
+    for bound, op in ((start, "__ge__"), (end, "__le__")):
+        if bound is not None:
+            if by_year:
+                df = df.where(getattr(F.col("year"), op)(F.year(F.lit(bound))))
+            df = df.where(getattr(F.col("datetime"), op)(F.lit(bound)))
     if instruments is not None:
         df = df.where(F.col("instrument").isin(list(instruments)))
+    if fields:
+        df = df.select("instrument", "datetime", *fields)
     return clean_floats(df)
 
 
@@ -123,7 +126,8 @@ def scan_static(groups, how="outer"):
 def write_panel(df, path, calendar=None):
     """Full write: values by year, plus calendar and member spans."""
     df = df.withColumn("year", F.year("datetime"))
-    df.repartition("year", F.pmod(F.hash("instrument"), F.lit(64))).sortWithinPartitions("instrument", "datetime").write.mode(
+    # the number of writers of a year follows its size
+    df.hint("rebalance", "year").sortWithinPartitions("instrument", "datetime").write.mode(
         "overwrite"
     ).option("partitionOverwriteMode", "static").partitionBy("year").parquet(f"{path}/values")
     stored = df.sparkSession.read.parquet(f"{path}/values")
@@ -133,12 +137,9 @@ def write_panel(df, path, calendar=None):
 
 
 def export_partitioned(df, path, by="day"):
-    """One file set per day or per instrument. The extra hash key splits a hot day or instrument over 16 writers."""
-    if by == "day":
-        df, key, spread = df.withColumn("day", F.to_date("datetime")), "day", F.pmod(F.hash("instrument"), F.lit(16))
-    else:
-        key, spread = "instrument", F.pmod(F.hash("datetime"), F.lit(16))
-    df.repartition(key, spread).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(key).parquet(path)
+    """One file set per day or per instrument; the number of writers of each follows its size."""
+    df, key = (df.withColumn("day", F.to_date("datetime")), "day") if by == "day" else (df, "instrument")
+    df.hint("rebalance", key).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(key).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -213,9 +214,11 @@ def union_keep_last(frames, keys=("instrument", "datetime")):
     )
 
 
-def hash_by_instrument(df, table, buckets=64):
-    """Bucketed table: point lookups and later instrument windows read without a shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, "instrument").sortBy("instrument", "datetime").saveAsTable(table)
+def hash_by_instrument(df, table, buckets=64, path=None):
+    """Bucketed table: point lookups and later instrument windows read without a shuffle. Rows are dealt to the buckets before the
+    write, so each bucket is one file; ``path`` keeps the files outside the warehouse folder."""
+    writer = df.repartition(buckets, "instrument").write.mode("overwrite").bucketBy(buckets, "instrument").sortBy("instrument", "datetime")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
     return df.sparkSession.table(table)
 
 
