@@ -17,8 +17,9 @@ SHINGLE = 5
 
 def quality_rules(spark, docs, sf_dir):
     """Lines that fail a rule go; documents that the base or the loss of text rejects go."""
-    judged = quality.line_quality(docs, keep=["lang", "source"]).where("kept")
-    return judged.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("long").alias("n_chars"))
+    # written first: a filter on top would move below the projections and evaluate the rules twice
+    judged = materialize(quality.line_quality(docs, keep=["lang", "source"]).select("doc_id", "clean_text", "lang", "source", "kept"), "judged")
+    return judged.where("kept").select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("long").alias("n_chars"))
 
 
 def toxic_documents(spark, docs, sf_dir):

@@ -39,6 +39,12 @@ BOILERPLATE = (
 _MARK = r"[.!?:;…。！？]"
 
 
+def let(value, body):
+    """``body`` of ``value``, which is evaluated once. A plain reference inside a lambda may be replaced by what it stands for, as
+    when a filter moves below a projection, and would then be evaluated for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def count_of(column, chars):
     """Characters of ``column`` that are in the regex class ``chars``."""
     return F.length(column) - F.length(F.regexp_replace(column, chars, ""))
@@ -90,7 +96,9 @@ def line_quality(docs, id_column="doc_id", text_column="text", least_kept=LEAST_
     )
     words, lines = F.col("__words"), F.col("__lines")
     n = F.size(words)
-    d = d.withColumn("__hashes", F.transform(F.slice(words, 1, F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))))
+    at_most = lambda ws: F.slice(ws, 1, F.greatest(F.size(ws) - 2, F.lit(0)))
+    hashes = let(words, lambda ws: F.transform(at_most(ws), lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2))))
+    triples = let(words, lambda ws: F.transform(at_most(ws), lambda w, i: F.concat_ws(" ", w, F.get(ws, i + 1), F.get(ws, i + 2))))
     d = d.select(
         id_column,
         *keep,
@@ -100,23 +108,23 @@ def line_quality(docs, id_column="doc_id", text_column="text", least_kept=LEAST_
         count_of(text, r"[#*$%&|<>]+").cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         # equal windows have equal hashes, so a text whose hashes all differ repeats none; the others compare the windows themselves
-        F.when(
-            F.size("__hashes") > F.size(F.array_distinct("__hashes")),
-            F.transform(F.slice(words, 1, n - 2), lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2))),
-        ).alias("__windows"),
+        F.when(let(hashes, lambda h: F.size(h) > F.size(F.array_distinct(h))), triples).alias("__windows"),
         # a text without any such mark or phrase can only fail the punctuation rule
         F.array_join(F.when(has_marks(text) | has_boilerplate(text), F.filter(lines, lambda x: ~line_fails(x))).otherwise(F.filter(lines, lambda x: ~unmarked(x))), "\n").alias("clean_text"),
     )
     windows = F.col("__windows")
     # sorted windows: equal neighbours are repeated ones
     numbered = F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    d = d.withColumn("__sorted", F.sort_array(numbered))
-    s = F.col("__sorted")
-    same = lambda x, k: F.coalesce(F.get(s, k)["w"] == x["w"], F.lit(False))
-    d = d.withColumn("__at", F.sort_array(F.transform(F.filter(s, lambda x, k: same(x, k - 1) | same(x, k + 1)), lambda x: x["i"])))
-    at = F.col("__at")
+    same = lambda s, k, x: F.coalesce(F.get(s, k)["w"] == x["w"], F.lit(False))
+    repeated = let(F.sort_array(numbered), lambda s: F.filter(s, lambda x, k: same(s, k - 1, x) | same(s, k + 1, x)))
     # a window at i covers i, i + 1 and i + 2, less what the next repeated window covers
-    covered = F.aggregate(F.zip_with(at, F.slice(at, 2, F.greatest(F.size(at), F.lit(1))), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3)))), F.lit(0), lambda x, y: x + y)
+    covered = let(
+        F.sort_array(F.transform(repeated, lambda x: x["i"])),
+        lambda at: F.aggregate(
+            F.zip_with(at, F.slice(at, 2, F.greatest(F.size(at), F.lit(1))), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3)))), F.lit(0), lambda x, y: x + y
+        ),
+    )
+    covered = F.when(windows.isNotNull(), covered)
     d = d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     share = F.when(F.col("__chars") > 0, (F.length("clean_text") + 1) / F.col("__chars")).otherwise(F.lit(0.0))
