@@ -9,7 +9,7 @@ import pytest
 from tidepanel.plans.catalog import QUERIES, STATEMENTS
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["flagship_ic", "align_calendar", "roll_std", "ema", "cs_rank_norm_unbounded", "asof_join", "pit_collapse", "brinson", "stream_tresample"]
+SAMPLE = ["flagship_ic", "align_calendar", "roll_std", "ema", "cs_rank_norm_unbounded", "asof_join", "pit_collapse", "brinson", "stream_tresample", "fix_unit_jump", "next_date_join", "calendar_align", "total_return_adjust", "write_panel", "hash_by_instrument", "scan_csv_parquet", "leakage_audit"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)
@@ -28,3 +28,20 @@ def test_equals_duckdb(spark, name):
 def test_every_statement_has_a_query():
     assert set(STATEMENTS) <= set(QUERIES)
     assert len(QUERIES) > 300
+
+
+#: Queries without a statement, and why.
+NO_STATEMENT = {
+    "linear_fit": "an iterative fit",
+    "gbt_fit": "an iterative fit",
+    "walk_forward": "iterative fits",
+    "permutation_importance": "random shuffles",
+    "capped_topn": "a greedy walk",
+    "pca_cov": "an eigenvalue problem",
+    "fit_then_apply": "an iterative fit",
+    "monthly_apply": "fits by month",
+}
+
+
+def test_every_query_has_a_statement_or_a_reason():
+    assert set(QUERIES) - set(STATEMENTS) == set(NO_STATEMENT)

@@ -160,17 +160,22 @@ def capped_topn(df, n, caps):
     return few.groupBy("date").applyInPandas(walk, few.schema)
 
 
-def cap_weights(df, cap, rounds=20):
-    """Cap and renormalise per date: what lies over the cap is spread over the rest, repeated; at the end the weights are divided by
+def positive_shift(df, value, keys=("date",)):
+    """Values moved above zero within each group: minus the smallest, plus a trifle. Groups are a day's chosen rows."""
+    return F.col(value) - F.min(value).over(Window.partitionBy(*keys)) + 1e-6
+
+
+def cap_weights(df, cap, rounds=20, keys=("date",)):
+    """Cap and renormalise per group: what lies over the cap is spread over the rest, repeated; at the end the weights are divided by
     their total, so they sum to one even where the cap leaves no room. Input holds top-n rows only."""
-    by = Window.partitionBy("date")
+    by = Window.partitionBy(*keys)
     df = df.withColumn("weight", F.col("weight") / F.sum("weight").over(by))
+    w = F.col("weight")
     for _ in range(rounds):
-        over = F.sum(F.greatest(F.col("weight") - cap, F.lit(0.0))).over(by)
-        room = F.sum(F.when(F.col("weight") < cap, F.col("weight")).otherwise(0.0)).over(by)
-        new = F.when(F.col("weight") >= cap, F.lit(cap)).otherwise(F.col("weight") * (1 + over / F.when(room > 0, room)))
-        df = df.withColumn("__n", new).withColumn("weight", F.col("__n")).drop("__n")
-    return df.withColumn("weight", F.col("weight") / F.sum("weight").over(by))
+        df = df.withColumns({"__over": F.sum(F.greatest(w - cap, F.lit(0.0))).over(by), "__rest": F.sum(F.when(w <= cap, w).otherwise(0.0)).over(by)})
+        spread = F.when((F.col("__rest") > 0) & (F.col("__over") > 0), w + w / F.col("__rest") * F.col("__over")).otherwise(w)
+        df = df.withColumn("weight", F.when(w > cap, F.lit(cap)).otherwise(spread)).drop("__over", "__rest")
+    return df.withColumn("weight", w / F.sum("weight").over(by))
 
 
 def covariance(df, names, centre=True, value="ret", block=256):

@@ -205,7 +205,17 @@ def membership_check(spark, sf_dir):
     return C.check("count", n, F.col("n") < 60).unionByName(C.check("after_month_start", claimed, F.col("claimed") < F.col("month")))
 
 
-@query("pit_quality", "check_id:s severity:s status:s evidence:i")
+_VERDICT = "SELECT '{0}' AS check_id, '{1}' AS severity, CASE WHEN count(CASE WHEN {3} THEN 1 END) = 0 THEN 'pass' ELSE 'fail' END AS status, count(CASE WHEN {3} THEN 1 END) AS evidence FROM {2}"
+_VERDICTS = " UNION ALL ".join(
+    [
+        _VERDICT.format("pit_future_period", "high", "pit", "period > year(date) * 100 + quarter(date)"),
+        _VERDICT.format("pit_negative_value", "medium", "pit", "value < 0"),
+        _VERDICT.format("price_not_positive", "high", "bars", "close <= 0"),
+    ]
+)
+
+
+@query("pit_quality", "check_id:s severity:s status:s evidence:i", f"WITH {T.PIT}, {T.BARS} {_VERDICTS}")
 def pit_quality(spark, sf_dir):
     pit, b = T.pit(spark, sf_dir), T.bars(spark, sf_dir)
     rows = [

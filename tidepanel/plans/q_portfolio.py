@@ -385,9 +385,19 @@ def sector_momentum(spark, sf_dir):
     return s.withColumn("cap", F.when(F.col("top_rank") <= 2, 5).otherwise(3))
 
 
-@query("weight_schemes", "date:d instrument:s weight:f")
+_CAP = 0.2
+_ROUND = "w{k} AS (SELECT date, instrument, scheme, CASE WHEN weight > {cap}::DOUBLE THEN {cap}::DOUBLE WHEN u > 0 AND e > 0 THEN weight + weight / u * e ELSE weight END AS weight FROM (SELECT *, sum(greatest(weight - {cap}::DOUBLE, 0)) OVER p AS e, sum(CASE WHEN weight <= {cap}::DOUBLE THEN weight ELSE 0 END) OVER p AS u FROM w{j} WINDOW p AS (PARTITION BY date, scheme)) AS x)"
+_SCHEMES = "sh AS (SELECT *, score - min(score) OVER (PARTITION BY date) + 1e-6::DOUBLE AS x FROM pos), w0 AS (SELECT date, instrument, 'equal' AS scheme, weight FROM pos UNION ALL SELECT date, instrument, 'score', x / sum(x) OVER (PARTITION BY date) FROM sh)"
+_CAPPED = ", ".join([_SCHEMES, *(_ROUND.format(k=k, j=k - 1, cap=_CAP) for k in range(1, 21))])
+
+
+@query("weight_schemes", "date:d instrument:s scheme:s weight:f", f"WITH {POS}, {_CAPPED} SELECT date, instrument, scheme, weight / sum(weight) OVER (PARTITION BY date, scheme) AS weight FROM w20")
 def weight_schemes(spark, sf_dir):
-    return Q.cap_weights(top10(spark, sf_dir, 4).withColumn("weight", F.col("score")).where("score > 0"), 0.2, 5)
+    """All holdings under equal weights and under positively shifted scores, capped."""
+    t = top10(spark, sf_dir, 4)
+    schemes = F.array(F.struct(F.lit("equal").alias("scheme"), F.col("weight").alias("w")), F.struct(F.lit("score").alias("scheme"), Q.positive_shift(t, "score").alias("w")))
+    long = t.withColumn("s", schemes).select("date", "instrument", F.explode("s").alias("s")).select("date", "instrument", "s.scheme", F.col("s.w").alias("weight"))
+    return Q.cap_weights(long, _CAP, keys=("date", "scheme"))
 
 
 @query("attribution_groups", "instrument:s sector:s industry:s n:i win_rate:f total:f", f"WITH {PER}, {T.GROUPS} SELECT instrument, sector, industry, count(*) AS n, avg(CASE WHEN r > 0 THEN 1 ELSE 0 END) AS win_rate, sum(weight * coalesce(r, 0)) AS total FROM held JOIN groups USING (instrument) GROUP BY GROUPING SETS ((instrument), (sector), (industry))")
