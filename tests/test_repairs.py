@@ -2,11 +2,12 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.functions.expr import features
-from tidepanel.operators import clean, joins, portfolio, process
+from tidepanel.operators import clean, joins, model, portfolio, process
 from tidepanel.sources.panel import align_calendar, build_calendar, scan_panel, write_panel
 
 DAY = dt.date(2020, 1, 1)
@@ -79,3 +80,16 @@ def test_a_range_scan_prunes_years(spark, tmp_path):
     d = scan_panel(spark, f"{tmp_path}/values", ["close"], start=DAY, end=DAY + dt.timedelta(1))
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in plan and column(d, "close") == [1.0, 2.0] and d.columns == ["instrument", "datetime", "close"]
+
+
+def test_linear_fits_are_the_plain_ones(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(80, 2)) * [1.0, 30.0]
+    y = x @ [2.0, 0.1] + rng.normal(size=80) + 5
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], "a double, b double, label double")
+    for ridge in (0.0, 40.0):
+        want = np.linalg.solve(x.T @ x + ridge * np.eye(2), x.T @ y)
+        assert list(model.linear_fit(df, ["a", "b"], ridge=ridge).coefficients) == pytest.approx(list(want), rel=1e-6)
+    m = model.linear_fit(df, ["a", "b"], lasso=0.3)
+    grad = x.T @ (y - x @ m.coefficients) / 80
+    assert m.intercept == 0 and all(abs(g - 0.3 * np.sign(c)) < 1e-3 if c else abs(g) <= 0.3 + 1e-3 for g, c in zip(grad, m.coefficients))

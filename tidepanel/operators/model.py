@@ -12,13 +12,27 @@ def assemble(df, features):
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(df)
 
 
-def linear_fit(df, features, label="label", ridge=0.0, lasso=0.0, weight=None):
-    """OLS, ridge or lasso by the mix of the two penalties."""
-    total = ridge + lasso
-    lr = LinearRegression(labelCol=label, predictionCol="pred", regParam=total, elasticNetParam=lasso / total if total else 0.0)
+def linear_fit(df, features, label="label", ridge=0.0, lasso=0.0, weight=None, intercept=False):
+    """Least squares without an intercept unless asked for, on the features as they are.
+
+    ``ridge`` weighs the squared coefficients against the sum of squared errors, ``lasso`` the absolute ones against half the mean
+    squared error. Spark's objective is half the mean, and it measures the squared penalty in label deviations, so the ridge weight
+    is divided by the number of rows and multiplied by the deviation.
+    """
+    rows = assemble(df.where(F.col(label).isNotNull()), features)
+    lr = LinearRegression(labelCol=label, predictionCol="pred", fitIntercept=intercept, standardization=False)
+    if ridge and lasso:
+        raise ValueError("either ridge or lasso")
+    if lasso:
+        lr = lr.setRegParam(lasso).setElasticNetParam(1.0)
+    if ridge:
+        w = F.col(weight) if weight else F.lit(1.0)
+        total, first, second = rows.agg(F.sum(w), F.sum(w * F.col(label)), F.sum(w * F.col(label) ** 2)).first()
+        deviation = (second / total - (first / total) ** 2) ** 0.5
+        lr = lr.setRegParam(ridge / total * deviation)
     if weight:
         lr = lr.setWeightCol(weight)
-    return lr.fit(assemble(df.where(F.col(label).isNotNull()), features))
+    return lr.fit(rows)
 
 
 def gbt_fit(df, features, label="label", trees=10, depth=3, seed=7):

@@ -38,7 +38,7 @@ def linear_fit(spark, sf_dir):
 )
 def linear_fit_single(spark, sf_dir):
     """One-factor least squares; the coefficients are checked against the closed form."""
-    m = M.linear_fit(_rows(spark, sf_dir), ["score"])
+    m = M.linear_fit(_rows(spark, sf_dir), ["score"], intercept=True)
     return spark.createDataFrame([(float(m.coefficients[0]), float(m.intercept))], "slope double, intercept double")
 
 
