@@ -24,28 +24,34 @@ def shard_top_k(vectors, ids, queries, query_ids, k):
     bound. The essential ones, without which no vector can reach the k-th best score so far, are traversed for all vectors; the
     others are probed one by one for the vectors that can still reach it.
     """
+    # sums of products below 2^53 are exact in doubles, whose products are much faster
+    most = max(1, int(np.abs(vectors).max(initial=0))) * max(1, int(np.abs(queries).max(initial=0))) * max(1, vectors.shape[1])
+    kind = np.float64 if most < 2**53 else np.int64
+    vectors, queries = np.ascontiguousarray(vectors, kind), np.ascontiguousarray(queries, kind)
     low, high = vectors.min(axis=0), vectors.max(axis=0)
     columns = np.ascontiguousarray(vectors.T)
-    out_q, out_v, out_s = [], [], []
-    for q, own in zip(queries, query_ids):
+    plans, essentials = [], np.zeros_like(queries)
+    for r, (q, own) in enumerate(zip(queries, query_ids)):
         least = np.where(q >= 0, q * low, q * high)
         bound = np.abs(q) * (high - low)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         rest = np.concatenate([np.cumsum(bound[order][::-1])[::-1], [0]])  # what the terms from here on can add at most
-        free = ids != own
         # a first threshold: the k-th best full score of the vectors that the strongest term favours
-        term = order[0] if len(order) else 0
-        strongest = columns[term] * q[term]
+        strongest = columns[order[0] if len(order) else 0] * q[order[0] if len(order) else 0]
         head = np.argpartition(-strongest, min(8 * k, len(ids) - 1))[: 8 * k]
-        head = head[free[head]]
-        sure = np.sort(vectors[head] @ q)[::-1]
-        threshold = (sure[k - 1] if len(sure) >= k else np.iinfo(np.int64).min) - least.sum()
+        sure = np.sort(vectors[head[ids[head] != own]] @ q)[::-1]
+        threshold = (sure[k - 1] if len(sure) >= k else -np.inf) - least.sum()
         # the essential terms: the shortest run of strong ones after which the others alone stay below the threshold
-        essential = int(np.argmax(rest < threshold)) if threshold > 0 and (rest < threshold).any() else len(order)
-        split = order[:essential]
-        partial = (q[split] @ columns[split] - least[split].sum()) if essential else np.zeros(len(ids), np.int64)
-        alive = np.flatnonzero(free & (partial + rest[essential] >= threshold))
+        below = rest < threshold
+        essential = int(np.argmax(below)) if below.any() else len(order)
+        essentials[r, order[:essential]] = q[order[:essential]]
+        plans.append((least, order, rest, threshold, essential))
+    out_q, out_v, out_s = [], [], []
+    # the essential terms of all queries are traversed together
+    for partial, q, own, (least, order, rest, threshold, essential) in zip(essentials @ columns, queries, query_ids, plans):
+        partial = partial - least[order[:essential]].sum()
+        alive = np.flatnonzero((partial + rest[essential] >= threshold) & (ids != own))
         partial = partial[alive]
         for n in range(essential, len(order)):
             t = order[n]
@@ -56,7 +62,7 @@ def shard_top_k(vectors, ids, queries, query_ids, k):
         best = np.lexsort((ids[alive], -partial))[:k]
         out_q += [own] * len(best)
         out_v += ids[alive[best]].tolist()
-        out_s += (partial[best] + least.sum()).tolist()
+        out_s += [int(x) for x in partial[best] + least.sum()]
     return out_q, out_v, out_s
 
 
