@@ -5,8 +5,13 @@ import os
 
 import duckdb
 
+from pyspark.sql import functions as F
+
+from tidepanel.operators import joins
 from tidepanel.plans import fixtures as T
 from tidepanel.plans.catalog import QUERIES
+from tidepanel.plans.q_resample import _R
+from tidepanel.plans.registry import duck_output
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,3 +32,24 @@ def test_minutes_are_filled_for_every_instrument_without_any(spark, tmp_path):
     whole = f"""WITH {T.TICKS}, d AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS instrument, CAST(ts AS DATE) AS day FROM events)
         SELECT instrument, strftime(day + CAST(to_minutes(540 + 15 * k) AS INTERVAL), '%Y-%m-%d %H:%M:%S.%f') FROM d, range(4) r(k) WHERE instrument NOT IN (SELECT instrument FROM ticks)"""
     assert got == answer(whole)
+
+
+def test_a_slice_holds_every_instrument(spark):
+    got = sorted(map(tuple, QUERIES["quote_slice"](spark, SF).collect()))
+    whole = f'WITH {T.PANEL} SELECT instrument, sum(volume) AS sum, avg(close) AS mean, bool_and(coalesce(volume, 0) > 5) AS "all" FROM panel WHERE {_R} GROUP BY 1'
+    assert len(got) == 10 and got == answer(duck_output(whole, "instrument:s sum:f mean:f all:b"))
+
+
+def test_every_instrument_goes_wide_and_back(spark):
+    got = sorted(map(tuple, QUERIES["pivot_unpivot"](spark, SF).select("instrument", "datetime", "close").collect()))
+    whole = f"WITH {T.BARS} SELECT instrument, datetime, close FROM bars"
+    assert len({r[0] for r in got}) == 10 and got == answer(duck_output(whole, "instrument:s datetime:d close:f"))
+
+
+def test_blocks_have_a_fixed_width_whatever_the_bucket(spark):
+    df = spark.range(50).select(F.concat(F.lit("i"), "id").alias("instrument"), F.lit("2024-01-01").cast("date").alias("datetime"), F.col("id").cast("double").alias("close"))
+    # one bucket for all, so one block is not enough
+    places = joins.column_blocks(df, 1, width=8)
+    wide = joins.pivot_blocks(df, places, "close", width=8)
+    assert wide.count() == 7 and len(wide.columns) == 3 + 8
+    assert sorted(joins.unpivot_blocks(wide, places, "close", width=8).collect()) == sorted(df.collect())

@@ -108,3 +108,26 @@ def order_diff(target, current, unit=100, tradable=None):
     whole = F.floor(diff / unit) * unit
     amount = F.when(F.col("t") == 0, F.col("c")).otherwise(whole)
     return j.withColumns({"direction": F.when(F.col("t") > F.col("c"), "buy").otherwise("sell"), "amount": amount}).where("amount > 0 AND t <> c").select("instrument", "direction", "amount")
+
+
+def column_blocks(df, names, width=64):
+    """A column of its own for each instrument: (instrument, bucket, block, col), where col is one of c0 .. c{width - 1}.
+
+    ``names`` is the instrument count. A bucket takes about ``width`` instruments; one that takes more has several blocks, so no block
+    is wider than that.
+    """
+    buckets = max(1, -(-names // width))
+    d = df.select("instrument").distinct().withColumn("bucket", F.pmod(F.hash("instrument"), F.lit(buckets)))
+    n = F.row_number().over(Window.partitionBy("bucket").orderBy("instrument")) - 1
+    return d.select("instrument", "bucket", F.floor(n / width).alias("block"), F.concat(F.lit("c"), n % width).alias("col"))
+
+
+def pivot_blocks(df, places, value, width=64):
+    """One wide row per date and block of ``column_blocks``."""
+    return df.join(places, "instrument").groupBy("datetime", "bucket", "block").pivot("col", [f"c{k}" for k in range(width)]).agg(F.max(value))
+
+
+def unpivot_blocks(wide, places, value, width=64):
+    """Back to long rows; empty cells give none."""
+    long = wide.unpivot(["datetime", "bucket", "block"], [f"c{k}" for k in range(width)], "col", value).where(F.col(value).isNotNull())
+    return long.join(places, ["bucket", "block", "col"]).select("instrument", "datetime", value)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from tidepanel.operators import evaluate as E
+from tidepanel.operators import joins as J
 from tidepanel.operators import model as M
 from tidepanel.operators.scale import Bounds, xs_top
 from tidepanel.plans import fixtures as T
@@ -159,11 +160,12 @@ def set_intersect(spark, sf_dir):
     return a.intersect(b)
 
 
-@query("pivot_unpivot", "datetime:d c1:f c2:f c3:f", f"WITH {T.BARS} SELECT datetime, max(CASE WHEN instrument = '1' THEN close END) AS c1, max(CASE WHEN instrument = '2' THEN close END) AS c2, max(CASE WHEN instrument = '3' THEN close END) AS c3 FROM bars WHERE instrument IN ('1', '2', '3') GROUP BY 1")
+@query("pivot_unpivot", KEY + "close:f", f"WITH {T.BARS} SELECT datetime, max(CASE WHEN instrument = '1' THEN close END) AS c1, max(CASE WHEN instrument = '2' THEN close END) AS c2, max(CASE WHEN instrument = '3' THEN close END) AS c3 FROM bars WHERE instrument IN ('1', '2', '3') GROUP BY 1", "datetime:d c1:f c2:f c3:f")
 def pivot_unpivot(spark, sf_dir):
-    wide = T.bars(spark, sf_dir).groupBy("datetime").pivot("instrument", ["1", "2", "3"]).agg(F.max("close"))
-    back = wide.unpivot(["datetime"], ["1", "2", "3"], "instrument", "close").where("close IS NOT NULL")
-    return back.groupBy("datetime").pivot("instrument", ["1", "2", "3"]).agg(F.max("close")).withColumnsRenamed({"1": "c1", "2": "c2", "3": "c3"})
+    """Every instrument through wide rows and back to long ones; columns come in blocks of a fixed width."""
+    b = T.bars(spark, sf_dir)
+    places = J.column_blocks(b, T.bounds(spark, sf_dir).names)
+    return J.unpivot_blocks(J.pivot_blocks(b, places, "close"), places, "close")
 
 
 # ---- user functions ----

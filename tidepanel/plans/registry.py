@@ -60,15 +60,15 @@ def duck_output(sql, cols):
     return f"SELECT {', '.join(out)} FROM ({sql}) AS answer"
 
 
-def query(name, cols, sql=None):
-    """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name`` with its output columns."""
+def query(name, cols, sql=None, sql_cols=None):
+    """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name`` with its output columns, and those of the statement if they differ."""
 
     def wrap(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = lambda spark, sf_dir: spark_output(fn(spark, sf_dir), cols)
         if sql is not None:
-            STATEMENTS[name] = duck_output(sql, cols)
+            STATEMENTS[name] = duck_output(sql, sql_cols or cols)
         return fn
 
     return wrap
