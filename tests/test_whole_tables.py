@@ -4,12 +4,13 @@ import glob
 import os
 
 import duckdb
-
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.operators import joins
+from tidepanel.operators import joins, portfolio
 from tidepanel.plans import fixtures as T
-from tidepanel.plans.catalog import QUERIES
+from tidepanel.plans.catalog import QUERIES, STATEMENTS
 from tidepanel.plans.q_resample import _R
 from tidepanel.plans.registry import duck_output
 
@@ -53,3 +54,70 @@ def test_blocks_have_a_fixed_width_whatever_the_bucket(spark):
     wide = joins.pivot_blocks(df, places, "close", width=8)
     assert wide.count() == 7 and len(wide.columns) == 3 + 8
     assert sorted(joins.unpivot_blocks(wide, places, "close", width=8).collect()) == sorted(df.collect())
+
+
+def test_weight_schemes_by_risk(spark):
+    rows = QUERIES["weight_schemes"](spark, SF).select("date", "instrument", "scheme", "weight").collect()
+    assert {r.scheme for r in rows} == {"equal", "score", "inverse_vol", "beta", "beta_neutral"}
+    # equal and score weights are still those of the statement
+    assert sorted(tuple(r) for r in rows if r.scheme in ("equal", "score")) == answer(STATEMENTS["weight_schemes"])
+    d = spark.createDataFrame([(0.02, 2.0, 1.0), (0.1, 0.1, 2.0), (None, None, 3.0)], "vol double, beta double, score double").withColumn("date", F.lit(1))
+    got = d.select(*[v.alias(k) for k, v in portfolio.scheme_values(d).items()]).collect()
+    want = {"inverse_vol": [2.0, 10.0, 20.0], "beta": [0.5, 1.0, 1 / 0.3], "beta_neutral": [0.25, 1.0, 1 / 0.09]}
+    for name, values in want.items():
+        assert sorted(r[name] for r in got) == pytest.approx(values)
+
+
+def test_trailing_risk(spark):
+    price = np.exp(np.cumsum(np.random.default_rng(4).normal(0, 0.05, (3, 30)), axis=1))
+    d = spark.createDataFrame([(t, f"i{k}", float(price[k, t])) for k in range(3) for t in range(30)], "date int, instrument string, price double")
+    got = {(r.instrument, r.date): r for r in portfolio.trailing_risk(d).collect()}
+    m = price[:, 1:] / price[:, :-1] - 1
+    k = m.mean(axis=0)
+    for i in range(3):
+        assert got[f"i{i}", 29].vol == pytest.approx(m[i, -12:].std(ddof=1) * 52**0.5)
+        assert got[f"i{i}", 29].beta == pytest.approx(np.cov(m[i, -24:], k[-24:])[0, 1] / k[-24:].var(ddof=1))
+
+
+def dense_shrunk(x, target, alpha):
+    """The estimators written with matrices."""
+    t, p = x.shape
+    s = x.T @ x / t
+    v, k = np.diag(s), x.mean(axis=1)
+    sd, c, vk = np.sqrt(v), x.T @ k / t, k @ k / t
+    r = (np.sum(s / np.outer(sd, sd)) - p) / (p * (p - 1))
+    f = {"const_var": np.eye(p) * v.mean(), "const_corr": r * np.outer(sd, sd), "single_factor": np.outer(c, c) / vk}[target]
+    if target != "const_var":
+        np.fill_diagonal(f, v)
+    y, z = x**2, x * k[:, None]
+    phi = y.T @ y / t - s**2
+    rho = 0.0
+    if target == "const_corr":
+        theta = (x**3).T @ x / t - v[:, None] * s
+        np.fill_diagonal(theta, 0)
+        rho = np.trace(phi) + r * np.sum(np.outer(1 / sd, sd) * theta)
+    if target == "single_factor":
+        v1, v3 = (y.T @ z / t - c[:, None] * s) * c[None, :], (z.T @ z / t - vk * s) * np.outer(c, c)
+        rho = np.trace(phi) + 2 * (v1.sum() - np.trace(v1)) / vk - (v3.sum() - np.trace(v3)) / vk**2
+    if alpha == "lw":
+        alpha = max(0, min(1, (phi.sum() - rho) / np.sum((s - f) ** 2) / t))
+    elif alpha == "oas":
+        s2, tr2 = np.sum(s**2), np.trace(s) ** 2
+        alpha = (1 - 2 / p) * (s2 + tr2) / ((t + 1 - 2 / p) * (s2 + tr2 / p))
+    return (1 - alpha) * s + alpha * f, alpha
+
+
+@pytest.mark.parametrize("target", ["const_var", "const_corr", "single_factor"])
+def test_shrinkage_intensities(spark, target):
+    rng = np.random.default_rng(5)
+    raw = rng.normal(0, 1, (40, 6)) * np.arange(1, 7) + rng.normal(0, 1, (40, 1)) * np.linspace(0.5, 2, 6)
+    raw[3, 2] = raw[7, 5] = np.nan
+    rows = [(t, t, f"i{k}", None if np.isnan(raw[t, k]) else float(raw[t, k])) for t in range(40) for k in range(6)]
+    df = spark.createDataFrame(rows, "date int, ix int, instrument string, ret double")
+    x = np.nan_to_num(raw - np.nanmean(raw, axis=0))
+    for alpha in ("lw", "oas", 0.3):
+        want, share = dense_shrunk(x, target, alpha)
+        got = portfolio.shrink_returns(df, 6, target, alpha, block=4).collect()
+        assert len(got) == 36 and got[0].alpha == pytest.approx(share) and share > 0
+        for e in got:
+            assert e.cov == pytest.approx(want[int(e.i[1]), int(e.j[1])])

@@ -162,7 +162,7 @@ def calendar_by_ratio(df, ratio, time="datetime"):
 
 
 def order_book_features(quotes):
-    """Per minute: relative spread and mid at the last quote, size share, mean change rate against the quote k rows before."""
+    """Per hour, for one level: relative spread at the last quote, size share and last price."""
     last = lambda c: F.max_by(c, F.struct("ts", "event_id"))
     g = quotes.groupBy("instrument", F.window("ts", "60 minutes")["start"].alias("bin")).agg(
         last(F.col("ask") - F.col("bid")).alias("spread"),

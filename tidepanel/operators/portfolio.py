@@ -165,6 +165,27 @@ def positive_shift(df, value, keys=("date",)):
     return F.col(value) - F.min(value).over(Window.partitionBy(*keys)) + 1e-6
 
 
+def trailing_risk(prices, vol_rows=12, beta_rows=24, per_year=52):
+    """Per row of ``prices`` (date, instrument, price): yearly volatility and beta against the mean change of all names, both over the
+    changes known on that date."""
+    own = Window.partitionBy("instrument").orderBy("date")
+    d = prices.withColumn("m", F.col("price") / F.lag("price").over(own) - 1)
+    market = d.groupBy("date").agg(F.avg("m").alias("k"))
+    d = d.join(market, "date").withColumn("k", F.when(F.col("m").isNotNull(), F.col("k")))
+    long = own.rowsBetween(1 - beta_rows, 0)
+    spread = F.var_samp("k").over(long)
+    vol = F.stddev_samp("m").over(own.rowsBetween(1 - vol_rows, 0)) * per_year**0.5
+    return d.select("date", "instrument", vol.alias("vol"), (F.covar_samp("m", "k").over(long) / F.when(spread > 0, spread)).alias("beta"))
+
+
+def scheme_values(df):
+    """Scheme name -> weight before scaling and caps, from score, vol and beta. Small or missing risks take the floors and defaults of the
+    surveyed code (fixed values)."""
+    vol = F.greatest(F.coalesce("vol", F.lit(0.5)), F.lit(0.05))
+    beta = F.greatest(F.coalesce("beta", F.lit(1.0)), F.lit(0.3))
+    return {"equal": F.lit(1.0), "score": positive_shift(df, "score"), "inverse_vol": 1 / vol, "beta": 1 / beta, "beta_neutral": 1 / (beta * beta)}
+
+
 def cap_weights(df, cap, rounds=20, keys=("date",)):
     """Cap and renormalise per group: what lies over the cap is spread over the rest, repeated; at the end the weights are divided by
     their total, so they sum to one even where the cap leaves no room. Input holds top-n rows only."""
@@ -243,6 +264,64 @@ def shrink(cov, alpha, target="const_var"):
     return c.crossJoin(F.broadcast(m)).withColumn("cov", (1 - alpha) * F.col("cov") + alpha * t).drop("__r", "si", "sj", "corr")
 
 
+def shrink_returns(df, names, target="single_factor", alpha="lw", value="ret", block=256):
+    """Covariance table (i, j, cov, alpha) of returns (date, ix, instrument, ``value``), shrunk to ``const_var``, ``const_corr`` or
+    ``single_factor`` by a fixed share or the ``lw`` (Ledoit-Wolf) or ``oas`` intensity.
+
+    Returns are centred per instrument and a missing one counts as its mean. Products of two names summed over all pairs are products
+    of sums per date, so the intensities need the pair table for squares of S only; single rows of totals go to the driver.
+    """
+    d = df.where(F.col(value).isNotNull()).select("date", "ix", "instrument", F.col(value).alias("r"))
+    t = df.select("date").distinct().count()
+    x = d.join(d.groupBy("instrument").agg(F.avg("r").alias("mean")), "instrument").select("date", "ix", "instrument", (F.col("r") - F.col("mean")).alias("x"))
+    p = x.select("instrument").distinct().count()
+    market = x.groupBy("date").agg((F.sum("x") / p).alias("m"))
+    x = x.join(market, "date")
+    one = x.groupBy("instrument").agg((F.sum(F.col("x") ** 2) / t).alias("v"), (F.sum(F.col("x") * F.col("m")) / t).alias("c"))
+    var_m = market.agg(F.sum(F.col("m") ** 2) / t).first()[0]
+    side = lambda k: one.select(F.col("instrument").alias(k), F.col("v").alias(f"v{k}"), F.col("c").alias(f"c{k}"), F.sqrt("v").alias(f"s{k}"))
+    pair = covariance(x, names, centre=False, value="x", block=block).select("i", "j", (F.col("cov") * F.col("n") / t).alias("s"))
+    g = side("i").crossJoin(side("j")).join(pair, ["i", "j"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
+    same, both = F.col("i") == F.col("j"), F.col("si") * F.col("sj")
+    q = g.agg(
+        F.sum(F.col("s") ** 2).alias("s2"),
+        F.sum(F.when(same, F.col("s"))).alias("tr"),
+        F.sum(F.when(same, F.col("s") ** 2)).alias("v2"),
+        F.sum(F.when(~same & (both > 0), F.col("s") / both)).alias("r"),
+        F.sum(F.col("ci") * F.col("cj") * F.col("s")).alias("ccs"),
+        F.sum(F.when(F.col("si") > 0, F.col("vi") * F.col("s") * F.col("sj") / F.col("si"))).alias("vss"),
+    ).first()
+    r = (q.r or 0.0) / (p * (p - 1)) if p > 1 else 0.0
+    off = {"const_var": F.lit(0.0), "const_corr": r * both, "single_factor": F.col("ci") * F.col("cj") / (var_m or float("inf"))}[target]
+    f = F.when(same, q.tr / p if target == "const_var" else F.col("s")).otherwise(off)
+    if alpha == "oas":
+        alpha = (1 - 2 / p) * (q.s2 + q.tr**2) / ((t + 1 - 2 / p) * (q.s2 + q.tr**2 / p))
+    elif alpha == "lw":
+        y, m, c, sd = F.col("x"), F.col("m"), F.col("c"), F.sqrt("v")
+        day = x.join(one, "instrument").groupBy("date", "m").agg(
+            F.sum(y**2).alias("y2"), F.sum(y**4).alias("y4"), F.sum(y * c).alias("yc"), F.sum(y * sd).alias("ys"),
+            F.sum(F.when(sd > 0, y**3 / sd)).alias("y3s"), F.sum(y**3 * c).alias("y3c"), F.sum(y**2 * c**2).alias("y2c2"),
+        )
+        mean = lambda e: F.sum(e) / t
+        w = day.agg(
+            mean(F.col("y2") ** 2).alias("phi"),
+            mean(F.col("y4")).alias("diag"),
+            mean(F.coalesce("y3s", F.lit(0.0)) * F.col("ys") - F.col("y4")).alias("theta"),
+            mean(m * (F.col("y2") * F.col("yc") - F.col("y3c"))).alias("first"),
+            mean(m * m * (F.col("yc") ** 2 - F.col("y2c2"))).alias("third"),
+        ).first()
+        cv = one.agg(F.sum(c**2 * F.col("v"))).first()[0]
+        gamma = g.agg(F.sum((F.col("s") - f) ** 2)).first()[0]
+        rho = 0.0
+        if target == "const_corr":
+            rho = w.diag - q.v2 + r * (w.theta - (q.vss or 0.0) + q.v2)
+        elif target == "single_factor" and var_m:
+            common = q.ccs - cv
+            rho = w.diag - q.v2 + 2 * (w.first - common) / var_m - (w.third - var_m * common) / var_m**2
+        alpha = max(0.0, min(1.0, (w.phi - q.s2 - rho) / gamma / t)) if gamma else 0.0
+    return g.select("i", "j", ((1 - alpha) * F.col("s") + alpha * f).alias("cov"), F.lit(float(alpha)).alias("alpha"))
+
+
 def threshold(cov, level, kind="soft"):
     """Hard, soft or SCAD threshold of the correlations; the diagonal stays."""
     c = correlation(cov)

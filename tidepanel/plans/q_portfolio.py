@@ -393,9 +393,9 @@ _CAPPED = ", ".join([_SCHEMES, *(_ROUND.format(k=k, j=k - 1, cap=_CAP) for k in
 
 @query("weight_schemes", "date:d instrument:s scheme:s weight:f", f"WITH {POS}, {_CAPPED} SELECT date, instrument, scheme, weight / sum(weight) OVER (PARTITION BY date, scheme) AS weight FROM w20")
 def weight_schemes(spark, sf_dir):
-    """All holdings under equal weights and under positively shifted scores, capped."""
-    t = top10(spark, sf_dir, 4)
-    schemes = F.array(F.struct(F.lit("equal").alias("scheme"), F.col("weight").alias("w")), F.struct(F.lit("score").alias("scheme"), Q.positive_shift(t, "score").alias("w")))
+    """All holdings under equal weights, positively shifted scores, inverse volatility and two weights by beta, capped."""
+    t = top10(spark, sf_dir, 4).join(Q.trailing_risk(prices(spark, sf_dir)), ["date", "instrument"], "left")
+    schemes = F.array(*[F.struct(F.lit(k).alias("scheme"), v.alias("w")) for k, v in Q.scheme_values(t).items()])
     long = t.withColumn("s", schemes).select("date", "instrument", F.explode("s").alias("s")).select("date", "instrument", "s.scheme", F.col("s.w").alias("weight"))
     return Q.cap_weights(long, _CAP, keys=("date", "scheme"))
 
