@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tidepanel.llm import minhash, packing, pii, quality, toxicity
-from tidepanel.llm.common import materialize, table
+from tidepanel.llm.common import materialize, table, text_or_empty
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Words of a shingle of the near-duplicate stage.
@@ -29,10 +29,13 @@ def toxic_documents(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each group of near duplicates stays: the one with the smallest id; of rows that repeat it, one."""
-    found = minhash.near_duplicates(docs, k=SHINGLE).where("kept").select("doc_id").distinct()
-    known = docs.where("doc_id IS NOT NULL").join(found, "doc_id", "left_semi").select(*COLUMNS)
-    return known.dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL").select(*COLUMNS))
+    """One document of each group of near duplicates stays: the one with the smallest id; of rows that repeat it, one. Different texts
+    under one id are judged each for itself."""
+    found = minhash.near_duplicates(docs, k=SHINGLE, detail=True).where("kept AND doc_id IS NOT NULL")
+    # of several texts of one group under its smallest id, the one with the smallest digest
+    best = found.groupBy("doc_id", F.coalesce(F.hex("root"), "digest").alias("__group")).agg(F.min("digest").alias("__digest")).select("doc_id", "__digest").distinct()
+    known = docs.where("doc_id IS NOT NULL").withColumn("__digest", F.sha2(text_or_empty("text"), 256)).join(best, ["doc_id", "__digest"], "left_semi")
+    return known.dropDuplicates(["doc_id", "__digest"]).select(*COLUMNS).union(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
 def personal_data(spark, docs, sf_dir):

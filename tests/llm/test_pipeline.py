@@ -42,3 +42,15 @@ def test_odd_rows_pass_through(spark, odd):
         docs = stage(spark, docs, labels)
     rows = docs.collect()
     assert {r.doc_id for r in rows} == {None} and re.fullmatch(r"\d+", str(sum(r.length for r in rows)))
+
+
+def test_texts_under_one_id_are_judged_each_for_itself(spark):
+    text = lambda w: " ".join(f"{w}{k}" for k in range(60))
+    a, b, c, d = (text(w) for w in "abcd")
+    rows = [(3, a), (5, a), (5, b), (5, c), (5, c), (7, d), (7, d + " end"), (8, "")]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for _ in range(2):
+        kept = [(r.doc_id, r.text) for r in cp.near_duplicates(spark, docs.repartition(3), None).collect()]
+        # of the two near copies under 7 one stays
+        assert sorted(x for x in kept if x[0] != 7) == [(3, a), (5, b), (5, c), (8, "")]
+        assert len(kept) == 5 and {x for x in kept if x[0] == 7} < {(7, d), (7, d + " end")}
