@@ -84,3 +84,8 @@ def test_whole_table(spark):
         want = brute(texts[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(pii.written(want).encode()).hexdigest()
         assert set(pii.written(want).split(",")) <= set(r.spans.split(","))
+
+
+@pytest.mark.parametrize("text, want", [("mail bob AT example DOT org please", "email:5:27"), ("contact sales [AT] example [DOT] com for prices", "email:8:36"), ("write to jane Dot doe At example Dot com soon", "email:9:40")])
+def test_capitals_are_decoded(text, want):
+    assert pii.written(pii.tagger().extra_spans([text], [pii.base_spans(text)])[0]) == want

@@ -128,7 +128,7 @@ _MARKUP = re.compile(r"\{\{(\w+):(.*?)\}\}")
 #: Words that the features name; any other word is known by its shape alone.
 CONTEXT = frozenset("at dot punkt punto point call phone tel telefon tél teléfono mobile cell fax text number email mail e write contact reach send address ip host server card".split())
 #: What makes a neighbourhood worth decoding, and the white-space-separated words on either side of it.
-_TRIGGER = re.compile(r"[0-9@]|\b(?:at|dot|punkt|punto|point)\b|[\[(](?:at|dot)[\])]")
+_TRIGGER = re.compile(r"[0-9@]|\b(?:at|dot|punkt|punto|point)\b|[\[(](?:at|dot)[\])]", re.IGNORECASE)
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\s]")
 _OUTSIDE = re.compile(r"\S+")
 SIDE = 3
@@ -284,7 +284,7 @@ def neighbourhoods(text):
 def plausible(kind, text):
     digits = len(_DIGIT.findall(text))
     if kind == 0:
-        return bool(re.search(r"@|\bat\b|[\[(]at[\])]", text)) and bool(re.search(r"\.|dot|punkt|punto|point", text)) and len(text) < 120
+        return bool(re.search(r"@|\bat\b|[\[(]at[\])]", text, re.IGNORECASE)) and bool(re.search(r"\.|dot|punkt|punto|point", text, re.IGNORECASE)) and len(text) < 120
     if kind == 1:
         parts = re.findall("[0-9]+", text)
         return len(parts) == 4 and all(int(p[:4]) <= 255 for p in parts)
