@@ -121,3 +121,10 @@ def test_shrinkage_intensities(spark, target):
         assert len(got) == 36 and got[0].alpha == pytest.approx(share) and share > 0
         for e in got:
             assert e.cov == pytest.approx(want[int(e.i[1]), int(e.j[1])])
+
+
+def test_a_date_may_hold_any_number_of_names(spark, monkeypatch):
+    monkeypatch.setitem(T._bounds, SF, T.bounds(spark, SF)._replace(names=200_001))
+    df = QUERIES["udtf_date"](spark, SF)
+    assert "InPandas" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, df.select("instrument", "datetime", "value").collect())) == answer(STATEMENTS["udtf_date"])

@@ -8,7 +8,7 @@ from pyspark.sql import types as ST
 from tidepanel.operators import evaluate as E
 from tidepanel.operators import joins as J
 from tidepanel.operators import model as M
-from tidepanel.operators.scale import Bounds, xs_top
+from tidepanel.operators.scale import Bounds, bounded, xs_top
 from tidepanel.plans import fixtures as T
 from tidepanel.plans.q_evaluate import FULL, corr, ic_sql
 from tidepanel.plans.q_universe import SEGMENT, segment_table
@@ -219,12 +219,7 @@ def udtf_inst(spark, sf_dir):
 
 @query("udtf_date", KEY + "value:f", f"WITH {T.BARS} SELECT instrument, datetime, close / max(close) OVER (PARTITION BY datetime) AS value FROM bars")
 def udtf_date(spark, sf_dir):
-    """A per-date table function. It needs a whole date in one task, so it is refused beyond a proven size."""
-    b = T.bounds(spark, sf_dir)
-    if b.names > 200_000:
-        raise ValueError("a date holds too many instruments for one task; use the aggregate forms")
-
-    def run(pdf):
-        return pdf.assign(value=pdf["close"] / pdf["close"].max())[["instrument", "datetime", "value"]]
-
-    return T.bars(spark, sf_dir).groupBy("datetime").applyInPandas(run, "instrument string, datetime date, value double")
+    """A function of a row and of its date: the date's part is an aggregate that is joined back, so a date may hold any number of names."""
+    b = T.bars(spark, sf_dir)
+    top = b.groupBy("datetime").agg(F.max("close").alias("top"))
+    return b.join(bounded(top, T.bounds(spark, sf_dir).dates), "datetime").select("instrument", "datetime", (F.col("close") / F.col("top")).alias("value"))
