@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB statements."""
 
-from tidepanel.llm import chat, maxscore, minhash, packing, pieces, pii, quality, tokens, toxicity, warc
+from tidepanel.llm import chat, chunks, maxscore, minhash, packing, pieces, pii, quality, tokens, toxicity, warc
 
 QUERIES = {
     "op1_line_quality": quality.op1_line_quality,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_top_k": maxscore.op8_top_k,
     "op9_warc": warc.op9_warc,
     "op10_pii": pii.op10_pii,
+    "op13_bpe_chunks": chunks.op13_bpe_chunks,
 }
 STATEMENTS = {
     "op1_line_quality": quality.STATEMENT,
