@@ -145,7 +145,9 @@ def fit(sample):
         return None
     lexicon = learn_lexicon(sample.where("part <> 1"))
     # repeated rows have one label
-    rows = materialize(features(sample.select("id", "text"), lexicon).join(sample.select("id", "toxic", "part").distinct(), "id"), "features").coalesce(2)
+    rows = materialize(features(sample.select("id", "text"), lexicon).join(sample.select("id", "toxic", "part").distinct(), "id"), "features")
+    # draws of the trees follow the order of rows: one partition of a bounded sample, sorted, gives every run the same trees
+    rows = rows.coalesce(1).sortWithinPartitions("id", *FEATURES)
     rows = VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(rows).select("vector", "part", F.col("toxic").cast("double").alias("label"))
     trees = GBTClassifier(featuresCol="vector", maxIter=20, maxDepth=4, stepSize=0.3, minInstancesPerNode=10, subsamplingRate=0.8, seed=7).fit(rows.where("part <> 1"))
     raw = trees.transform(rows.where("part = 1")).select(vector_to_array("probability")[1].alias("raw"), "label")
