@@ -12,6 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions import elem as E
+from tidepanel.functions import growing as G
 from tidepanel.functions import rolling as R
 from tidepanel.operators.scale import bounded, with_chunks
 
@@ -21,8 +22,8 @@ INFINITE = math.inf
 class Term:
     """A column to be: its text, its inputs, and how to build it from the columns of the inputs."""
 
-    def __init__(self, text, inputs, build, back=0, ahead=0, window=False, may_inf=False, other=None):
-        self.text, self.inputs, self.build, self.window, self.other = text, inputs, build, window, other
+    def __init__(self, text, inputs, build, back=0, ahead=0, window=False, may_inf=False, other=None, attach=None):
+        self.text, self.inputs, self.build, self.window, self.other, self.attach = text, inputs, build, window, other, attach
         self.back = back + max([i.back for i in inputs], default=0)
         self.ahead = ahead + max([i.ahead for i in inputs], default=0)
         self.level = max([i.level for i in inputs], default=0) + (1 if window else 0)
@@ -161,7 +162,7 @@ Skew = rolling("Skew", R.skew)
 Kurt = rolling("Kurt", R.kurt)
 Max = rolling("Max", R.highest)
 Min = rolling("Min", R.lowest)
-Mad = rolling("Mad", R.mad)
+_Mad = rolling("Mad", R.mad)
 IdxMax = rolling("IdxMax", R.idx_max, position=True, raw=True)
 IdxMin = rolling("IdxMin", R.idx_min, position=True, raw=True)
 
@@ -182,6 +183,13 @@ def _values(x, n):
     return _base("list", x, n, F.collect_list)
 
 
+def _growing(name, x, fn, *extra):
+    """A function of all rows so far that no running aggregate gives: it is computed as a table and joined back."""
+    text = ",".join([str(x), "0", *map(str, extra)])
+    value = Term(f"_growing_input({x})", (x,), lambda cols, env: _input(x, cols[0]))
+    return Term(f"{name}({text})", (value,), None, back=INFINITE, window=True, attach=lambda df, column, out: fn(df, column, out, *extra))
+
+
 def _derived(name, text, inputs, fn):
     return Term(f"{name}({text})", tuple(inputs), lambda cols, env: fn(*cols))
 
@@ -254,8 +262,15 @@ def WMA(x, n):
     return _derived("WMA", f"{x},{n}", [*sums, rows, place], R.wma_of_sums)
 
 
+@_rolled("Mad")
+def Mad(x, n):
+    return _Mad(x, n) if n else _growing("Mad", x, G.mean_distance)
+
+
 @_rolled("Quantile")
 def Quantile(x, n, q):
+    if n == 0:
+        return _growing("Quantile", x, G.quantile, q)
     ordered = _derived("_sorted", f"{x},{n}", [_values(x, n)], F.array_sort)
     return _derived("Quantile", f"{x},{n},{q}", [ordered], lambda v: R.quantile_of_list(v, q))
 
@@ -267,6 +282,8 @@ def Med(x, n):
 
 @_rolled("Rank")
 def Rank(x, n):
+    if n == 0:
+        return _growing("Rank", x, G.rank)
     here = Term(f"_value({x})", (x,), lambda cols, env: _input(x, cols[0]))
     return _derived("Rank", f"{x},{n}", [here, _values(x, n)], R.rank_in_list)
 
@@ -516,7 +533,10 @@ def features(panel, exprs, start=None, end=None, calendar_rows=None, keep=(), ch
         if inputs:
             df = df.withColumns({n: column(i) for n, i in inputs.values()})
             made.update({text: n for text, (n, _) in inputs.items()})
-        df = df.withColumns({n: column(t) for n, t in step.values()})
+        df = df.withColumns({n: column(t) for n, t in step.values() if not t.attach})
+        # all tables are made from the panel before any of them is joined to it
+        for table in [t.attach(df, made[t.inputs[0].text], n) for n, t in step.values() if t.attach]:
+            df = df.join(table, ["instrument", "cal_ix"], "left")
         made.update({text: n for text, (n, _) in step.items()})
     if chunked:
         df = df.where("own")

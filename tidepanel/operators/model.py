@@ -1,11 +1,13 @@
 """Model tables on Spark ML: fit, score, rolling tasks, weights from loss curves."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidepanel.operators.scale import Bounds, xs_order
+from tidepanel.operators.scale import Bounds, bounded, xs_order
 
 
 def assemble(df, features):
@@ -61,15 +63,55 @@ def rolling_tasks(calendar, first, step, train=None, gap=0):
     return s.join(start, "x").join(end, "y").select("task", "segment", "start", "end")
 
 
-def walk_forward(df, tasks, features, fit):
-    """Fit per rolling task and score its test segment. The task table is a handful of rows; the fits are Spark jobs."""
-    out = None
-    for t in sorted({r.task for r in tasks.select("task").distinct().collect()}):
-        seg = {r.segment: (r.start, r.end) for r in tasks.where(F.col("task") == t).collect()}
-        cut = lambda n: df.where(F.col("datetime").between(F.lit(seg[n][0]), F.lit(seg[n][1])))
-        p = predict(fit(cut("train")), cut("test"), features).select("datetime", "instrument", F.col("pred").alias("score"), "label", F.lit(t).alias("task"))
-        out = p if out is None else out.unionByName(p)
-    return out
+def _products(features, label):
+    """Products whose sums make up the normal equations: the upper triangle of X'X, then X'y."""
+    x = [F.col(f) for f in features]
+    return [x[a] * x[b] for a in range(len(x)) for b in range(a, len(x))] + [e * F.col(label) for e in x]
+
+
+def _solve(sums, k, ridge):
+    """(task, beta) from (task, sums) by the normal equations; without a full rank the shortest solution."""
+
+    def run(batches):
+        for b in batches:
+            betas = []
+            for v in b.column("sums").to_pylist():
+                gram = np.zeros((k, k))
+                gram[np.triu_indices(k)] = v[:-k]
+                gram = gram + np.triu(gram, 1).T + ridge * np.eye(k)
+                betas.append(np.linalg.lstsq(gram, np.array(v[-k:]), rcond=None)[0])
+            yield pa.RecordBatch.from_arrays([b.column("task"), pa.array(betas, pa.list_(pa.float64()))], names=["task", "beta"])
+
+    return sums.mapInArrow(run, "task int, beta array<double>")
+
+
+def walk_forward(df, tasks, features, label="label", ridge=0.0, bounds=Bounds()):
+    """datetime, instrument, score, ``label``, task: least squares per rolling task, applied to its test segment, all in one job.
+
+    A date gives one row of sums of products. Running totals over the dates make every training segment a difference of two rows, so
+    overlapping segments read the panel once. ``ridge`` weighs the squared coefficients against the squared errors.
+    """
+    known = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*features, label]))
+    products = _products(features, label)
+    n = len(products)
+    dates = known.groupBy("datetime").agg(*[F.sum(p).alias(f"p{i}") for i, p in enumerate(products)])
+    # segments may start or end on a date without rows
+    ends = tasks.select(F.explode(F.array("start", "end")).alias("datetime")).distinct()
+    dates = dates.join(ends, "datetime", "full")
+    # one row per date of the calendar from here on
+    upto = Window.orderBy("datetime").rowsBetween(Window.unboundedPreceding, 0)
+    own = [F.coalesce(f"p{i}", F.lit(0.0)) for i in range(n)]
+    totals = dates.select("datetime", F.array(*own).alias("own"), F.array(*[F.sum(p).over(upto) for p in own]).alias("upto"))
+    minus = lambda a, b: F.zip_with(a, b, lambda x, y: x - y)
+    first = totals.select(F.col("datetime").alias("start"), minus("upto", "own").alias("before"))
+    last = totals.select(F.col("datetime").alias("end"), F.col("upto").alias("through"))
+    train = tasks.where("segment = 'train'").join(bounded(first, bounds.dates), "start").join(bounded(last, bounds.dates), "end")
+    fitted = _solve(train.select("task", minus("through", "before").alias("sums")), len(features), ridge)
+    test = tasks.where("segment = 'test'").join(fitted, "task").select("task", "start", "end", "beta")
+    by_date = totals.select("datetime").join(bounded(test, bounds.dates), F.col("datetime").between(F.col("start"), F.col("end"))).select("datetime", "task", "beta")
+    score = sum((F.col("beta")[i] * F.col(f) for i, f in enumerate(features)), F.lit(0.0))
+    scored = df.join(bounded(by_date, bounds.dates), "datetime").where(" AND ".join(f"`{c}` IS NOT NULL" for c in features))
+    return scored.select("datetime", "instrument", score.alias("score"), label, "task")
 
 
 def loss_reweight(losses, last, part=1, bins=10, decay=0.5, k=1, bounds=Bounds()):
@@ -92,21 +134,49 @@ def loss_reweight(losses, last, part=1, bins=10, decay=0.5, k=1, bounds=Bounds()
     return per.join(F.broadcast(mean), "bin").select("instrument", "bin", (1.0 / (decay**k * F.col("m") + 0.1)).alias("weight"))
 
 
-def shuffle_column(df, column, key, groups=64, seed=1):
-    """A column dealt anew inside random groups of rows: each group swaps values along two independent hash orders."""
-    g = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(groups))
-    w = lambda s: Window.partitionBy("__g").orderBy(F.xxhash64(*key, F.lit(s)), *key)
-    d = df.withColumn("__g", g)
-    here = d.withColumn("__n", F.row_number().over(w(seed + 1))).drop(column)
-    there = d.select("__g", column, F.row_number().over(w(seed + 2)).alias("__n"))
-    return here.join(there, ["__g", "__n"]).drop("__g", "__n")
-
-
-def permutation_importance(model, df, features, label="label", key=("instrument", "datetime")):
-    err = lambda d: predict(model, d, features).agg(F.avg(F.pow(F.col("pred") - F.col(label), 2)).alias("loss"))
-    base = err(df).withColumnRenamed("loss", "base")
-    out = None
-    for f in features:
-        one = err(shuffle_column(df, f, key)).select(F.lit(f).alias("feature"), "loss")
-        out = one if out is None else out.unionByName(one)
-    return out.crossJoin(F.broadcast(base)).select("feature", (F.col("loss") - F.col("base")).alias("importance"))
+def random_index(df, key, seed, rows, name):
+    """A random order of the ``rows`` rows of ``df``: ``name`` counts them from 0 in the order of a digest of key and seed.
+
+    Leading digits of the digest cut the rows into parts of about 100,000; a part's rows are numbered by themselves and start after
+    the rows of the parts before. ``key`` identifies a row.
+    """
+    digits = 0
+    while rows > 100_000 * 16**digits:
+        digits += 1
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
+    d = df.withColumn("__digest", digest).withColumn("__part", F.substring("__digest", 1, digits))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = d.groupBy("__part").count().select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__first"))
+    inside = Window.partitionBy("__part").orderBy("__digest", *key)
+    return d.withColumn("__own", F.row_number().over(inside) - 1).join(parts, "__part").withColumn(name, F.col("__first") + F.col("__own")).drop("__digest", "__part", "__own", "__first")
+
+
+def permutation_importance(model, df, features, label="label", key=("instrument", "datetime"), bins=5, ratios=(0.8, 0.7, 0.6, 0.5, 0.4), seed=1):
+    """feature, importance, bin, chosen: how much the loss grows when a column is permuted over all rows, and a sample of features.
+
+    Importance is the mean change of the squared error over its standard deviation. The range of importances is cut into ``bins``;
+    of the highest bin that holds any feature the first share of ``ratios`` is chosen at random, of the next the second, and so on.
+    """
+    rows = df.count()
+    d = random_index(df.select(*key, label, *features), key, seed, rows, "__at")
+    for i, f in enumerate(features):
+        other = random_index(df.select(*key, F.col(f).alias(f"__p{i}")), key, seed + 1 + i, rows, "__at").select("__at", f"__p{i}")
+        d = d.join(other, "__at")
+    losses = []
+    for i in range(-1, len(features)):
+        inputs = [f if j != i else f"__p{i}" for j, f in enumerate(features)]
+        d = VectorAssembler(inputCols=inputs, outputCol="__v", handleInvalid="keep").transform(d)
+        d = model.transform(d, {model.featuresCol: "__v", model.predictionCol: f"__l{i + 1}"}).drop("__v")
+        losses.append(F.pow(F.col(f"__l{i + 1}") - F.col(label), 2))
+    change = [c - losses[0] for c in losses[1:]]
+    one = d.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(f"c{i}") for i, c in enumerate(change)])
+    # a row per feature from here on
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"c{i}.m").alias("m"), F.col(f"c{i}.s").alias("s")) for i, f in enumerate(features)]))
+    g = one.select(each.alias("e")).select("e.feature", F.coalesce(F.nanvl(F.col("e.m") / (F.col("e.s") + 1e-7), F.lit(0.0)), F.lit(0.0)).alias("importance"))
+    span = g.agg(F.min("importance").alias("lo"), F.max("importance").alias("hi"))
+    place = F.ceil((F.col("importance") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins) - 1
+    g = g.crossJoin(F.broadcast(span)).withColumn("bin", F.greatest(F.coalesce(place, F.lit(0)), F.lit(0)).cast("int"))
+    share = F.element_at(F.array(*[F.lit(float(r)) for r in ratios]), F.dense_rank().over(Window.orderBy(F.desc("bin"))))
+    drawn = F.row_number().over(Window.partitionBy("bin").orderBy(F.md5(F.concat_ws("|", "feature", F.lit(str(seed)))), "feature"))
+    size = F.count(F.lit(1)).over(Window.partitionBy("bin"))
+    return g.withColumns({"__share": share, "__drawn": drawn, "__size": size}).select("feature", "importance", "bin", (F.col("__drawn") <= F.ceil(F.col("__share") * F.col("__size"))).alias("chosen"))

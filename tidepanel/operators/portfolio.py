@@ -1,10 +1,13 @@
 """Portfolio, attribution and return-series tables. Series hold one row per date (and series key)."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidepanel.operators.evaluate import ratio
 from tidepanel.operators.scale import Bounds, attach_stats, bounded, xs_top
+from tidepanel.session import cut_lineage
 
 
 def line(*keys):
@@ -334,42 +337,121 @@ def threshold(cov, level, kind="soft"):
     return c.withColumn("cov", F.when(F.col("i") == F.col("j"), F.col("cov")).otherwise(new * F.col("si") * F.col("sj"))).drop("si", "sj", "corr")
 
 
-def pca_covariance(df, names, factors=5, value="ret", limit=5_000):
-    """Structured covariance: factor part from the leading components plus residual variance on the diagonal.
+def _add_up(rows, columns, per_batch):
+    """Sum over all rows of matrices that ``per_batch`` (a dictionary of arrays, one per column) gives: tasks add up their own, and
+    what goes to the driver is one matrix."""
 
-    Rows are dates with one vector over all instruments, so the method is for a checked number of instruments.
-    """
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    def run(batches):
+        total = None
+        for b in batches:
+            arrays = {c: np.array(b.column(c).to_pylist(), float) for c in columns}
+            one = per_batch(arrays) if b.num_rows else None
+            total = one if total is None else total if one is None else total + one
+        if total is not None:
+            flat = total.ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int64()), pa.array(flat, pa.float64())], names=["at", "v"])
+
+    parts = rows.select(*columns).mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").collect()
+    return np.array([r.v for r in parts])
+
+
+def _vectors(rows, inputs, outputs):
+    """(instrument, vectors): each of ``outputs`` is a function of the matrices that the batch's vectors of ``inputs`` make up."""
+    ddl = "instrument string, " + ", ".join(f"{o} array<double>" for o in outputs)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                arrays = {c: np.array(b.column(c).to_pylist(), float) for c in inputs}
+                made = [fn(arrays) for fn in outputs.values()]
+                yield pa.RecordBatch.from_arrays([b.column("instrument"), *(pa.array(list(m), pa.list_(pa.float64())) for m in made)], names=["instrument", *outputs])
+
+    return rows.select("instrument", *inputs).mapInArrow(run, ddl)
 
-    if names > limit:
-        raise ValueError(f"structured covariance takes at most {limit} instruments")
+
+def _times(x, keyed, on, by, width, name):
+    """Per ``by``, the sum of x times the vector that ``keyed`` (``on``, v) holds: one half of a product with the covariance."""
+    sums = x.join(keyed, on).groupBy(by).agg(*[F.sum(F.col("x") * F.col("v")[k]).alias(f"s{k}") for k in range(width)])
+    return sums.select(by, F.array(*[F.coalesce(f"s{k}", F.lit(0.0)) for k in range(width)]).alias(name))
+
+
+def principal_components(x, factors, extra=5, tolerance=1e-13, steps=200):
+    """(loadings: instrument, f; variances) of the leading components of x (date, instrument, x), which is centred per instrument.
+
+    Block Krylov iteration. The covariance is never formed: a step multiplies a block of vectors by the returns, once by name and
+    once by date, both joins and sums. Each new block is freed of the earlier ones and orthonormalised with small matrices on the
+    driver (the block's width times the width of all blocks). It ends when the leading variances of the space spanned so far stand
+    still, or the space holds all names or every direction of the returns.
+    """
+    names, dates = x.select("instrument").distinct().count(), x.select("date").distinct().count()
+    width = min(factors + extra, names, max(1, dates))
+    # start vectors from a hash of the name, so that every run is the same
+    start = F.array(*[F.xxhash64("instrument", F.lit(k)).cast("double") / float(2**63) for k in range(width)])
+    block = x.select("instrument").distinct().select("instrument", start.alias("v"))
+    r = np.linalg.cholesky(_add_up(block, ["v"], lambda a: a["v"].T @ a["v"]).reshape(width, width)).T
+    basis = cut_lineage(_vectors(block, ["v"], {"v": lambda a, m=np.linalg.inv(r): a["v"] @ m}))
+    span, projected, before = [width], np.zeros((0, 0)), None
+    while True:
+        columns, last = sum(span), span[-1]
+        tail = basis.select("instrument", F.slice("v", columns - last + 1, last).alias("v"))
+        by_date = _times(x, tail, "instrument", "date", last, "v")
+        image = _times(x, by_date, "date", "instrument", last, "w")
+        both = cut_lineage(basis.join(image, "instrument").select("instrument", "v", F.transform("w", lambda e: e / max(1, dates - 1)).alias("w")))
+        # V'SV grows by the columns of this block
+        inside = _add_up(both, ["v", "w"], lambda a: a["v"].T @ a["w"]).reshape(columns, last)
+        grown = np.zeros((columns, columns))
+        grown[: columns - last, : columns - last] = projected
+        grown[:, columns - last :], grown[columns - last :, :] = inside, inside.T
+        projected = (grown + grown.T) / 2
+        values, vectors = np.linalg.eigh(projected)
+        top = values[::-1][:factors]
+        size = max(abs(top[0]), 1e-300)
+        still = before is not None and len(before) == len(top) and np.abs(top - before).max() <= tolerance * size
+        if still or columns >= names or len(span) >= steps:
+            break
+        before = top
+        # the part of the image outside the space so far, twice because the first pass leaves rounding; what is left of a direction
+        # that lies within the space is dropped
+        clean = _vectors(both, ["v", "w"], {"v": lambda a: a["v"], "w": lambda a, m=inside: a["w"] - a["v"] @ m})
+        again = _add_up(clean, ["v", "w"], lambda a: np.hstack([a["v"], a["w"]]).T @ a["w"]).reshape(columns + last, last)
+        s, u = np.linalg.eigh((again[columns:] + again[columns:].T) / 2)
+        keep = s > (1e-10 * size) ** 2
+        if not keep.any():
+            break
+        turn, rest = u[:, keep] / np.sqrt(s[keep]), again[:columns]
+        basis = cut_lineage(_vectors(clean, ["v", "w"], {"v": lambda a, m=turn, n=rest: np.hstack([a["v"], (a["w"] - a["v"] @ n) @ m])}))
+        span = [*span, int(keep.sum())]
+    lead = vectors[:, ::-1][:, :factors]
+    return _vectors(basis, ["v"], {"f": lambda a: a["v"][:, : lead.shape[0]] @ lead}), top
+
+
+def _combine(column, matrix):
+    """The vector of ``column`` times a small matrix."""
+    v = F.col(column)
+    return F.array(*[sum((v[i] * float(matrix[i, k]) for i in range(matrix.shape[0])), F.lit(0.0)) for k in range(matrix.shape[1])])
+
+
+def pca_covariance(df, factors=5, value="ret", bounds=Bounds()):
+    """Structured covariance (i, j, cov): the leading components with the covariance of their scores, and the variance of what they leave
+    on the diagonal. A missing return counts as its instrument's mean. Any number of instruments."""
     stats = df.groupBy("instrument").agg(F.avg(value).alias("m"))
-    filled = df.join(bounded(stats, names), "instrument").select("date", "instrument", (F.coalesce(value, "m") - F.col("m")).alias("x")).where("x IS NOT NULL")
-    order = stats.agg(F.array_sort(F.collect_list("instrument")).alias("__names"))
-    byname = filled.groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("instrument", "x"))).alias("by"))
-    rows = byname.crossJoin(F.broadcast(order)).select(
-        "date", "__names", F.transform("__names", lambda n: F.coalesce(F.element_at("by", n), F.lit(0.0))).alias("v")
-    )
-    rows = rows.withColumn("vec", array_to_vector("v"))
-    model = PCA(k=factors, inputCol="vec", outputCol="pc").fit(rows)
-    load = model.pc.toArray()
-    spark = df.sparkSession
-    loads = spark.createDataFrame([(k, [float(x) for x in load[k]]) for k in range(load.shape[0])], "pos int, b array<double>")
-    scored = model.transform(rows).select("__names", "v", vector_to_array("pc").alias("f"))
-    # covariance of the factors: a few numbers
-    pairs = scored.select(F.posexplode("f").alias("a", "fa"), "f").select("a", "fa", F.posexplode("f").alias("b", "fb"))
-    fcov = pairs.groupBy("a", "b").agg(F.covar_samp("fa", "fb").alias("c"))
-    named = order.select(F.posexplode("__names").alias("pos", "instrument")).join(F.broadcast(loads), "pos")
-    one = named.select("instrument", "b")
-    fit = lambda f, b: F.aggregate(F.zip_with(f, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    long = scored.select("f", F.posexplode("v").alias("pos", "x")).join(F.broadcast(loads), "pos")
-    resid = long.groupBy("pos").agg(F.var_samp(F.col("x") - fit(F.col("f"), F.col("b"))).alias("rv"))
-    rv = resid.join(named.select("pos", "instrument"), "pos").select("instrument", "rv")
-    wide = fcov.agg(F.array_sort(F.collect_list(F.struct("a", "b", "c"))).alias("fc"))
-    mid = one.crossJoin(F.broadcast(wide)).select("instrument", F.transform("fc", lambda e: F.struct(e["b"].alias("b"), (F.element_at("b", e["a"] + 1) * e["c"]).alias("c"))).alias("h"))
-    half = mid.select(F.col("instrument").alias("i"), F.explode("h").alias("e")).groupBy("i", F.col("e.b").alias("k")).agg(F.sum("e.c").alias("h"))
-    other = one.select(F.col("instrument").alias("j"), F.posexplode("b").alias("k", "bj"))
-    cov = half.join(other, "k").groupBy("i", "j").agg(F.sum(F.col("h") * F.col("bj")).alias("cov"))
-    d = rv.select(F.col("instrument").alias("i"), "rv")
-    return cov.join(d, "i").withColumn("cov", F.col("cov") + F.when(F.col("i") == F.col("j"), F.col("rv")).otherwise(0.0)).drop("rv")
+    x = df.where(F.col(value).isNotNull()).join(bounded(stats, bounds.names), "instrument").select("date", "instrument", (F.col(value) - F.col("m")).alias("x"))
+    x = cut_lineage(x)
+    dates = df.select("date").distinct().count()
+    loads, _ = principal_components(x, factors)
+    loads = cut_lineage(loads)
+    k = len(loads.first().f)
+    keyed = loads.withColumnRenamed("f", "v")
+    scores = cut_lineage(_times(x, keyed, "instrument", "date", k, "v"))
+    inner = _add_up(scores, ["v"], lambda a: a["v"].T @ a["v"]).reshape(k, k)
+    # sum over dates of (x - f'b)^2 = sum x^2 - 2 f'(sum x b) + f'(sum b b')f; where x is missing it is 0
+    total = x.groupBy("instrument").agg(F.sum(F.col("x") ** 2).alias("xx"))
+    one = loads.join(_times(x, scores, "date", "instrument", k, "xb"), "instrument").join(total, "instrument")
+    f, half = F.col("f"), _combine("f", inner / max(1, dates - 1))
+    dot = lambda a, b: sum((a[i] * b[i] for i in range(k)), F.lit(0.0))
+    rest = (F.col("xx") - 2 * dot(f, F.col("xb")) + dot(f, _combine("f", inner))) / dates
+    one = cut_lineage(one.select("instrument", "f", half.alias("h"), rest.alias("rv")))
+    left = one.select(F.col("instrument").alias("i"), "h", "rv")
+    right = bounded(one.select(F.col("instrument").alias("j"), F.col("f").alias("g")), bounds.names)
+    cov = dot(F.col("h"), F.col("g")) + F.when(F.col("i") == F.col("j"), F.col("rv")).otherwise(0.0)
+    return left.crossJoin(right).select("i", "j", cov.alias("cov"))

@@ -98,7 +98,7 @@ def paused_num(spark, sf_dir):
     return C.paused_num(T.panel(spark, sf_dir))
 
 
-@query("fill_minutes", "instrument:s datetime:t", "WITH d AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS instrument, CAST(ts AS DATE) AS day FROM events WHERE user_id < 20) SELECT instrument, unnest(generate_series(CAST(day AS TIMESTAMP) + INTERVAL 9 HOUR, CAST(day AS TIMESTAMP) + INTERVAL 599 MINUTE, INTERVAL 15 MINUTE)) AS datetime FROM d WHERE CAST(instrument AS INT) > 9")
+@query("fill_minutes", "instrument:s datetime:t", "WITH d AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS instrument, CAST(ts AS DATE) AS day FROM events) SELECT instrument, unnest(generate_series(CAST(day AS TIMESTAMP) + INTERVAL 9 HOUR, CAST(day AS TIMESTAMP) + INTERVAL 599 MINUTE, INTERVAL 15 MINUTE)) AS datetime FROM d WHERE instrument NOT IN (SELECT CAST(user_id % 10 AS VARCHAR) FROM events)")
 def fill_minutes(spark, sf_dir):
     e = T.table(spark, sf_dir, "events")
     daily = e.select(F.col("user_id").cast("string").alias("instrument"), F.to_date("ts").alias("datetime")).distinct()

@@ -25,7 +25,20 @@ def _rows(spark, sf_dir):
     return T.pred(spark, sf_dir).where("score IS NOT NULL AND f_std IS NOT NULL AND f_vol IS NOT NULL AND label IS NOT NULL")
 
 
-@query("linear_fit", KEY + "pred:f4")
+# the rows that fits take, and the normal equations of three features by Cramer's rule: coefficients from a table ``s`` of sums
+USE = f"{T.PRED}, use_rows AS (SELECT *, score AS x1, f_std AS x2, f_vol AS x3 FROM pred WHERE score IS NOT NULL AND f_std IS NOT NULL AND f_vol IS NOT NULL AND label IS NOT NULL)"
+SUMS = "sum(x1 * x1) AS a, sum(x1 * x2) AS b, sum(x1 * x3) AS c, sum(x2 * x2) AS d, sum(x2 * x3) AS e, sum(x3 * x3) AS f, sum(x1 * label) AS u, sum(x2 * label) AS v, sum(x3 * label) AS w"
+SOLVED = """(u * (d * f - e * e) - b * (v * f - e * w) + c * (v * e - d * w)) / det AS b1, (a * (v * f - e * w) - u * (b * f - c * e) + c * (b * w - c * v)) / det AS b2,
+ (a * (d * w - e * v) - b * (b * w - c * v) + u * (b * e - c * d)) / det AS b3"""
+DET = "a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det"
+
+
+@query(
+    "linear_fit",
+    KEY + "pred:f4",
+    f"""WITH {USE}, s AS (SELECT a + 0.1::DOUBLE AS a, b, c, d + 0.1::DOUBLE AS d, e, f + 0.1::DOUBLE AS f, u, v, w FROM (SELECT {SUMS} FROM use_rows WHERE datetime < DATE '1999-01-01')),
+    k AS (SELECT {SOLVED} FROM (SELECT *, {DET} FROM s)) SELECT instrument, datetime, b1 * x1 + b2 * x2 + b3 * x3 AS pred FROM use_rows, k WHERE datetime >= DATE '1999-01-01'""",
+)
 def linear_fit(spark, sf_dir):
     d = _rows(spark, sf_dir)
     m = M.linear_fit(d.where(F.col("datetime") < F.lit(CUT)), FEATURES, ridge=0.1)
@@ -69,9 +82,15 @@ def horizon_tasks(spark, sf_dir):
     return _tasks(spark, sf_dir).withColumn("horizon", F.explode(F.array(F.lit(1), F.lit(5), F.lit(10))))
 
 
-@query("walk_forward", KEY + "task:i score:f4")
+@query(
+    "walk_forward",
+    KEY + "task:i score:f4",
+    f"""WITH {USE}, {_TASKS[len(T.CALENDAR) + 2 :]}, sums AS (SELECT task, {SUMS} FROM use_rows JOIN tasks ON segment = 'train' AND datetime BETWEEN "start" AND "end" GROUP BY task),
+    k AS (SELECT task, {SOLVED} FROM (SELECT *, {DET} FROM sums)) SELECT instrument, datetime, task, b1 * x1 + b2 * x2 + b3 * x3 AS score
+    FROM use_rows JOIN tasks ON segment = 'test' AND datetime BETWEEN "start" AND "end" JOIN k USING (task)""",
+)
 def walk_forward(spark, sf_dir):
-    return M.walk_forward(_rows(spark, sf_dir), _tasks(spark, sf_dir), FEATURES, lambda d: M.linear_fit(d, FEATURES))
+    return M.walk_forward(_rows(spark, sf_dir), _tasks(spark, sf_dir), FEATURES, bounds=T.bounds(spark, sf_dir))
 
 
 _PM = f"{T.PRED}, mm AS (SELECT unnest(['score', 'f_std', 'f_vol']) AS model, instrument, year(datetime) AS period, datetime, unnest([score, f_std, f_vol]) AS x, label FROM pred), use_rows AS (SELECT * FROM mm WHERE x IS NOT NULL AND label IS NOT NULL)"
@@ -109,7 +128,20 @@ def loss_reweight(spark, sf_dir):
     return M.loss_reweight(l, 4)
 
 
-@query("permutation_importance", "feature:s importance:f4")
+_ORDERS = ", ".join(f"row_number() OVER (ORDER BY md5(instrument || '|' || CAST(datetime AS VARCHAR) || '|{k}')) AS o{k}" for k in range(1, 5))
+
+
+@query(
+    "permutation_importance",
+    "feature:s importance:f4 bin:i chosen:b",
+    f"""WITH {USE}, k AS (SELECT {SOLVED} FROM (SELECT *, {DET} FROM (SELECT {SUMS} FROM use_rows))), o AS (SELECT *, {_ORDERS} FROM use_rows),
+    p AS (SELECT r.x1, r.x2, r.x3, r.label, q1.x1 AS y1, q2.x2 AS y2, q3.x3 AS y3 FROM o r JOIN o q1 ON q1.o2 = r.o1 JOIN o q2 ON q2.o3 = r.o1 JOIN o q3 ON q3.o4 = r.o1),
+    l AS (SELECT (b1 * x1 + b2 * x2 + b3 * x3 - label) ** 2 AS l0, (b1 * y1 + b2 * x2 + b3 * x3 - label) ** 2 AS l1, (b1 * x1 + b2 * y2 + b3 * x3 - label) ** 2 AS l2,
+     (b1 * x1 + b2 * x2 + b3 * y3 - label) ** 2 AS l3 FROM p, k),
+    g AS (SELECT unnest(['score', 'f_std', 'f_vol']) AS feature, unnest([avg(l1 - l0) / (stddev_pop(l1 - l0) + 1e-7), avg(l2 - l0) / (stddev_pop(l2 - l0) + 1e-7), avg(l3 - l0) / (stddev_pop(l3 - l0) + 1e-7)]) AS importance FROM l),
+    n AS (SELECT *, CAST(greatest(coalesce(ceil((importance - min(importance) OVER ()) / (max(importance) OVER () - min(importance) OVER ()) * 5) - 1, 0), 0) AS INTEGER) AS bin FROM g)
+    SELECT feature, importance, bin, row_number() OVER (PARTITION BY bin ORDER BY md5(feature || '|1')) <= ceil([0.8, 0.7, 0.6, 0.5, 0.4][dense_rank() OVER (ORDER BY bin DESC)] * count(*) OVER (PARTITION BY bin)) AS chosen FROM n""",
+)
 def permutation_importance(spark, sf_dir):
     d = _rows(spark, sf_dir)
     return M.permutation_importance(M.linear_fit(d, FEATURES), d, FEATURES)
@@ -160,7 +192,7 @@ def set_intersect(spark, sf_dir):
     return a.intersect(b)
 
 
-@query("pivot_unpivot", KEY + "close:f", f"WITH {T.BARS} SELECT datetime, max(CASE WHEN instrument = '1' THEN close END) AS c1, max(CASE WHEN instrument = '2' THEN close END) AS c2, max(CASE WHEN instrument = '3' THEN close END) AS c3 FROM bars WHERE instrument IN ('1', '2', '3') GROUP BY 1", "datetime:d c1:f c2:f c3:f")
+@query("pivot_unpivot", KEY + "close:f", f"WITH {T.BARS} SELECT instrument, datetime, close FROM bars")
 def pivot_unpivot(spark, sf_dir):
     """Every instrument through wide rows and back to long ones; columns come in blocks of a fixed width."""
     b = T.bars(spark, sf_dir)

@@ -387,7 +387,12 @@ def sector_momentum(spark, sf_dir):
 
 _CAP = 0.2
 _ROUND = "w{k} AS (SELECT date, instrument, scheme, CASE WHEN weight > {cap}::DOUBLE THEN {cap}::DOUBLE WHEN u > 0 AND e > 0 THEN weight + weight / u * e ELSE weight END AS weight FROM (SELECT *, sum(greatest(weight - {cap}::DOUBLE, 0)) OVER p AS e, sum(CASE WHEN weight <= {cap}::DOUBLE THEN weight ELSE 0 END) OVER p AS u FROM w{j} WINDOW p AS (PARTITION BY date, scheme)) AS x)"
-_SCHEMES = "sh AS (SELECT *, score - min(score) OVER (PARTITION BY date) + 1e-6::DOUBLE AS x FROM pos), w0 AS (SELECT date, instrument, 'equal' AS scheme, weight FROM pos UNION ALL SELECT date, instrument, 'score', x / sum(x) OVER (PARTITION BY date) FROM sh)"
+_RISK = """mv AS (SELECT date, instrument, price / lag(price) OVER (PARTITION BY instrument ORDER BY date) - 1 AS m FROM px), mk AS (SELECT *, CASE WHEN m IS NOT NULL THEN avg(m) OVER (PARTITION BY date) END AS k FROM mv),
+ risk AS (SELECT date, instrument, stddev_samp(m) OVER v * sqrt(52) AS vol, covar_samp(m, k) OVER b / CASE WHEN var_samp(k) OVER b > 0 THEN var_samp(k) OVER b END AS beta FROM mk
+  WINDOW v AS (PARTITION BY instrument ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), b AS (PARTITION BY instrument ORDER BY date ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))"""
+_SCHEMES = f"""{_RISK}, sh AS (SELECT pos.*, score - min(score) OVER (PARTITION BY date) + 1e-6::DOUBLE AS x, greatest(coalesce(vol, 0.5::DOUBLE), 0.05::DOUBLE) AS vo, greatest(coalesce(beta, 1::DOUBLE), 0.3::DOUBLE) AS be FROM pos LEFT JOIN risk USING (date, instrument)),
+ v0 AS (SELECT date, instrument, unnest(['equal', 'score', 'inverse_vol', 'beta', 'beta_neutral']) AS scheme, unnest([1::DOUBLE, x, 1 / vo, 1 / be, 1 / (be * be)]) AS v FROM sh),
+ w0 AS (SELECT date, instrument, scheme, v / sum(v) OVER (PARTITION BY date, scheme) AS weight FROM v0)"""
 _CAPPED = ", ".join([_SCHEMES, *(_ROUND.format(k=k, j=k - 1, cap=_CAP) for k in range(1, 21))])
 
 
@@ -549,4 +554,4 @@ def threshold_cov(spark, sf_dir):
 @query("pca_cov", "i:s j:s cov:f")
 def pca_cov(spark, sf_dir):
     d = sig(spark, sf_dir).withColumn("ret", F.col("label") / 10)
-    return Q.pca_covariance(d, T.bounds(spark, sf_dir).names)
+    return Q.pca_covariance(d, bounds=T.bounds(spark, sf_dir))

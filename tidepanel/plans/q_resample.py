@@ -45,7 +45,7 @@ def resam_ts_data(spark, sf_dir):
     return I.resample_method(b, A, B, "last", "close").join(I.resample_method(b, A, B, "mean", "volume"), "instrument").join(I.resample_method(b, A, B, "sum", "volume"), "instrument")
 
 
-@query("quote_slice", "instrument:s sum:f mean:f all:b", f"WITH {T.PANEL} SELECT instrument, sum(volume) AS sum, avg(close) AS mean, bool_and(coalesce(volume, 0) > 5) AS \"all\" FROM panel WHERE {_R} AND instrument IN ('3', '4', '5') GROUP BY 1")
+@query("quote_slice", "instrument:s sum:f mean:f all:b", f"WITH {T.PANEL} SELECT instrument, sum(volume) AS sum, avg(close) AS mean, bool_and(coalesce(volume, 0) > 5) AS \"all\" FROM panel WHERE {_R} GROUP BY 1")
 def quote_slice(spark, sf_dir):
     p = T.panel(spark, sf_dir).withColumn("ok", F.coalesce("volume", F.lit(0.0)) > 5)
     return I.resample_method(p, A, B, "sum", "volume").join(I.resample_method(p, A, B, "mean", "close"), "instrument").join(I.resample_method(p, A, B, "all", "ok"), "instrument")

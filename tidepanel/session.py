@@ -45,3 +45,9 @@ def checkpoint_dir(spark):
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def cut_lineage(df):
+    """``df`` read from the shared folder: what was computed is not computed again, and executors may be lost."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
