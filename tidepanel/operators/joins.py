@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidepanel.session import cut_lineage
 from tidepanel.operators.scale import bounded
 
 KEYS = ["instrument", "datetime"]
@@ -30,30 +31,50 @@ def index_align(a, b, op, fill, keys=("label",), value="value"):
     return j.select(*keys, op(F.coalesce("__a", f), F.coalesce("__b", f)).alias(value))
 
 
-def asof_join(left, right, key="instrument", time="datetime", valid_until=None, chunk_days=None):
+#: Rows of a key (both sides of an as-of join) that one window takes; a busier key is cut in time.
+SPLIT_ROWS = 1_000_000
+#: Quantiles that such cuts are taken from.
+PARTS = 256
+
+
+def asof_join(left, right, key="instrument", time="datetime", valid_until=None, chunk_days=None, tie=None, split_rows=SPLIT_ROWS):
     """Newest right row at or before each left row: both sides in one sequence, last value carried. One shuffle, no Python.
 
-    A busy key is cut into time chunks when ``chunk_days`` is given; the last right row of each chunk is carried forward.
+    A key with more than ``split_rows`` rows is cut at approximate quantiles of its times, so that no window takes a large share of
+    the table; ``chunk_days`` cuts every key into chunks of so many days instead. The last right row of each part is carried
+    forward. Of right rows at one time the one with the largest ``tie`` counts.
     """
     values = [c for c in right.columns if c not in (key, time)]
     packed = F.struct(F.col(time).alias("__at"), *values)
     lv = [c for c in left.columns if c not in (key, time)]
-    a = left.select(key, time, F.struct(*lv).alias("__l"), F.lit(None).cast(right.select(packed.alias("x")).schema["x"].dataType).alias("__r"), F.lit(1).alias("__side"))
-    b = right.select(key, time, F.lit(None).cast(a.schema["__l"].dataType).alias("__l"), packed.alias("__r"), F.lit(0).alias("__side"))
+    last = F.col(tie).cast("string") if tie and dict(right.dtypes)[tie] == "string" else F.col(tie) if tie else F.lit(0)
+    b = right.select(key, time, F.lit(None).cast(left.select(F.struct(*lv).alias("x")).schema["x"].dataType).alias("__l"), packed.alias("__r"), F.lit(0).alias("__side"), last.alias("__tie"))
+    none = F.lit(None).cast(b.schema["__tie"].dataType)
+    a = left.select(key, time, F.struct(*lv).alias("__l"), F.lit(None).cast(b.schema["__r"].dataType).alias("__r"), F.lit(1).alias("__side"), none.alias("__tie"))
     both = a.unionByName(b)
-    part = [key]
+    part = [key, "__chunk"]
     if chunk_days:
         both = both.withColumn("__chunk", F.floor(F.datediff(F.col(time), F.lit("1970-01-01").cast("date")) / chunk_days))
-        part.append("__chunk")
-    w = Window.partitionBy(*part).orderBy(time, "__side").rowsBetween(Window.unboundedPreceding, 0)
+    else:
+        at = F.unix_micros(F.col(time).cast("timestamp"))
+        load = left.select(key, time).unionByName(right.select(key, time)).groupBy(key)
+        load = load.agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx(at, [i / PARTS for i in range(1, PARTS)], F.lit(1000)).alias("__cuts"))
+        # at most one row for every ``split_rows`` rows of the input
+        busy = cut_lineage(load.where(F.col("__n") > split_rows).select(key, "__n", "__cuts"))
+        step = F.greatest(F.lit(1), F.floor(F.lit(PARTS) * split_rows / F.col("__n"))).cast("int")
+        busy = busy.select(key, F.array_distinct(F.filter("__cuts", lambda c, i: (i + 1) % step == 0)).alias("__cuts"))
+        chunk = F.size(F.filter("__cuts", lambda c: c < at))
+        both = both.join(bounded(busy, busy.count()), key, "left").withColumn("__chunk", F.when(F.col("__cuts").isNotNull(), chunk).otherwise(0)).drop("__cuts")
+    w = Window.partitionBy(*part).orderBy(time, "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("__m", F.last("__r", ignorenulls=True).over(w))
-    if chunk_days:
-        newest = both.where("__side = 0").groupBy(*part).agg(F.max_by("__r", time).alias("__c"))
-        before = Window.partitionBy(key).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-        # every chunk that has a left row needs a carry, also one without right rows
-        chunks = both.select(*part).distinct().join(newest, part, "left")
-        carry = chunks.select(*part, F.last("__c", ignorenulls=True).over(before).alias("__carry"))
-        both = both.join(carry, part, "left").withColumn("__m", F.coalesce("__m", "__carry"))
+    newest = both.where("__side = 0").groupBy(*part).agg(F.max_by("__r", F.struct(time, "__tie")).alias("__c"))
+    before = Window.partitionBy(key).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # every part that has a left row needs a carry, also one without right rows
+    chunks = both.select(*part).distinct().join(newest, part, "left")
+    carry = chunks.select(*part, F.last("__c", ignorenulls=True).over(before).alias("__carry"))
+    # only parts after the first have one
+    carry = carry.where("__carry IS NOT NULL")
+    both = both.join(carry, part, "left").withColumn("__m", F.coalesce("__m", "__carry"))
     out = both.where("__side = 1").select(key, time, "__l.*", F.col("__m.__at").alias("matched_at"), *[F.col(f"__m.{c}").alias(c) for c in values])
     if valid_until:
         ok = F.col(time) <= F.col(valid_until)

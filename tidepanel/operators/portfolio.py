@@ -139,28 +139,28 @@ def topk_periods(pos, prices, dates, every, lag=1, cost=0.001, bounds=Bounds()):
 
 
 def capped_topn(df, n, caps):
-    """Greedy choice by score under several group caps per date.
+    """Greedy choice by score under several group caps per date; a missing group has no cap.
 
-    Names beyond the cap of a group inside that group's own order can never be chosen before the cap is full, but two caps
-    interact, so the walk itself runs per date. Its input is bounded first: per date only the best n rows of every
-    combination of cap groups can matter.
+    Names beyond the cap of a group inside that group's own order can never be chosen, but two caps interact, so the choice is a
+    fold over the date's names in order. Its input is bounded first: per date only the best rows of every combination of groups can
+    matter, and the state holds the chosen ones.
     """
     groups = list(caps)
     w = Window.partitionBy("date", *groups).orderBy(F.col("score").desc(), "instrument")
-    few = df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= min(n, *caps.values())).drop("__r")
+    most = F.least(F.lit(n), *[F.when(F.col(g).isNotNull(), c).otherwise(n) for g, c in caps.items()])
+    few = df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most).drop("__r")
+    order = F.struct((-F.col("score")).alias("__o"), "instrument", *[c for c in few.columns if c not in ("date", "instrument")])
+    walk = few.groupBy("date").agg(F.array_sort(F.collect_list(order)).alias("names"))
 
-    def walk(pdf):
-        pdf = pdf.sort_values(["score", "instrument"], ascending=[False, True])
-        used, keep = {}, []
-        for row in pdf.itertuples():
-            names = [(g, getattr(row, g)) for g in groups]
-            if len(keep) < n and all(used.get(x, 0) < caps[x[0]] for x in names):
-                keep.append(row.Index)
-                for x in names:
-                    used[x] = used.get(x, 0) + 1
-        return pdf.loc[keep]
+    def room(chosen, x):
+        ok = F.size(chosen) < n
+        for g, cap in caps.items():
+            # a comparison with a missing group is never true
+            ok = ok & (F.size(F.filter(chosen, lambda y: y[g] == x[g])) < cap)
+        return ok
 
-    return few.groupBy("date").applyInPandas(walk, few.schema)
+    chosen = F.aggregate("names", F.slice("names", 1, 0), lambda acc, x: F.when(room(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+    return walk.select("date", F.explode(chosen).alias("x")).select("date", "x.*").select(*df.columns)
 
 
 def positive_shift(df, value, keys=("date",)):
@@ -455,3 +455,18 @@ def pca_covariance(df, factors=5, value="ret", bounds=Bounds()):
     right = bounded(one.select(F.col("instrument").alias("j"), F.col("f").alias("g")), bounds.names)
     cov = dot(F.col("h"), F.col("g")) + F.when(F.col("i") == F.col("j"), F.col("rv")).otherwise(0.0)
     return left.crossJoin(right).select("i", "j", cov.alias("cov"))
+
+
+def event_attribution(event, contributions, levels):
+    """level, name, contribution, share, days: what each name of every level added between the event's peak (not itself) and its trough.
+
+    ``event``: one row with peak and trough; ``contributions``: date, contribution and the columns ``levels``. The span is one row, so
+    the range join is a filter, and names are summed up per task before they are shuffled.
+    """
+    span = event.select("peak", "trough").limit(1)
+    inside = contributions.join(bounded(span, 1), (F.col("date") > F.col("peak")) & (F.col("date") <= F.col("trough")))
+    named = F.array(*[F.struct(F.lit(k).alias("level"), F.col(k).alias("name")) for k in levels])
+    long = inside.select("date", "contribution", F.explode(named).alias("e")).select("e.*", "date", "contribution")
+    sums = long.groupBy("level", "name").agg(F.sum("contribution").alias("contribution"), F.count_distinct("date").alias("days"))
+    total = inside.agg(F.sum("contribution").alias("__all"))
+    return sums.crossJoin(bounded(total, 1)).withColumn("share", F.col("contribution") / F.when(F.col("__all") != 0, F.col("__all"))).drop("__all")

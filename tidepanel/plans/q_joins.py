@@ -66,7 +66,8 @@ def _trade_days(spark, sf_dir):
 
 @query("asof_join", KEY + "matched_at:d close:f", f"WITH {T.BARS}, {_DAILY} SELECT t.instrument, t.datetime, b.datetime AS matched_at, b.close FROM trades t ASOF LEFT JOIN bars b ON t.instrument = b.instrument AND t.datetime >= b.datetime")
 def asof_join(spark, sf_dir):
-    return J.asof_join(_trade_days(spark, sf_dir), T.bars(spark, sf_dir).select("instrument", "datetime", "close"))
+    """Instruments with more than 400 rows are cut in time, so that all of them are."""
+    return J.asof_join(_trade_days(spark, sf_dir), T.bars(spark, sf_dir).select("instrument", "datetime", "close"), split_rows=400)
 
 
 _SPARSE = "(SELECT instrument, datetime, close, datetime + 60 AS effective_end FROM bars WHERE volume > 80)"

@@ -195,6 +195,24 @@ def drawdown_event(spark, sf_dir):
     return t.crossJoin(back)
 
 
+@query(
+    "drawdown_attribution",
+    "level:s name:s contribution:f share:f days:i",
+    f"""WITH {SER}, {T.GROUPS}, n AS (SELECT date, product(1 + ret - 0.02) OVER {RUN} AS nav FROM ser), d AS (SELECT *, max(nav) OVER {RUN} AS top FROM n), t AS (SELECT date AS trough, top FROM d ORDER BY nav / top - 1, date LIMIT 1),
+    e AS (SELECT (SELECT max(date) FROM d, t WHERE date <= trough AND nav = d.top) AS peak, trough FROM t),
+    c AS (SELECT date, instrument, label / 50 / count(label) OVER (PARTITION BY date) AS contribution FROM sig WHERE top),
+    i AS (SELECT c.date, c.instrument, g.sector, g.industry, contribution FROM c JOIN groups g USING (instrument), e WHERE date > peak AND date <= trough AND contribution IS NOT NULL),
+    l AS (SELECT date, contribution, unnest(['instrument', 'sector', 'industry']) AS level, unnest([instrument, sector, industry]) AS name FROM i)
+    SELECT level, name, sum(contribution) AS contribution, sum(contribution) / (SELECT sum(contribution) FROM i) AS share, count(DISTINCT date) AS days FROM l GROUP BY 1, 2""",
+)
+def drawdown_attribution(spark, sf_dir):
+    """Which names, sectors and industries lost what between peak and trough of the deepest drawdown."""
+    names = bounded(T.groups(spark, sf_dir), T.bounds(spark, sf_dir).names)
+    part = F.col("label") / 50 / F.count("label").over(Window.partitionBy("date"))
+    held = top10(spark, sf_dir).withColumn("contribution", part).where("contribution IS NOT NULL").join(names, "instrument")
+    return Q.event_attribution(drawdown_event(spark, sf_dir), held, ["instrument", "sector", "industry"])
+
+
 # ---- positions ----
 _HOLD = f"{POS}, hold AS (SELECT date, ix, instrument, floor(1000 * weight * 7) AS amount, weight FROM pos)"
 
@@ -365,7 +383,16 @@ def bucket_topn(spark, sf_dir):
     return xs_top(r, ["date"], ["late", "ord", F.col("score").desc(), F.col("instrument")], 10)
 
 
-@query("capped_topn", "date:d instrument:s sector:s industry:s score:f")
+@query(
+    "capped_topn",
+    "date:d instrument:s sector:s industry:s score:f",
+    f"""WITH RECURSIVE {SIG}, {T.GROUPS}, r AS (SELECT date, instrument, sector, industry, score, row_number() OVER (PARTITION BY date ORDER BY score DESC, instrument) AS i FROM sig JOIN groups USING (instrument) WHERE score IS NOT NULL),
+    w AS (SELECT DISTINCT date, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS names, CAST([] AS VARCHAR[]) AS ss, CAST([] AS VARCHAR[]) AS ii FROM r
+     UNION ALL SELECT date, i, CASE WHEN ok THEN list_append(names, instrument) ELSE names END, CASE WHEN ok THEN list_append(ss, sector) ELSE ss END, CASE WHEN ok THEN list_append(ii, industry) ELSE ii END
+     FROM (SELECT w.date, r.i, names, ss, ii, instrument, sector, industry, len(names) < 10 AND len(list_filter(ss, lambda x : x = sector)) < 3 AND len(list_filter(ii, lambda x : x = industry)) < 2 AS ok FROM w JOIN r ON r.date = w.date AND r.i = w.i + 1)),
+    z AS (SELECT date, arg_max(names, i) AS names FROM w GROUP BY date)
+    SELECT r.date, r.instrument, sector, industry, score FROM r JOIN (SELECT date, unnest(names) AS instrument FROM z) USING (date, instrument)""",
+)
 def capped_topn(spark, sf_dir):
     g = bounded(T.groups(spark, sf_dir), T.bounds(spark, sf_dir).names)
     d = sig(spark, sf_dir).where("score IS NOT NULL").join(g, "instrument").select("date", "instrument", "sector", "industry", "score")
