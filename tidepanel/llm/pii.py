@@ -228,12 +228,18 @@ def train(rounds=150, rate=0.1, penalty=0.02):
     return {f: w[i] for f, i in index.items()}, tr + ban, first
 
 
+#: Words times sequences that are decoded together: the table of steps back holds a byte for each and every label.
+CELLS = 1 << 20
+
+
 def viterbi(emissions, transitions, first):
-    """Best label path of each sequence; sequences are decoded together, longest first."""
+    """Best label path of each sequence; sequences are decoded together, longest first, up to ``CELLS`` words times sequences at once."""
     order = sorted(range(len(emissions)), key=lambda i: -len(emissions[i]))
-    paths = [None] * len(emissions)
-    for lo in range(0, len(order), 1024):
-        group = order[lo : lo + 1024]
+    paths, at = [None] * len(emissions), 0
+    while at < len(order):
+        # a long sequence is decoded with few others or alone
+        group = order[at : at + max(1, min(1024, CELLS // max(1, len(emissions[order[at]]))))]
+        at += len(group)
         lengths = np.array([len(emissions[i]) for i in group])
         k, t = len(first), int(lengths[0])
         back, score = np.zeros((t, len(group), k), np.int8), np.stack([emissions[i][0] for i in group]) + first
