@@ -3,6 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidepanel.operators.joins import asof_join
+
 
 def epoch(ts):
     """Whole seconds of a timestamp without zone."""
@@ -189,3 +191,52 @@ def intensity(ticks, code, short_seconds, long_seconds):
     return out.groupBy("instrument", F.window("ts", "60 minutes")["start"].alias("bin")).agg(
         F.avg("short").alias("intensity"), F.avg((F.col("short") > F.col("long")).cast("double")).alias("relative_intensity")
     )
+
+
+def order_book_levels(quotes, levels, rows_back=5, seconds_back=60, step=3):
+    """Per minute, over books of ``levels`` levels (arrays ask, bid, asize, bsize; level 1 first).
+
+    At the last quote and relative to half the sum of its best prices: spread and mid per level, differences between neighbouring
+    levels and between the outermost ones, accumulated spread over all levels. Relative to all sizes of the minute: mean sizes per level,
+    on average, and their imbalance. Change rates: of the best prices between steps of ``step`` seconds, and of their sum against the
+    quote ``rows_back`` rows and ``seconds_back`` seconds before; the minute takes their mean. What has no partner is missing.
+    """
+    minute = F.window("ts", "1 minute")["start"]
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    q = quotes.select("instrument", "ts", "event_id", "ask", "bid", "asize", "bsize")
+    last = F.max_by(F.struct("ask", "bid"), F.struct("ts", "event_id")).alias("q")
+    sizes = [F.avg(F.col(c)[i]).alias(f"{c}_{i + 1}") for c in ("asize", "bsize") for i in range(levels)]
+    g = q.groupBy("instrument", minute.alias("bin")).agg(last, F.sum(total("asize") + total("bsize")).alias("volume"), *sizes)
+    ask, bid, best = F.col("q.ask"), F.col("q.bid"), F.col("q.ask")[0] + F.col("q.bid")[0]
+    price = lambda e: 2 * e / F.when(best != 0, best)
+    share = lambda e: e / F.when(F.col("volume") != 0, F.col("volume"))
+    side = lambda c: sum((F.col(f"{c}_{i + 1}") for i in range(levels)), F.lit(0.0))
+    out = {}
+    for i in range(levels):
+        out[f"p_spread_{i + 1}"], out[f"p_mid_{i + 1}"] = price(ask[i] - bid[i]), price((ask[i] + bid[i]) / 2)
+        for c in ("asize", "bsize"):
+            out[f"v_{c}_{i + 1}"] = share(F.col(f"{c}_{i + 1}"))
+    for name, e in (("ask", ask), ("bid", bid)):
+        for i in range(levels - 1):
+            out[f"p_diff_{name}_{i + 1}_{i + 2}"] = price(F.abs(e[i + 1] - e[i]))
+        out[f"p_diff_{name}_1_{levels}"] = price(F.abs(e[levels - 1] - e[0]))
+    out["p_accspread"] = price(total(ask) - total(bid))
+    out.update({"v_avg_asize": share(side("asize") / levels), "v_avg_bsize": share(side("bsize") / levels), "v_accspread": share(side("asize") - side("bsize"))})
+    g = g.select("instrument", "bin", best.alias("__best"), *[e.alias(n) for n, e in out.items()])
+
+    # steps that follow one another: an equal join on the step's number
+    steps = q.groupBy("instrument", F.floor(epoch("ts") / step).cast("long").alias("__k")).agg(F.max_by(F.struct(F.col("ask")[0].alias("a"), F.col("bid")[0].alias("b")), F.struct("ts", "event_id")).alias("now"))
+    before = steps.select("instrument", (F.col("__k") + 1).alias("__k"), F.col("now").alias("then"))
+    rate = lambda c: F.avg(2 * (F.col(f"now.{c}") - F.col(f"then.{c}")) / step)
+    moved = steps.join(before, ["instrument", "__k"]).groupBy("instrument", F.timestamp_seconds(F.floor(F.col("__k") * step / 60) * 60).cast("timestamp_ntz").alias("bin")).agg(rate("a").alias("__a"), rate("b").alias("__b"))
+
+    s = q.select("instrument", "ts", "event_id", (F.col("ask")[0] + F.col("bid")[0]).alias("s"))
+    near = row_halo(s, "instrument", ["ts", "event_id"], rows_back)
+    line = Window.partitionBy("instrument", "chunk").orderBy("ts", "event_id")
+    near = near.withColumn("then", F.lag("s", rows_back).over(line)).where("own").groupBy("instrument", minute.alias("bin")).agg(F.avg(F.col("s") / F.col("then") - 1).alias(f"change_{rows_back}_rows"))
+    past = s.select("instrument", (F.col("ts") - F.expr(f"INTERVAL {seconds_back} SECOND")).alias("at"), "ts", "event_id", F.col("s").alias("now"))
+    held = asof_join(past.withColumnRenamed("ts", "here"), s.select("instrument", F.col("ts").alias("at"), F.col("event_id").alias("e"), F.col("s").alias("then")), time="at", tie="e")
+    held = held.groupBy("instrument", F.window("here", "1 minute")["start"].alias("bin")).agg(F.avg(F.col("now") / F.col("then") - 1).alias(f"change_{seconds_back}_s"))
+    g = g.join(moved, ["instrument", "bin"], "left").join(near, ["instrument", "bin"]).join(held, ["instrument", "bin"])
+    best = F.when(F.col("__best") != 0, F.col("__best"))
+    return g.withColumns({f"p_diff_ask_1_{step}s": F.col("__a") / best, f"p_diff_bid_1_{step}s": F.col("__b") / best}).drop("__a", "__b", "__best")

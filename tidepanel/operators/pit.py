@@ -144,3 +144,57 @@ def clean_clip(df, non_negative, limits):
             counts.append(F.count(F.when(F.col(c) < 0, 1)).alias(f"{c}_negative"))
         cols[c] = cut
     return df.withColumns(cols), df.agg(*counts)
+
+
+#: Company facts as they are published: concept -> units -> unit -> reported values.
+FACTS = "struct<facts: struct<`us-gaap`: map<string, struct<units: map<string, array<struct<accn: string, end: string, filed: string, val: double>>>>>>>"
+
+
+def facts_extract(companies, wanted, concepts, units, key="company"):
+    """``key``, accession, concept, unit, val, end, filed: for each wanted accession the first concept, and there the first unit, in order of
+    preference that reports it; of several reports the newest by (end, filed), ties to the one that stands last.
+
+    ``companies``: ``key``, json; ``wanted``: ``key``, accession. Reports without a value are passed over; malformed JSON holds none. A
+    missing date sorts first. Accessions that no concept reports give no row.
+    """
+    rank = lambda names: F.create_map(*[F.lit(x) for kv in enumerate(names) for x in kv[::-1]])
+    concept = companies.select(key, F.from_json("json", FACTS)["facts"]["us-gaap"].alias("m"))
+    concept = concept.select(key, F.explode(F.map_filter("m", lambda c, v: c.isin(*concepts))).alias("concept", "v"))
+    unit = concept.select(key, "concept", F.explode(F.map_filter("v.units", lambda u, v: u.isin(*units))).alias("unit", "reports"))
+    report = unit.select(key, "concept", "unit", F.posexplode("reports").alias("pos", "r")).where("r.val IS NOT NULL")
+    first = [-F.element_at(rank(concepts), F.col("concept")), -F.element_at(rank(units), F.col("unit"))]
+    order = F.struct(first[0].alias("c"), first[1].alias("u"), F.coalesce("r.end", F.lit("")).alias("e"), F.coalesce("r.filed", F.lit("")).alias("f"), "pos", "concept", "unit", "r")
+    report = report.select(key, F.col("r.accn").alias("accession"), order.alias("o")).join(wanted.select(key, "accession").distinct(), [key, "accession"], "left_semi")
+    best = report.groupBy(key, "accession").agg(F.max("o").alias("o"))
+    return best.select(key, "accession", "o.concept", "o.unit", "o.r.val", "o.r.end", "o.r.filed")
+
+
+def disjoint_intervals(spans, priority, key="instrument", start="start", end="end", value="code", source="source"):
+    """``key``, ``start``, ``end``, ``value``, ``source``: overlapping spans resolved into disjoint ones.
+
+    Both ends are inclusive dates; spans without a start, or that end before they start, are dropped, a missing end is open. On every
+    day the open span of the source that stands first in ``priority`` counts; of one source the one that started last, then the
+    smallest value. Neighbouring days with the same value and source are one interval.
+    """
+    rank = F.element_at(F.create_map(*[F.lit(x) for kv in enumerate(priority) for x in kv[::-1]]), F.col(source))
+    known = spans.where(F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(end) >= F.col(start)))).withColumn("__rank", rank).where("__rank IS NOT NULL")
+    open_end = F.lit("9999-12-31").cast("date")
+    known = known.select(key, F.col(start).alias("__a"), F.when(F.col(end).isNull() | (F.col(end) >= open_end), open_end).otherwise(F.date_add(end, 1)).alias("__b"), "__rank", F.col(source).alias("__s"), F.col(value).alias("__v")).distinct()
+    # between two neighbouring borders nothing changes: each such piece takes the best of the spans that cover it
+    borders = known.select(key, F.explode(F.array("__a", "__b")).alias("__a")).distinct()
+    line = Window.partitionBy(key).orderBy("__a")
+    pieces = borders.withColumn("__to", F.lead("__a").over(line)).where("__to IS NOT NULL")
+    # a piece meets only the spans that are open in the month in which it begins, so a busy key spreads over months
+    month = lambda c: F.year(c) * 12 + F.month(c)
+    last = borders.where(F.col("__a") < open_end).groupBy(key).agg(F.max("__a").alias("__last"))
+    monthly = known.join(last, key).withColumn("__m", F.explode(F.sequence(month("__a"), month(F.least("__b", "__last")))))
+    same_month = (F.col(f"p.{key}") == F.col(f"k.{key}")) & (F.col("p.__m") == F.col("k.__m"))
+    cover = pieces.withColumn("__m", month("__a")).alias("p").join(monthly.alias("k"), same_month & (F.col("p.__a") >= F.col("k.__a")) & (F.col("p.__a") < F.col("k.__b")))
+    best = F.min(F.struct(F.col("__rank").alias("r"), (-F.datediff("k.__a", F.lit("1970-01-01"))).alias("d"), F.col("__v").alias("v"), F.col("__s").alias("s")))
+    chosen = cover.groupBy(F.col(f"p.{key}").alias(key), F.col("p.__a").alias("a"), F.col("p.__to").alias("b")).agg(best.alias("x")).select(key, "a", "b", "x.v", "x.s")
+    # islands: a piece goes on from the one before if it begins where that ends and says the same
+    before = Window.partitionBy(key).orderBy("a")
+    same = (F.lag("b").over(before) == F.col("a")) & F.lag("v").over(before).eqNullSafe(F.col("v")) & (F.lag("s").over(before) == F.col("s"))
+    island = chosen.withColumn("__new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("__i", F.sum("__new").over(before))
+    out = island.groupBy(key, "__i").agg(F.min("a").alias(start), F.max("b").alias("__b"), F.first("v").alias(value), F.first("s").alias(source))
+    return out.select(key, start, F.when(F.col("__b") < open_end, F.date_sub("__b", 1)).alias(end), value, source)

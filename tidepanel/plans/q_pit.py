@@ -117,17 +117,36 @@ def filings_flatten(spark, sf_dir):
     return rows.select("user_id", "r.accession", "r.form", "r.filed").where(F.col("form").isin("purchase", "signup"))
 
 
+_REPORTS = """reports AS (SELECT user_id AS company, event_type AS concept, CASE WHEN event_id % 3 = 0 THEN 'EUR' ELSE 'USD' END AS unit, 'A' || (event_id % 4) AS accn,
+ strftime(ts, '%Y-%m-%d') AS "end", strftime(CAST(ts AS DATE) + CAST(event_id % 30 AS INTEGER), '%Y-%m-%d') AS filed, value AS val, event_id FROM events)"""
+
+
+def company_facts(spark, sf_dir):
+    """One company-facts document per user, written from all events: concept -> units -> unit -> reports."""
+    e = T.table(spark, sf_dir, "events")
+    day = F.to_date("ts")
+    report = F.struct(
+        "event_id", F.concat(F.lit("A"), F.col("event_id") % 4).alias("accn"), F.date_format(day, "yyyy-MM-dd").alias("end"),
+        F.date_format(F.date_add(day, (F.col("event_id") % 30).cast("int")), "yyyy-MM-dd").alias("filed"), F.col("value").alias("val"),
+    )
+    unit = F.when(F.col("event_id") % 3 == 0, "EUR").otherwise("USD")
+    by_unit = e.groupBy(F.col("user_id").alias("company"), F.col("event_type").alias("concept"), unit.alias("unit")).agg(F.array_sort(F.collect_list(report)).alias("r"))
+    plain = F.transform("r", lambda x: F.struct(x["accn"].alias("accn"), x["end"].alias("end"), x["filed"].alias("filed"), x["val"].alias("val")))
+    by_concept = by_unit.groupBy("company", "concept").agg(F.map_from_entries(F.collect_list(F.struct("unit", plain))).alias("units"))
+    by_company = by_concept.groupBy("company").agg(F.map_from_entries(F.collect_list(F.struct("concept", F.struct("units")))).alias("us-gaap"))
+    return by_company.select("company", F.to_json(F.struct(F.struct("us-gaap").alias("facts"))).alias("json"))
+
+
 @query(
     "facts_extract",
-    "user_id:i concept:s k:i",
-    """WITH f AS (SELECT user_id, event_type AS concept, CAST(json_extract(props, '$.k') AS INTEGER) AS k, ts, event_id, CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 END AS pri FROM events WHERE event_type IN ('purchase', 'click') AND CAST(json_extract(props, '$.k') AS INTEGER) > 50)
-    SELECT user_id, concept, k FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY pri, ts DESC, event_id DESC) = 1""",
+    "company:i accession:s concept:s unit:s val:f end:s filed:s",
+    f"""WITH {_REPORTS}, r AS (SELECT *, CASE concept WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 END AS c, CASE unit WHEN 'USD' THEN 0 ELSE 1 END AS u FROM reports WHERE concept IN ('purchase', 'click') AND val IS NOT NULL)
+    SELECT company, accn AS accession, concept, unit, val, "end", filed FROM r QUALIFY row_number() OVER (PARTITION BY company, accn ORDER BY c, u, "end" DESC, filed DESC, event_id DESC) = 1""",
 )
 def facts_extract(spark, sf_dir):
-    """First concept in order of preference that has a usable fact; its newest value."""
-    e = T.table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "click"))
-    f = e.withColumn("k", F.from_json("props", "k INT")["k"]).where("k > 50").withColumn("pri", F.when(F.col("event_type") == "purchase", 0).otherwise(-1))
-    return f.groupBy("user_id").agg(F.max(F.struct("pri", "ts", "event_id", F.col("event_type").alias("concept"), "k")).alias("r")).select("user_id", "r.concept", "r.k")
+    """Every accession of every company out of its JSON document, by concept and unit preference."""
+    wanted = T.table(spark, sf_dir, "events").select(F.col("user_id").alias("company"), F.concat(F.lit("A"), F.col("event_id") % 4).alias("accession"))
+    return B.facts_extract(company_facts(spark, sf_dir), wanted, ["purchase", "click"], ["USD", "EUR"])
 
 
 @query(
@@ -221,3 +240,28 @@ def industry_master(spark, sf_dir):
     digits = F.regexp_extract("p_brand", r"(\d+)", 1)
     code = F.when(digits != "", F.lpad(digits, 4, "0"))
     return T.table(spark, sf_dir, "part").select("p_partkey", F.coalesce(code, "p_type").alias("code"), F.when(code.isNotNull(), 1.0).otherwise(0.5).alias("confidence"))
+
+
+_SOURCES = ["registry", "filing", "guess"]
+_SPANS = """spans AS (SELECT CAST(l_suppkey AS VARCHAR) AS instrument, CAST(l_shipdate AS DATE) AS "start", CASE WHEN l_orderkey % 50 <> 0 THEN CAST(l_shipdate AS DATE) + CAST(l_quantity * 3 AS INTEGER) END AS "end",
+ lpad(CAST(l_partkey % 40 AS VARCHAR), 4, '0') AS code, ['registry', 'filing', 'guess', 'rumour'][CAST(l_linenumber % 4 + 1 AS INTEGER)] AS source FROM lineitem)"""
+
+
+@query(
+    "industry_intervals",
+    "instrument:s start:d end:d code:s source:s",
+    f"""WITH {_SPANS}, k AS (SELECT DISTINCT instrument, "start" AS a, coalesce("end" + 1, DATE '9999-12-31') AS b, list_position(['registry', 'filing', 'guess'], source) AS r, source AS s, code AS v FROM spans WHERE source <> 'rumour'),
+    e AS (SELECT DISTINCT instrument, unnest([a, b]) AS a FROM k), p AS (SELECT instrument, a, lead(a) OVER (PARTITION BY instrument ORDER BY a) AS b FROM e),
+    c AS (SELECT p.instrument, p.a, p.b, k.v, k.s FROM p JOIN k ON k.instrument = p.instrument AND p.a >= k.a AND p.a < k.b WHERE p.b IS NOT NULL QUALIFY row_number() OVER (PARTITION BY p.instrument, p.a ORDER BY k.r, k.a DESC, k.v) = 1),
+    n AS (SELECT *, CASE WHEN lag(b) OVER w = a AND lag(v) OVER w = v AND lag(s) OVER w = s THEN 0 ELSE 1 END AS fresh FROM c WINDOW w AS (PARTITION BY instrument ORDER BY a)),
+    i AS (SELECT *, sum(fresh) OVER (PARTITION BY instrument ORDER BY a) AS i FROM n)
+    SELECT instrument, min(a) AS "start", CASE WHEN max(b) < DATE '9999-12-31' THEN max(b) - 1 END AS "end", any_value(v) AS code, any_value(s) AS source FROM i GROUP BY instrument, i""",
+)
+def industry_intervals(spark, sf_dir):
+    """Industry codes of three sources with overlapping spans, resolved by priority into disjoint intervals; a fourth source has no rank."""
+    li = T.table(spark, sf_dir, "lineitem")
+    start = F.to_date("l_shipdate")
+    until = F.when(F.col("l_orderkey") % 50 != 0, F.date_add(start, (F.col("l_quantity") * 3).cast("int")))
+    source = F.element_at(F.array(*[F.lit(x) for x in [*_SOURCES, "rumour"]]), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    spans = li.select(F.col("l_suppkey").cast("string").alias("instrument"), start.alias("start"), until.alias("end"), F.lpad((F.col("l_partkey") % 40).cast("string"), 4, "0").alias("code"), source.alias("source"))
+    return B.disjoint_intervals(spans, _SOURCES)

@@ -113,3 +113,39 @@ _SH = lambda s: f"avg(CAST(code = 'click' AS INT)) OVER (PARTITION BY instrument
 def ob_features(spark, sf_dir):
     q = T.quotes(spark, sf_dir)
     return I.order_book_features(q).join(I.intensity(T.ticks(spark, sf_dir), "click", 1800, 7200), ["instrument", "bin"])
+
+
+_BOOK = f"""{T.QUOTES}, book AS (SELECT instrument, ts, event_id, [ask, ask + 0.02::DOUBLE, ask + 0.05::DOUBLE + 0.01::DOUBLE * (event_id % 3)] AS ask, [bid, bid - 0.01::DOUBLE, bid - 0.03::DOUBLE - 0.01::DOUBLE * (event_id % 2)] AS bid,
+ [size, size + event_id % 7, 2 * size] AS asize, [size + event_id % 3, 5.0::DOUBLE, size + 1] AS bsize, date_trunc('minute', ts) AS bin FROM quotes)"""
+_LEVEL_COLUMNS = [*[f"{n}_{i}" for i in (1, 2, 3) for n in ("p_spread", "p_mid", "v_asize", "v_bsize")], *[f"p_diff_{s}_{d}" for s in ("ask", "bid") for d in ("1_2", "2_3", "1_3")]]
+_LEVEL_SQL = ", ".join(
+    [f"2 * (a[{i}] - b[{i}]) / nullif(a[1] + b[1], 0) AS p_spread_{i}, (a[{i}] + b[{i}]) / nullif(a[1] + b[1], 0) AS p_mid_{i}, a{i} / nullif(volume, 0) AS v_asize_{i}, b{i} / nullif(volume, 0) AS v_bsize_{i}" for i in (1, 2, 3)]
+    + [f"2 * abs({c}[{j}] - {c}[{i}]) / nullif(a[1] + b[1], 0) AS p_diff_{s}_{i}_{j}" for s, c in (("ask", "a"), ("bid", "b")) for i, j in ((1, 2), (2, 3), (1, 3))]
+)
+
+
+@query(
+    "ob_levels",
+    "instrument:s bin:t " + " ".join(f"{c}:f" for c in [*_LEVEL_COLUMNS, "p_accspread", "v_avg_asize", "v_avg_bsize", "v_accspread", "change_5_rows", "change_600_s", "p_diff_ask_1_300s", "p_diff_bid_1_300s"]),
+    f"""WITH {_BOOK}, g AS (SELECT instrument, bin, arg_max(ask, row(ts, event_id)) AS a, arg_max(bid, row(ts, event_id)) AS b, sum(list_sum(asize) + list_sum(bsize)) AS volume,
+     avg(asize[1]) AS a1, avg(asize[2]) AS a2, avg(asize[3]) AS a3, avg(bsize[1]) AS b1, avg(bsize[2]) AS b2, avg(bsize[3]) AS b3 FROM book GROUP BY 1, 2),
+    k AS (SELECT instrument, CAST(floor(epoch(ts) / 300) AS BIGINT) AS k, arg_max(ask[1], row(ts, event_id)) AS a, arg_max(bid[1], row(ts, event_id)) AS b FROM book GROUP BY 1, 2),
+    m AS (SELECT n.instrument, make_timestamp(CAST(floor(n.k * 300 / 60) * 60 * 1000000 AS BIGINT)) AS bin, avg(2 * (n.a - o.a) / 300) AS ma, avg(2 * (n.b - o.b) / 300) AS mb FROM k n JOIN k o ON o.instrument = n.instrument AND o.k + 1 = n.k GROUP BY 1, 2),
+    s AS (SELECT instrument, ts, event_id, bin, ask[1] + bid[1] AS s FROM book), r AS (SELECT instrument, bin, avg(s / p - 1) AS change_5_rows FROM (SELECT *, lag(s, 5) OVER (PARTITION BY instrument ORDER BY ts, event_id) AS p FROM s) GROUP BY 1, 2),
+    d AS (SELECT instrument, ts, arg_max(s, event_id) AS s FROM s GROUP BY 1, 2), h AS (SELECT s.instrument, s.bin, avg(s.s / d.s - 1) AS change_600_s FROM s ASOF LEFT JOIN d ON d.instrument = s.instrument AND s.ts - INTERVAL 600 SECOND >= d.ts GROUP BY 1, 2)
+    SELECT instrument, bin, {_LEVEL_SQL}, 2 * (list_sum(a) - list_sum(b)) / nullif(a[1] + b[1], 0) AS p_accspread, (a1 + a2 + a3) / 3 / nullif(volume, 0) AS v_avg_asize, (b1 + b2 + b3) / 3 / nullif(volume, 0) AS v_avg_bsize,
+     (a1 + a2 + a3 - b1 - b2 - b3) / nullif(volume, 0) AS v_accspread, change_5_rows, change_600_s, ma / nullif(a[1] + b[1], 0) AS p_diff_ask_1_300s, mb / nullif(a[1] + b[1], 0) AS p_diff_bid_1_300s
+    FROM g LEFT JOIN m USING (instrument, bin) JOIN r USING (instrument, bin) JOIN h USING (instrument, bin)""",
+)
+def ob_levels(spark, sf_dir):
+    """Books of three levels; the given quotes are minutes apart, so the steps are longer than the defaults."""
+    q = T.quotes(spark, sf_dir)
+    more = lambda k: F.pmod("event_id", F.lit(k))
+    book = q.select(
+        "instrument", "ts", "event_id",
+        F.array(F.col("ask"), F.col("ask") + 0.02, F.col("ask") + 0.05 + 0.01 * more(3)).alias("ask"),
+        F.array(F.col("bid"), F.col("bid") - 0.01, F.col("bid") - 0.03 - 0.01 * more(2)).alias("bid"),
+        F.array(F.col("size"), F.col("size") + more(7), 2 * F.col("size")).alias("asize"),
+        F.array(F.col("size") + more(3), F.lit(5.0), F.col("size") + 1).alias("bsize"),
+    )
+    return I.order_book_levels(book, 3, rows_back=5, seconds_back=600, step=300)
