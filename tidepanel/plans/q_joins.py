@@ -10,13 +10,14 @@ from tidepanel.plans.registry import query
 from tidepanel.sources import panel as P
 
 KEY = "instrument:s datetime:d "
-_AB = f"{T.PRED}, a AS (SELECT instrument, datetime, score, f_vol AS vol FROM pred WHERE score > 1), b AS (SELECT instrument, datetime, label AS ret, 2 * f_vol AS vol FROM pred WHERE label > 0)"
+_AB = f"{T.PRED}, a AS (SELECT instrument, datetime, score, f_vol AS vol FROM pred WHERE score IS NOT NULL AND cal_ix % 3 <> 0), b AS (SELECT instrument, datetime, label AS ret, 2 * f_vol AS vol FROM pred WHERE label IS NOT NULL AND cal_ix % 3 <> 1)"
 
 
 def _ab(spark, sf_dir):
+    """Two groups that overlap and together cover the panel: each lacks every third date."""
     p = T.pred(spark, sf_dir)
-    a = p.where("score > 1").select("instrument", "datetime", "score", F.col("f_vol").alias("vol"))
-    return a, p.where("label > 0").select("instrument", "datetime", F.col("label").alias("ret"), (2 * F.col("f_vol")).alias("vol"))
+    a = p.where("score IS NOT NULL AND cal_ix % 3 <> 0").select("instrument", "datetime", "score", F.col("f_vol").alias("vol"))
+    return a, p.where("label IS NOT NULL AND cal_ix % 3 <> 1").select("instrument", "datetime", F.col("label").alias("ret"), (2 * F.col("f_vol")).alias("vol"))
 
 
 @query("join_groups", KEY + "feature_score:f feature_vol:f label_ret:f label_vol:f", f"WITH {_AB} SELECT instrument, datetime, score AS feature_score, a.vol AS feature_vol, ret AS label_ret, b.vol AS label_vol FROM a FULL JOIN b USING (instrument, datetime)")
@@ -37,11 +38,11 @@ def join_sep_frames(spark, sf_dir):
     return a.join(b.select("instrument", "datetime"), ["instrument", "datetime"]).select("instrument", "datetime", "score")
 
 
-_IDX = f"{T.BARS}, x AS (SELECT instrument AS label, sum(volume) AS value FROM bars WHERE datetime < DATE '1996-01-01' AND volume > 90 GROUP BY 1), y AS (SELECT instrument AS label, sum(volume) AS value FROM bars WHERE datetime >= DATE '2001-06-01' AND volume > 90 GROUP BY 1)"
+_IDX = f"{T.BARS}, x AS (SELECT instrument AS label, sum(volume) AS value FROM bars WHERE datetime < DATE '1996-01-01' GROUP BY 1), y AS (SELECT instrument AS label, sum(volume) AS value FROM bars WHERE datetime >= DATE '2001-06-01' GROUP BY 1)"
 
 
 def _xy(spark, sf_dir):
-    b = T.bars(spark, sf_dir).where("volume > 90")
+    b = T.bars(spark, sf_dir)
     s = lambda c: b.where(c).groupBy(F.col("instrument").alias("label")).agg(F.sum("volume").alias("value"))
     return s("datetime < DATE '1996-01-01'"), s("datetime >= DATE '2001-06-01'")
 
@@ -70,13 +71,13 @@ def asof_join(spark, sf_dir):
     return J.asof_join(_trade_days(spark, sf_dir), T.bars(spark, sf_dir).select("instrument", "datetime", "close"), split_rows=400)
 
 
-_SPARSE = "(SELECT instrument, datetime, close, datetime + 60 AS effective_end FROM bars WHERE volume > 80)"
+_SPARSE = "(SELECT instrument, datetime, close, datetime + 60 AS effective_end FROM bars)"
 
 
 @query("interval_join", KEY + "close:f", f"WITH {T.BARS}, {_DAILY} SELECT t.instrument, t.datetime, CASE WHEN t.datetime <= b.effective_end THEN b.close END AS close FROM trades t ASOF LEFT JOIN {_SPARSE} b ON t.instrument = b.instrument AND t.datetime >= b.datetime")
 def interval_join(spark, sf_dir):
     """Carried over time chunks of 200 days, so that one busy instrument spreads."""
-    right = T.bars(spark, sf_dir).where("volume > 80").select("instrument", "datetime", "close", F.date_add("datetime", 60).alias("effective_end"))
+    right = T.bars(spark, sf_dir).select("instrument", "datetime", "close", F.date_add("datetime", 60).alias("effective_end"))
     return J.asof_join(_trade_days(spark, sf_dir), right, valid_until="effective_end", chunk_days=200)
 
 
@@ -103,12 +104,12 @@ def semi_anti_members(spark, sf_dir):
 @query(
     "join_forward_price",
     KEY + "entry_date:d entry_price:f exit_date:d exit_price:f",
-    f"""WITH {T.PANEL}, s AS (SELECT b.instrument, b.datetime, c.cal_ix FROM bars b JOIN calendar c USING (datetime) WHERE volume > 60), q AS (SELECT b.instrument, b.datetime, b.vwap, c.cal_ix FROM bars b JOIN calendar c USING (datetime))
+    f"""WITH {T.PANEL}, s AS (SELECT b.instrument, b.datetime, c.cal_ix FROM bars b JOIN calendar c USING (datetime)), q AS (SELECT b.instrument, b.datetime, b.vwap, c.cal_ix FROM bars b JOIN calendar c USING (datetime))
     SELECT s.instrument, s.datetime, e.datetime AS entry_date, e.vwap AS entry_price, x.datetime AS exit_date, x.vwap AS exit_price FROM s LEFT JOIN q e ON e.instrument = s.instrument AND e.cal_ix = s.cal_ix + 1 LEFT JOIN q x ON x.instrument = s.instrument AND x.cal_ix = s.cal_ix + 6""",
 )
 def join_forward_price(spark, sf_dir):
     b = T.bars(spark, sf_dir)
-    return J.forward_prices(b.where("volume > 60").select("instrument", "datetime"), b.select("instrument", "datetime", F.col("vwap").alias("price")), T.calendar(spark, sf_dir), 1, 5, T.bounds(spark, sf_dir).dates)
+    return J.forward_prices(b.select("instrument", "datetime"), b.select("instrument", "datetime", F.col("vwap").alias("price")), T.calendar(spark, sf_dir), 1, 5, T.bounds(spark, sf_dir).dates)
 
 
 _POS = f"{T.BARS}, pa AS (SELECT datetime AS date, instrument, 0.1 AS weight FROM bars QUALIFY row_number() OVER (PARTITION BY datetime ORDER BY volume DESC, instrument) <= 10), pb AS (SELECT datetime AS date, instrument, 0.1 AS weight FROM bars QUALIFY row_number() OVER (PARTITION BY datetime ORDER BY vwap DESC, instrument) <= 10)"
@@ -128,11 +129,11 @@ def position_diff(spark, sf_dir):
 @query(
     "order_diff",
     "instrument:s direction:s amount:f",
-    """WITH t AS (SELECT CAST(l_suppkey AS VARCHAR) AS instrument, sum(l_quantity) AS t FROM lineitem WHERE l_returnflag = 'A' AND l_suppkey % 3 <> 0 GROUP BY 1), c AS (SELECT CAST(l_suppkey AS VARCHAR) AS instrument, sum(l_quantity) AS c FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+    """WITH t AS (SELECT CAST(l_suppkey AS VARCHAR) AS instrument, sum(l_quantity) AS t FROM lineitem WHERE l_returnflag = 'A' AND l_suppkey % 3 <> 0 GROUP BY 1), c AS (SELECT CAST(l_suppkey AS VARCHAR) AS instrument, sum(l_quantity) AS c FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey % 3 <> 1 GROUP BY 1),
     j AS (SELECT instrument, coalesce(t, 0) AS t, coalesce(c, 0) AS c FROM t FULL JOIN c USING (instrument))
     SELECT instrument, CASE WHEN t > c THEN 'buy' ELSE 'sell' END AS direction, CASE WHEN t = 0 THEN c ELSE floor(abs(t - c) / 100) * 100 END AS amount FROM j WHERE t <> c AND CASE WHEN t = 0 THEN c ELSE floor(abs(t - c) / 100) * 100 END > 0""",
 )
 def order_diff(spark, sf_dir):
     li = T.table(spark, sf_dir, "lineitem")
     amt = lambda c: li.where(c).groupBy(F.col("l_suppkey").cast("string").alias("instrument")).agg(F.sum("l_quantity").alias("amount"))
-    return J.order_diff(amt("l_returnflag = 'A' AND l_suppkey % 3 <> 0"), amt("l_returnflag = 'R'"))
+    return J.order_diff(amt("l_returnflag = 'A' AND l_suppkey % 3 <> 0"), amt("l_returnflag = 'R' AND l_suppkey % 3 <> 1"))

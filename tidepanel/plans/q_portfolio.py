@@ -229,11 +229,11 @@ def position_weights(spark, sf_dir):
     return h.withColumn("weight", v / (F.sum(v).over(Window.partitionBy("date")) + 10000.0))
 
 
-@query("position_fill_price", "date:d instrument:s price:f", f"WITH {_HOLD} SELECT h.date, h.instrument, CASE WHEN h.date - b.datetime <= 21 THEN b.vwap END AS price FROM hold h ASOF LEFT JOIN (SELECT * FROM bars WHERE volume > 40) b ON b.instrument = h.instrument AND h.date >= b.datetime")
+@query("position_fill_price", "date:d instrument:s price:f", f"WITH {_HOLD} SELECT h.date, h.instrument, CASE WHEN h.date - b.datetime <= 21 THEN b.vwap END AS price FROM hold h ASOF LEFT JOIN bars b ON b.instrument = h.instrument AND h.date >= b.datetime")
 def position_fill_price(spark, sf_dir):
     from tidepanel.operators.joins import asof_join
 
-    p = T.bars(spark, sf_dir).where("volume > 40").select("instrument", "datetime", F.col("vwap").alias("px"))
+    p = T.bars(spark, sf_dir).select("instrument", "datetime", F.col("vwap").alias("px"))
     h = _hold(spark, sf_dir).select("instrument", F.col("date").alias("datetime"), "amount")
     j = asof_join(h, p)
     return j.select(F.col("datetime").alias("date"), "instrument", F.when(F.datediff("datetime", "matched_at") <= 21, F.col("px")).alias("price"))

@@ -43,18 +43,18 @@ def scan_csv_parquet(spark, sf_dir):
 @query(
     "scan_static",
     "datetime:d instrument:s score:f ret:f",
-    f"""WITH {T.PRED}, a AS (SELECT instrument, datetime, score FROM pred WHERE score > 1), b AS (SELECT instrument, datetime, label AS ret FROM pred WHERE label > 0)
+    f"""WITH {T.PRED}, a AS (SELECT instrument, datetime, score FROM pred WHERE score IS NOT NULL AND cal_ix % 3 <> 0), b AS (SELECT instrument, datetime, label AS ret FROM pred WHERE label IS NOT NULL AND cal_ix % 3 <> 1)
     SELECT * FROM (SELECT coalesce(a.datetime, b.datetime) AS datetime, coalesce(a.instrument, b.instrument) AS instrument, score, ret FROM a FULL JOIN b ON a.instrument = b.instrument AND a.datetime = b.datetime) WHERE {RANGE}""",
 )
 def scan_static(spark, sf_dir):
     p = T.pred(spark, sf_dir)
-    df = P.scan_static({"feature": p.where("score > 1").select("instrument", "datetime", "score"), "label": p.where("label > 0").select("instrument", "datetime", F.col("label").alias("ret"))})
+    df = P.scan_static({"feature": p.where("score IS NOT NULL AND cal_ix % 3 <> 0").select("instrument", "datetime", "score"), "label": p.where("label IS NOT NULL AND cal_ix % 3 <> 1").select("instrument", "datetime", F.col("label").alias("ret"))})
     return df.where(F.col("datetime").between(F.lit(A), F.lit(B))).select("datetime", "instrument", F.col("`feature.score`").alias("score"), F.col("`label.ret`").alias("ret"))
 
 
-@query("scan_irregular", "event_id:i instrument:s ts:t price:f size:f", f"WITH {T.TICKS} SELECT event_id, instrument, ts, price, size FROM ticks WHERE ts >= TIMESTAMP '2024-01-05 00:00:00'")
+@query("scan_irregular", "event_id:i instrument:s ts:t price:f size:f", f"WITH {T.TICKS} SELECT event_id, instrument, ts, price, size FROM ticks")
 def scan_irregular(spark, sf_dir):
-    return T.ticks(spark, sf_dir).where(F.col("ts") >= F.lit("2024-01-05 00:00:00").cast("timestamp_ntz"))
+    return T.ticks(spark, sf_dir)
 
 
 @query("build_calendar", "datetime:d cal_ix:i", f"WITH {T.DAYS} SELECT * FROM days")
