@@ -95,10 +95,8 @@ def position_status(pos, dates, bounds=Bounds()):
 
 def decompose(df, group):
     """Group weight, weight inside the group and group return per date; input: date, instrument, weight, ret."""
-    keys = ["date", group]
-    w = attach_stats(df, keys, {"group_weight": F.sum("weight")})
-    w = w.withColumn("inner_weight", ratio(F.col("weight"), F.col("group_weight")))
-    return w.groupBy(*keys).agg(F.max("group_weight").alias("group_weight"), F.sum(F.col("inner_weight") * F.col("ret")).alias("group_return"))
+    total, earned = F.sum("weight"), F.sum(F.col("weight") * F.col("ret"))
+    return df.groupBy("date", group).agg(total.alias("group_weight"), ratio(earned, total).alias("group_return"))
 
 
 def brinson(port, bench, group):

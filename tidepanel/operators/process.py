@@ -71,17 +71,25 @@ def zscore_norm(df, cols, start, end):
     return apply_stats(df, stats, {c: scaled(c) for c in cols})
 
 
+def _medians(long, names):
+    """One row with the median of ``v`` per column number ``k``: the columns share every pass over the rows."""
+    each = exact_quantiles(long, ["k"], "v", {"m": 0.5}, Bounds(len(names)))
+    return each.groupBy().agg(*[F.max(F.when(F.col("k") == i, F.col("m"))).alias(n) for i, n in enumerate(names)])
+
+
 def robust_zscore_norm(df, cols, start, end, clip=True):
-    fit = _in_range(df, start, end)
-    for c in cols:
-        med = exact_quantiles(fit, [], c, {"__med": 0.5})
-        away = fit.crossJoin(F.broadcast(med)).select(F.abs(F.col(c) - F.col("__med")).alias("__d"))
-        mad = exact_quantiles(away, [], "__d", {"__mad": 0.5})
-        z = (F.col(c) - F.col("__med")) / ((F.col("__mad") + EPS) * 1.4826)
-        if clip:
-            z = F.when(z.isNotNull(), F.greatest(F.lit(-3.0), F.least(F.lit(3.0), z)))
-        df = df.crossJoin(F.broadcast(med)).crossJoin(F.broadcast(mad)).withColumn(c, z).drop("__med", "__mad")
-    return df
+    """(x - median) / (median distance * 1.4826) of all columns together, the medians from the fit range."""
+    fit = _in_range(df, start, end).select(*cols)
+    long = lambda d, values: d.select(F.explode(F.array(*[F.struct(F.lit(i).alias("k"), v.cast("double").alias("v")) for i, v in enumerate(values)])).alias("e")).select("e.*")
+    med = _medians(long(fit, [F.col(c) for c in cols]), [f"__med_{c}" for c in cols])
+    away = long(fit.crossJoin(F.broadcast(med)), [F.abs(F.col(c) - F.col(f"__med_{c}")) for c in cols])
+    stats = med.crossJoin(_medians(away, [f"__mad_{c}" for c in cols]))
+
+    def scaled(c):
+        z = (F.col(c) - F.col(f"__med_{c}")) / ((F.col(f"__mad_{c}") + EPS) * 1.4826)
+        return F.when(z.isNotNull(), F.greatest(F.lit(-3.0), F.least(F.lit(3.0), z))) if clip else z
+
+    return apply_stats(df, stats, {c: scaled(c) for c in cols})
 
 
 def cs_zscore(df, cols, bounds=Bounds(), by=("datetime",)):

@@ -167,7 +167,12 @@ def hf_norm(spark, sf_dir):
     return P.hf_norm(T.panel(spark, sf_dir), {"price": ["open", "close"], "volume": ["volume"]}, A, B)
 
 
-@query("fit_then_apply", KEY + "score:f label:f")
+@query(
+    "fit_then_apply",
+    KEY + "score:f label:f",
+    f"""WITH {T.PRED}, s AS (SELECT avg(score) AS m, stddev_pop(score) AS s FROM pred WHERE {FIT}), k AS (SELECT instrument, datetime, (score - m) / s AS score, label FROM pred, s WHERE score IS NOT NULL AND label IS NOT NULL)
+    SELECT instrument, datetime, score, (label - avg(label) OVER d) / nullif(stddev_samp(label) OVER d, 0) AS label FROM k WINDOW d AS (PARTITION BY datetime)""",
+)
 def fit_then_apply(spark, sf_dir):
     b = T.bounds(spark, sf_dir)
     shared = [lambda d: P.zscore_norm(d, ["score"], A, B)]
@@ -177,7 +182,7 @@ def fit_then_apply(spark, sf_dir):
     return learn
 
 
-@query("monthly_apply", "month:s names:i mean_score:f")
+@query("monthly_apply", "month:s names:i mean_score:f", f"WITH {T.PRED} SELECT strftime(datetime, '%Y-%m') AS month, count(score) AS names, avg(score) AS mean_score FROM pred GROUP BY 1")
 def monthly_apply(spark, sf_dir):
     """Group work by month needs no manual split: the shuffle by month is the split, and the aggregate is partial."""
     return T.pred(spark, sf_dir).groupBy(F.date_format("datetime", "yyyy-MM").alias("month")).agg(F.count("score").alias("names"), F.avg("score").alias("mean_score"))
