@@ -32,14 +32,8 @@ def test_every_statement_has_a_query():
 
 #: Queries without a statement, and why.
 NO_STATEMENT = {
-    "linear_fit": "an iterative fit",
     "gbt_fit": "an iterative fit",
-    "walk_forward": "iterative fits",
-    "permutation_importance": "random shuffles",
-    "capped_topn": "a greedy walk",
     "pca_cov": "an eigenvalue problem",
-    "fit_then_apply": "an iterative fit",
-    "monthly_apply": "fits by month",
 }
 
 

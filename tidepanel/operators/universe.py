@@ -196,7 +196,10 @@ def asof_universe(caps, bars, asof, n):
         F.when(F.col("cap").isNull(), "no_cap").when(F.col("latest").isNull(), "no_price").when(F.col("asof_close").isNull(), "no_price_asof")
     )
     j = j.withColumn("reason", reason)
-    return xs_top(j.where("reason IS NULL").withColumn("__g", F.lit(1)), ["__g"], [F.col("asof_cap").desc(), F.col("instrument")], n).drop("__g"), j
+    order = [F.col("asof_cap").desc(), F.col("instrument")]
+    # the limit keeps n rows a task; only n rows are numbered
+    top = j.where("reason IS NULL").orderBy(*order).limit(n).withColumn("top_rank", F.row_number().over(Window.orderBy(*order)))
+    return top, j
 
 
 # fixed values: security kinds by name text, first match wins

@@ -573,6 +573,51 @@ def shrink_cov_var(spark, sf_dir):
     return Q.shrink(_cov(spark, sf_dir), 0.3, "const_var")
 
 
+_SHRINK = f"""{SIG}, xr AS (SELECT date, instrument, label / 10 AS r FROM sig WHERE label IS NOT NULL), x AS (SELECT date, instrument, r - avg(r) OVER (PARTITION BY instrument) AS x FROM xr),
+ z AS (SELECT (SELECT count(DISTINCT date) FROM sig)::DOUBLE AS t, count(DISTINCT instrument)::DOUBLE AS p FROM x), one AS (SELECT instrument, sum(x * x) / any_value(t) AS v FROM x, z GROUP BY 1),
+ prod AS (SELECT a.instrument AS i, b.instrument AS j, sum(a.x * b.x) AS s FROM x a JOIN x b USING (date) GROUP BY 1, 2),
+ g AS (SELECT a.instrument AS i, b.instrument AS j, coalesce(s, 0) / t AS s FROM one a CROSS JOIN one b CROSS JOIN z LEFT JOIN prod ON prod.i = a.instrument AND prod.j = b.instrument),
+ q AS (SELECT sum(s * s) AS s2, sum(s) FILTER (WHERE i = j) AS tr, sum(s * s) FILTER (WHERE i = j) AS v2 FROM g)"""
+_VARIANCE = f"""{_SHRINK}, f AS (SELECT i, j, s, CASE WHEN i = j THEN tr / p ELSE 0 END AS f FROM g, q, z)"""
+_FACTOR = f"""{_SHRINK}, mk AS (SELECT date, sum(x) / any_value(p) AS m FROM x, z GROUP BY 1), vm AS (SELECT sum(m * m) / any_value(t) AS vm FROM mk, z), c AS (SELECT instrument, sum(x * m) / any_value(t) AS c FROM x JOIN mk USING (date), z GROUP BY 1),
+ f AS (SELECT i, j, s, CASE WHEN i = j THEN s ELSE a.c * b.c / vm END AS f FROM g JOIN c a ON a.instrument = i JOIN c b ON b.instrument = j, vm),
+ dy AS (SELECT date, any_value(m) AS m, sum(x * x) AS y2, sum(x ** 4) AS y4, sum(x * c) AS yc, sum(x ** 3 * c) AS y3c, sum(x * x * c * c) AS y2c2 FROM x JOIN mk USING (date) JOIN c USING (instrument) GROUP BY 1),
+ w AS (SELECT sum(y2 * y2) / any_value(t) AS phi, sum(y4) / any_value(t) AS diag, sum(m * (y2 * yc - y3c)) / any_value(t) AS first, sum(m * m * (yc * yc - y2c2)) / any_value(t) AS third FROM dy, z),
+ k AS (SELECT sum(a.c * b.c * s) - sum(CASE WHEN i = j THEN a.c * a.c * s ELSE 0 END) AS common FROM g JOIN c a ON a.instrument = i JOIN c b ON b.instrument = j),
+ al AS (SELECT greatest(0, least(1, (phi - s2 - (diag - v2 + 2 * (first - common) / vm - (third - vm * common) / vm ** 2)) / (SELECT sum((s - f) ** 2) FROM f) / t)) AS alpha FROM w, q, k, vm, z)"""
+
+
+def _shrunk(spark, sf_dir, target, alpha):
+    d = sig(spark, sf_dir).withColumn("ret", F.col("label") / 10)
+    return Q.shrink_returns(d, T.bounds(spark, sf_dir).names, target, alpha, block=32)
+
+
+@query(
+    "shrink_cov_lw",
+    "i:s j:s cov:f alpha:f",
+    f"""WITH {_VARIANCE}, al AS (SELECT greatest(0, least(1, ((SELECT sum(y2 * y2) FROM (SELECT sum(x * x) AS y2 FROM x GROUP BY date)) / t - s2) / (SELECT sum((s - f) ** 2) FROM f) / t)) AS alpha FROM q, z)
+    SELECT i, j, (1 - alpha) * s + alpha * f AS cov, alpha FROM f, al""",
+)
+def shrink_cov_lw(spark, sf_dir):
+    """Constant-variance target, intensity from the returns."""
+    return _shrunk(spark, sf_dir, "const_var", "lw")
+
+
+@query(
+    "shrink_cov_oas",
+    "i:s j:s cov:f alpha:f",
+    f"WITH {_VARIANCE}, al AS (SELECT (1 - 2 / p) * (s2 + tr * tr) / ((t + 1 - 2 / p) * (s2 + tr * tr / p)) AS alpha FROM q, z) SELECT i, j, (1 - alpha) * s + alpha * f AS cov, alpha FROM f, al",
+)
+def shrink_cov_oas(spark, sf_dir):
+    return _shrunk(spark, sf_dir, "const_var", "oas")
+
+
+@query("shrink_cov_factor", "i:s j:s cov:f alpha:f", f"WITH {_FACTOR} SELECT i, j, (1 - alpha) * s + alpha * f AS cov, alpha FROM f, al")
+def shrink_cov_factor(spark, sf_dir):
+    """Single-factor target: the mean of all names is the factor."""
+    return _shrunk(spark, sf_dir, "single_factor", "lw")
+
+
 @query("threshold_cov", "i:s j:s cov:f", f"WITH {_COV} SELECT i, j, CASE WHEN i = j THEN cov ELSE sign(r) * greatest(abs(r) - 0.05::DOUBLE, 0) * si * sj END AS cov FROM cr")
 def threshold_cov(spark, sf_dir):
     return Q.threshold(_cov(spark, sf_dir), 0.05, "soft")

@@ -205,6 +205,21 @@ def asof_universe(spark, sf_dir):
     return U.asof_universe(caps, T.bars(spark, sf_dir), B, 20)[0]
 
 
+@query(
+    "asof_universe_reasons",
+    "instrument:s asof_cap:f reason:s",
+    f"""WITH {T.BARS}, px AS (SELECT instrument, arg_max(close, datetime) AS latest, arg_max(close, datetime) FILTER (WHERE datetime <= DATE '1992-02-01') AS asof_close FROM bars WHERE close IS NOT NULL GROUP BY 1),
+    c AS (SELECT CAST(s_suppkey AS VARCHAR) AS instrument, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS cap FROM supplier UNION ALL SELECT 'c' || c_custkey, c_acctbal FROM customer)
+    SELECT instrument, cap * asof_close / latest AS asof_cap, CASE WHEN cap IS NULL THEN 'no_cap' WHEN latest IS NULL THEN 'no_price' WHEN asof_close IS NULL THEN 'no_price_asof' END AS reason FROM c LEFT JOIN px USING (instrument)""",
+)
+def asof_universe_reasons(spark, sf_dir):
+    """Why each name is out of the universe, or null: no size, no price at all (customers have none), or none by an early date."""
+    s, c = T.table(spark, sf_dir, "supplier"), T.table(spark, sf_dir, "customer")
+    caps = s.select(F.col("s_suppkey").cast("string").alias("instrument"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("cap"))
+    caps = caps.unionByName(c.select(F.concat(F.lit("c"), "c_custkey").alias("instrument"), F.col("c_acctbal").alias("cap")))
+    return U.asof_universe(caps, T.bars(spark, sf_dir), dt.date(1992, 2, 1), 20)[1]
+
+
 _KIND = r"CASE WHEN regexp_matches(p_name, '(?i)\brings?\b') THEN 'ring' WHEN regexp_matches(p_name, '(?i)\b(red|blue)\b') THEN 'colour' ELSE 'common' END"
 
 
