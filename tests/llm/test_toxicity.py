@@ -34,3 +34,12 @@ def test_odd_rows(spark, odd, none):
     assert {r.held_out for r in rows if r.doc_id is None} == {False}
     assert toxicity.score(none, labels).count() == 0
     assert {r.score for r in toxicity.score(odd, labels.where("false")).collect()} == {0.0}
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    runs = [{r.doc_id: (r.predicted, r.score) for r in toxicity.score(x, labels).collect()} for x in (docs, docs.repartition(7, "text"), docs.orderBy("text").repartition(3))]
+    for other in runs[1:]:
+        assert {i: p for i, (p, _) in other.items()} == {i: p for i, (p, _) in runs[0].items()}
+        assert all(abs(s - runs[0][i][1]) < 1e-9 for i, (_, s) in other.items())
