@@ -112,3 +112,23 @@ def test_attribution_inside_an_event(spark):
     event = spark.createDataFrame([(DAY, DAY + dt.timedelta(2))], "peak date, trough date")
     got = {(r.level, r.name): (r.contribution, r.share, r.days) for r in Q.event_attribution(event, df, ["instrument", "sector"]).collect()}
     assert got == {("instrument", "a"): (-1.0, 0.5, 1), ("instrument", "b"): (-2.0, 1.0, 1), ("instrument", "c"): (1.0, -0.5, 1), ("sector", "x"): (-3.0, 1.5, 2), ("sector", None): (1.0, -0.5, 1)}
+
+
+def test_summaries_against_pandas(spark):
+    rng = random.Random(9)
+    rows = [(DAY + dt.timedelta(28 * i), rng.gauss(0.01, 0.05), rng.gauss(0.005, 0.04) if i % 7 else None, rng.random(), rng.randrange(5, 10)) for i in range(40)]
+    df = spark.createDataFrame(rows, "date date, gross double, bench double, turnover double, positions int")
+    p = df.toPandas()
+    net = p["gross"] - 0.002 * p["turnover"]
+    nav = (1 + net).cumprod()
+    r = Q.backtest_summary(df, 13, 0.002).first()
+    assert (r.periods, r.positions, r.win_rate) == (40, p["positions"].mean(), (net > 0).mean())
+    want = [nav.iloc[-1] - 1, nav.iloc[-1] ** (13 / 40) - 1, net.std() * 13**0.5, net.mean() / net.std() * 13**0.5, (nav / nav.cummax() - 1).min(), 0.002 * p["turnover"].sum()]
+    assert [r.cumulative, r.annual, r.volatility, r.ir, r.drawdown, r.cost] == pytest.approx(want)
+    own, market = (1 + p["gross"]).cumprod(), (1 + p["bench"].fillna(0)).cumprod()
+    ok = p["bench"].notna()
+    a, b, relative = p["gross"][ok], p["bench"][ok], (own / market)[ok]
+    r = Q.benchmark_summary(df.withColumn("ret", F.col("gross")), 13).first()
+    beta = a.cov(b) / b.var()
+    want = [(1 + a).prod() - 1, (1 + b).prod() - 1, relative.iloc[-1] - 1, (1 + b).prod() ** (13 / ok.sum()) - 1, (market[ok] / market[ok].cummax() - 1).min(), (relative / relative.cummax() - 1).min(), beta, (a.mean() - beta * b.mean()) * 13, a.corr(b), (a > b).mean()]
+    assert [r.cumulative, r.bench_cumulative, r.excess_cumulative, r.bench_annual, r.bench_drawdown, r.relative_drawdown, r.beta, r.alpha, r["corr"], r.win_rate] == pytest.approx(want)

@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidepanel.operators.evaluate import ratio
+from tidepanel.operators.evaluate import pearson, ratio
 from tidepanel.operators.scale import Bounds, attach_stats, bounded, xs_top
 from tidepanel.session import cut_lineage
 
@@ -468,3 +468,37 @@ def event_attribution(event, contributions, levels):
     sums = long.groupBy("level", "name").agg(F.sum("contribution").alias("contribution"), F.count_distinct("date").alias("days"))
     total = inside.agg(F.sum("contribution").alias("__all"))
     return sums.crossJoin(bounded(total, 1)).withColumn("share", F.col("contribution") / F.when(F.col("__all") != 0, F.col("__all"))).drop("__all")
+
+
+def benchmark_summary(df, scale):
+    """One row: a strategy (``ret``) against a benchmark (``bench``) per period; ``scale`` periods are a year.
+
+    Net values run over all periods, a missing return counting as none; everything else takes the periods that have both. Of the net
+    values the last such period counts.
+    """
+    runs = nav(nav(df.withColumn("series", F.lit(1)), "ret", name="own"), "bench", name="market")
+    runs = runs.withColumn("relative", ratio(F.col("own"), F.col("market"))).where("ret IS NOT NULL AND bench IS NOT NULL")
+    w = line("series")
+    runs = runs.withColumns({"market_dd": ratio(F.col("market"), F.max("market").over(w)) - 1, "relative_dd": ratio(F.col("relative"), F.max("relative").over(w)) - 1})
+    ex, n = F.col("ret") - F.col("bench"), F.count(F.lit(1))
+    grown = lambda c: F.when(F.min(c) <= -1, -1.0).otherwise(F.exp(F.sum(F.ln(1 + F.col(c)))) - 1)
+    beta = ratio(F.covar_samp("ret", "bench"), F.var_samp("bench"))
+    return runs.agg(
+        n.alias("periods"), grown("ret").alias("cumulative"), grown("bench").alias("bench_cumulative"), (F.max_by("relative", "date") - 1).alias("excess_cumulative"),
+        (F.pow(1 + grown("bench"), scale / n) - 1).alias("bench_annual"), (F.stddev_samp("bench") * scale**0.5).alias("bench_volatility"),
+        F.min("market_dd").alias("bench_drawdown"), F.min("relative_dd").alias("relative_drawdown"), (F.stddev_samp(ex) * scale**0.5).alias("tracking_error"),
+        (ratio(F.avg(ex), F.stddev_samp(ex)) * scale**0.5).alias("ir"), beta.alias("beta"), ((F.avg("ret") - beta * F.avg("bench")) * scale).alias("alpha"),
+        pearson("ret", "bench").alias("corr"), F.avg(ex).alias("mean_excess"), F.avg((ex > 0).cast("double")).alias("win_rate"),
+    )
+
+
+def backtest_summary(periods, scale, cost):
+    """One row over holding periods (date, gross, turnover, positions): returns after ``cost`` times turnover, risk, drawdown, turnover."""
+    d = nav(periods.withColumns({"series": F.lit(1), "ret": F.col("gross") - cost * F.col("turnover")}))
+    d = d.withColumn("dd", ratio(F.col("nav"), F.max("nav").over(line("series"))) - 1)
+    n, last = F.count(F.lit(1)), F.max_by("nav", "date")
+    return d.agg(
+        n.alias("periods"), (last - 1).alias("cumulative"), (F.pow(last, scale / n) - 1).alias("annual"), (F.stddev_samp("ret") * scale**0.5).alias("volatility"),
+        (ratio(F.avg("ret"), F.stddev_samp("ret")) * scale**0.5).alias("ir"), F.min("dd").alias("drawdown"), F.avg("gross").alias("mean_gross"), F.avg("ret").alias("mean_net"),
+        F.avg((F.col("ret") > 0).cast("double")).alias("win_rate"), F.avg("turnover").alias("turnover"), (F.sum("turnover") * cost).alias("cost"), F.avg("positions").alias("positions"),
+    )

@@ -458,16 +458,41 @@ def _cmp(spark, sf_dir):
     return d.select("date", (F.col("gross") / 10).alias("ret"), ((F.col("x") / F.col("e") - 1) / 10).alias("bench"))
 
 
-@query("benchmark_compare", "tracking_error:f ir:f beta:f corr:f win_rate:f", f"WITH {_CMP} SELECT stddev_samp(ret - bench) * sqrt(13) AS tracking_error, avg(ret - bench) / stddev_samp(ret - bench) * sqrt(13) AS ir, covar_samp(ret, bench) / var_samp(bench) AS beta, corr(ret, bench) AS corr, avg(CASE WHEN ret > bench THEN 1 ELSE 0 END) AS win_rate FROM cmp")
+@query(
+    "benchmark_compare",
+    "periods:i cumulative:f bench_cumulative:f excess_cumulative:f bench_annual:f bench_volatility:f bench_drawdown:f relative_drawdown:f tracking_error:f ir:f beta:f alpha:f corr:f mean_excess:f win_rate:f",
+    f"""WITH {_CMP}, n AS (SELECT *, product(1 + coalesce(ret, 0)) OVER {RUN} AS own, product(1 + coalesce(bench, 0)) OVER {RUN} AS market FROM cmp), v AS (SELECT *, own / market AS relative FROM n WHERE ret IS NOT NULL AND bench IS NOT NULL),
+    d AS (SELECT *, market / max(market) OVER {RUN} - 1 AS md, relative / max(relative) OVER {RUN} - 1 AS rd FROM v)
+    SELECT count(*) AS periods, product(1 + ret) - 1 AS cumulative, product(1 + bench) - 1 AS bench_cumulative, arg_max(relative, date) - 1 AS excess_cumulative, pow(product(1 + bench), 13.0::DOUBLE / count(*)) - 1 AS bench_annual,
+     stddev_samp(bench) * sqrt(13) AS bench_volatility, min(md) AS bench_drawdown, min(rd) AS relative_drawdown, stddev_samp(ret - bench) * sqrt(13) AS tracking_error, avg(ret - bench) / stddev_samp(ret - bench) * sqrt(13) AS ir,
+     covar_samp(ret, bench) / var_samp(bench) AS beta, (avg(ret) - covar_samp(ret, bench) / var_samp(bench) * avg(bench)) * 13 AS alpha, corr(ret, bench) AS corr, avg(ret - bench) AS mean_excess, avg(CASE WHEN ret > bench THEN 1 ELSE 0 END) AS win_rate FROM d""",
+)
 def benchmark_compare(spark, sf_dir):
-    ex = F.col("ret") - F.col("bench")
-    return _cmp(spark, sf_dir).agg((F.stddev_samp(ex) * 13**0.5).alias("tracking_error"), (E.ratio(F.avg(ex), F.stddev_samp(ex)) * 13**0.5).alias("ir"), E.ratio(F.covar_samp("ret", "bench"), F.var_samp("bench")).alias("beta"), E.pearson("ret", "bench").alias("corr"), F.avg((ex > 0).cast("double")).alias("win_rate"))
+    return Q.benchmark_summary(_cmp(spark, sf_dir), 13)
 
 
-@query("backtest_summary", "mean:f volatility:f win_rate:f turnover:f cost:f positions:f", f"WITH {PER} SELECT avg(gross) AS mean, stddev_samp(gross) * sqrt(13) AS volatility, avg(CASE WHEN gross > 0 THEN 1 ELSE 0 END) AS win_rate, avg(turnover) AS turnover, sum(turnover) * 0.001 AS cost, avg(positions) AS positions FROM per")
+@query(
+    "backtest_summary",
+    "periods:i cumulative:f annual:f volatility:f ir:f drawdown:f mean_gross:f mean_net:f win_rate:f turnover:f cost:f positions:f",
+    f"""WITH {PER}, r AS (SELECT *, gross / 10 - 0.001::DOUBLE * turnover AS ret FROM per), n AS (SELECT *, product(1 + ret) OVER {RUN} AS nav FROM r), d AS (SELECT *, nav / max(nav) OVER {RUN} - 1 AS dd FROM n)
+    SELECT count(*) AS periods, arg_max(nav, date) - 1 AS cumulative, pow(arg_max(nav, date), 13.0::DOUBLE / count(*)) - 1 AS annual, stddev_samp(ret) * sqrt(13) AS volatility, avg(ret) / stddev_samp(ret) * sqrt(13) AS ir, min(dd) AS drawdown,
+     avg(gross / 10) AS mean_gross, avg(ret) AS mean_net, avg(CASE WHEN ret > 0 THEN 1 ELSE 0 END) AS win_rate, avg(turnover) AS turnover, sum(turnover) * 0.001 AS cost, avg(positions) AS positions FROM d""",
+)
 def backtest_summary(spark, sf_dir):
-    p = periods(spark, sf_dir)
-    return p.agg(F.avg("gross").alias("mean"), (F.stddev_samp("gross") * 13**0.5).alias("volatility"), F.avg((F.col("gross") > 0).cast("double")).alias("win_rate"), F.avg("turnover").alias("turnover"), (F.sum("turnover") * 0.001).alias("cost"), F.avg("positions").alias("positions"))
+    """Four-week holdings; returns are scaled down as elsewhere, because the given prices jump."""
+    return Q.backtest_summary(periods(spark, sf_dir).withColumn("gross", F.col("gross") / 10), 13, 0.001)
+
+
+@query(
+    "top_held",
+    "instrument:s periods:i top_rank:i",
+    f"WITH {POS} SELECT instrument, count(*) AS periods, row_number() OVER (ORDER BY count(*) DESC, instrument) AS top_rank FROM pos GROUP BY 1 QUALIFY top_rank <= 10",
+)
+def top_held(spark, sf_dir):
+    """The names that were held most often: partial counts, then ten rows."""
+    order = [F.col("periods").desc(), F.col("instrument")]
+    most = top10(spark, sf_dir, 4).groupBy("instrument").agg(F.count(F.lit(1)).alias("periods")).orderBy(*order).limit(10)
+    return most.withColumn("top_rank", F.row_number().over(Window.orderBy(*order)))
 
 
 @query("strategy_compare", "metric:s leader:s best:f", f"WITH {_LS}, k AS (SELECT * FROM (WITH {risk_sql('ls', 'series')})), l AS (SELECT series, 'annual_return' AS metric, annual_return AS v FROM k UNION ALL SELECT series, 'max_drawdown', max_drawdown FROM k) SELECT metric, arg_max(series, v) AS leader, max(v) AS best FROM l GROUP BY 1")
