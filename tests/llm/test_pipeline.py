@@ -54,3 +54,11 @@ def test_texts_under_one_id_are_judged_each_for_itself(spark):
         # of the two near copies under 7 one stays
         assert sorted(x for x in kept if x[0] != 7) == [(3, a), (5, b), (5, c), (8, "")]
         assert len(kept) == 5 and {x for x in kept if x[0] == 7} < {(7, d), (7, d + " end")}
+
+
+def test_every_stage_takes_an_empty_table(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("false")
+    for k, (_, stage) in enumerate(cp.STAGES):
+        out = stage(spark, docs, sf)
+        assert out.count() == 0 and (k + 1 == len(cp.STAGES) or out.columns == cp.COLUMNS)
