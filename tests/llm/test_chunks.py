@@ -7,7 +7,7 @@ import pyarrow as pa
 from samples import TEXTS
 from tokenizers import Tokenizer
 
-from tidepanel.llm import chunks
+from tidepanel.llm import chunks, packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -81,3 +81,11 @@ def test_memory_of_chunks_is_bounded():
         text = " ".join(f"w{n}x{i}" for i in range(2000))
         list(codec.encode(cut([text])))
         assert codec.held <= 10_000 + len(text)
+
+
+def test_special_strings_keep_their_case():
+    """Only the exact string is a special token, here and where words are packed."""
+    texts = ["a <|ENDOFTEXT|> b", "a <|endoftext|> b", "Über <|StartOfText|>x Y"]
+    want = [i for i, _ in library(texts)]
+    assert [i for i, _ in chunks.Codec(PATH).encode(cut(texts))] == want
+    assert [i[:-4] for i in packing.document_ids(texts, PATH)] == want

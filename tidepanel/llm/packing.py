@@ -75,7 +75,9 @@ def word_lookup(path):
 
 def _words(text):
     """Parts of a text that are encoded each for itself. Latin-1 texts are lower-cased here, as the tokenizer does it, so that fewer
-    words differ."""
+    words differ; a text that may hold special strings is not, as these are told apart by case."""
+    if "<|" in text:
+        return [w for w in _SPLIT.split(text) if w]
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
