@@ -1,8 +1,11 @@
 """Cases that showed only on larger tables."""
 
-from tidepanel.plans import catalog
-
+import datetime as dt
+import math
 
+from tidepanel.operators import clean as C
+from tidepanel.operators import intraday as I
+from tidepanel.plans import catalog
 
 
 def test_order_diff_reads_every_current_position(spark, tmp_path):
@@ -11,3 +14,19 @@ def test_order_diff_reads_every_current_position(spark, tmp_path):
     got = {(r.instrument, r.direction, r.amount) for r in catalog.QUERIES["order_diff"](spark, str(tmp_path)).collect()}
     # suppliers 1 and 4 have current amounts too; 40 is less than a whole unit
     assert got == {("0", "sell", 150.0), ("3", "sell", 150.0), ("1", "buy", 200.0)}
+
+
+def test_change_against_a_close_of_zero(spark):
+    rows = [("a", dt.datetime(2024, 1, 1, h), c, c, c, c, 5.0) for h, c in enumerate((2.0, 0.0, None, 3.0, 0.0, 0.0, 4.0))]
+    panel = spark.createDataFrame(rows, "instrument string, datetime timestamp_ntz, open double, high double, low double, close double, volume double")
+    got = [r.change for r in C.norm_bars(panel).orderBy("datetime").collect()]
+    # as the statement divides: x/0 is infinity and 0/0 is no number; a missing close repeats the last one
+    assert got[0] is None and got[1] == -1.0 and math.isnan(got[2]) and got[3] == math.inf and got[4] == -1.0
+    assert math.isnan(got[5]) and got[6] == math.inf
+
+
+def test_book_change_against_a_price_of_zero(spark):
+    rows = [("a", dt.datetime(2024, 1, 1, 10, 0, 20 * k), k, [p], [p], [1.0], [1.0]) for k, p in enumerate((0.0, 1.0, 2.0))]
+    quotes = spark.createDataFrame(rows, "instrument string, ts timestamp_ntz, event_id int, ask array<double>, bid array<double>, asize array<double>, bsize array<double>")
+    got = I.order_book_levels(quotes, 1, rows_back=1, seconds_back=20, step=20).first()
+    assert got.change_1_rows == math.inf and got.change_20_s == math.inf

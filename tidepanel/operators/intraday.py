@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidepanel.functions.elem import quotient
 from tidepanel.operators.joins import asof_join
 
 
@@ -233,10 +234,10 @@ def order_book_levels(quotes, levels, rows_back=5, seconds_back=60, step=3):
     s = q.select("instrument", "ts", "event_id", (F.col("ask")[0] + F.col("bid")[0]).alias("s"))
     near = row_halo(s, "instrument", ["ts", "event_id"], rows_back)
     line = Window.partitionBy("instrument", "chunk").orderBy("ts", "event_id")
-    near = near.withColumn("then", F.lag("s", rows_back).over(line)).where("own").groupBy("instrument", minute.alias("bin")).agg(F.avg(F.col("s") / F.col("then") - 1).alias(f"change_{rows_back}_rows"))
+    near = near.withColumn("then", F.lag("s", rows_back).over(line)).where("own").groupBy("instrument", minute.alias("bin")).agg(F.avg(quotient(F.col("s"), F.col("then")) - 1).alias(f"change_{rows_back}_rows"))
     past = s.select("instrument", (F.col("ts") - F.expr(f"INTERVAL {seconds_back} SECOND")).alias("at"), "ts", "event_id", F.col("s").alias("now"))
     held = asof_join(past.withColumnRenamed("ts", "here"), s.select("instrument", F.col("ts").alias("at"), F.col("event_id").alias("e"), F.col("s").alias("then")), time="at", tie="e")
-    held = held.groupBy("instrument", F.window("here", "1 minute")["start"].alias("bin")).agg(F.avg(F.col("now") / F.col("then") - 1).alias(f"change_{seconds_back}_s"))
+    held = held.groupBy("instrument", F.window("here", "1 minute")["start"].alias("bin")).agg(F.avg(quotient(F.col("now"), F.col("then")) - 1).alias(f"change_{seconds_back}_s"))
     g = g.join(moved, ["instrument", "bin"], "left").join(near, ["instrument", "bin"]).join(held, ["instrument", "bin"])
     best = F.when(F.col("__best") != 0, F.col("__best"))
     return g.withColumns({f"p_diff_ask_1_{step}s": F.col("__a") / best, f"p_diff_bid_1_{step}s": F.col("__b") / best}).drop("__a", "__b", "__best")
