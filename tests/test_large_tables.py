@@ -2,9 +2,13 @@
 
 import datetime as dt
 import math
+import random
+
+import pytest
 
 from tidepanel.operators import clean as C
 from tidepanel.operators import intraday as I
+from tidepanel.operators import portfolio as Q
 from tidepanel.plans import catalog
 
 
@@ -30,3 +34,32 @@ def test_book_change_against_a_price_of_zero(spark):
     quotes = spark.createDataFrame(rows, "instrument string, ts timestamp_ntz, event_id int, ask array<double>, bid array<double>, asize array<double>, bsize array<double>")
     got = I.order_book_levels(quotes, 1, rows_back=1, seconds_back=20, step=20).first()
     assert got.change_1_rows == math.inf and got.change_20_s == math.inf
+
+
+@pytest.fixture(scope="module")
+def returns(spark):
+    rng = random.Random(7)
+    rows = [(t, t, f"i{k}", None if rng.random() < 0.1 else rng.gauss(0, 1 + k)) for t in range(30) for k in range(9)]
+    return spark.createDataFrame(rows, "date int, ix int, instrument string, ret double").cache()
+
+
+def test_pairs_of_blocks_do_not_multiply_with_the_names(spark, returns):
+    few, many = ({(r.i, r.j): (r.cov, r.n) for r in Q.covariance(returns, n, block=2).collect()} for n in (2, 90_000))
+    assert few.keys() == many.keys() and len(few) == 81
+    assert all(few[k][0] == pytest.approx(many[k][0], abs=1e-12) and few[k][1] == many[k][1] for k in few)
+    # a vector is copied once for each block
+    dealt = Q._block_pairs(Q._return_vectors(returns, "ret"), 90_000, 2).count()
+    assert dealt.agg({"count": "sum"}).first()[0] == 9 * Q.MOST_BLOCKS
+
+
+def test_shrunk_pairs_are_not_joined(spark, returns):
+    cov, more = Q.covariance(returns, 9, block=2), Q.covariance(returns, 9, block=2, variances=True)
+    levels = {"const_var": Q.mean_variance(returns), "const_corr": Q.mean_correlation(returns, 9, block=2)}
+    made = [(Q.threshold(cov, 0.05), Q.threshold(more, 0.05))]
+    made += [(Q.shrink(cov, 0.3, target), Q.shrink(more, 0.3, target, level)) for target, level in levels.items()]
+    for plain, direct in made:
+        want, got = ({(r.i, r.j): r.cov for r in d.collect()} for d in (plain, direct))
+        assert want.keys() == got.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+        assert "Join Inner, (" not in direct._jdf.queryExecution().optimizedPlan().toString()
+    shrunk = Q.shrink_returns(returns, 9, "single_factor", "lw", block=2)
+    assert "Join" not in shrunk._jdf.queryExecution().optimizedPlan().toString()
