@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from tidepanel.functions import growing as G
 from tidepanel.operators import clean as C
 from tidepanel.operators import intraday as I
 from tidepanel.operators import portfolio as Q
@@ -63,3 +64,13 @@ def test_shrunk_pairs_are_not_joined(spark, returns):
         assert "Join Inner, (" not in direct._jdf.queryExecution().optimizedPlan().toString()
     shrunk = Q.shrink_returns(returns, 9, "single_factor", "lw", block=2)
     assert "Join" not in shrunk._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_growing_statistics_make_one_pass_of_an_instrument(spark):
+    rows = [(f"i{k % 3}", k // 3, None if k % 7 == 0 else float(k * 37 % 11)) for k in range(90)]
+    df = spark.createDataFrame(rows, "instrument string, cal_ix int, x double")
+    for made in (G.quantile(df, "x", "o", 0.5), G.rank(df, "x", "o"), G.mean_distance(df, "x", "o")):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        # no windows of running counts, and no join of questions with answers
+        assert "Window" not in plan and "Join" not in plan and "Union" not in plan
+        assert made.count() > 70

@@ -2,119 +2,138 @@
 
 The values of an instrument are ranked once over its whole life. Written in digits of base ``FAN``, a rank is a path through
 a tree whose nodes hold ``FAN`` children each. Running counts per node say how many of the values up to a row lie under every
-child, so a path is followed digit by digit: each level is one window per (instrument, node), and a row carries ``FAN`` counts
-whatever the length of the history. The work is rows times levels, and levels grow with the logarithm of the rows.
+child, so a path is followed digit by digit. An instrument, which the calendar bounds, is walked once in time order with the
+counts of its tree; nothing is made per row but the answer. The work is rows times levels, and levels grow with the logarithm of
+the rows.
 
 Each function returns a table (instrument, cal_ix, ``out``) to join to the panel; rows without an answer are missing from it.
 """
 
-from pyspark.sql import Window
+from math import ceil, floor
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 #: Children of a node: two levels reach 1,024 rows of an instrument, three 32,768.
 FAN = 32
-_KEYS = ["instrument", "cal_ix"]
-
-
-def _levels(ranked):
-    """Digits that the largest rank needs; one number goes to the driver."""
-    top = ranked.agg(F.max("r")).first()[0] or 0
-    levels = 1
-    while FAN**levels <= top:
-        levels += 1
-    return levels
-
-
-def _values(df, column):
-    return df.select(*_KEYS, F.col(column).alias("x")).where("x IS NOT NULL")
-
-
-def _running(rows, level, levels, what, name):
-    """Per row, what the entries of its node up to its time add up to under each child: an array of ``FAN`` numbers ``name``.
-
-    ``rows`` hold instrument, cal_ix, ask (0 an entry, 1 a question), r (an entry's rank) and node (the digits above this level).
-    """
-    digit = F.expr(f"(r div {FAN ** (levels - 1 - level)}) % {FAN}")
-    upto = Window.partitionBy("instrument", "node").orderBy("cal_ix", "ask").rowsBetween(Window.unboundedPreceding, 0)
-    counts = [F.coalesce(F.sum(F.when((F.col("ask") == 0) & (digit == j), what)).over(upto), F.lit(0)) for j in range(FAN)]
-    return rows.withColumn(name, F.array(*counts))
 
 
-def _with_questions(entries, questions, level, levels):
-    """Entries and questions of one level as one table; ``node`` of an entry are its leading digits."""
-    node = F.expr(f"r div {FAN ** (levels - level)}")
-    empty = [F.lit(None).cast(t).alias(n) for n, t in questions.dtypes if n not in ("instrument", "cal_ix", "node")]
-    left = entries.select("instrument", "cal_ix", F.lit(0).alias("ask"), "r", "x", node.alias("node"), *empty)
-    rest = [n for n in questions.columns if n not in ("instrument", "cal_ix", "node")]
-    right = questions.select("instrument", "cal_ix", F.lit(1).alias("ask"), F.lit(None).cast("long").alias("r"), F.lit(None).cast("double").alias("x"), "node", *rest)
-    return left.unionByName(right)
+class _Tree:
+    """Counts (or, started with 0.0, sums) of the ranks below ``size`` that were added so far, per node."""
+
+    def __init__(self, size, fan, zero=0):
+        self.fan, self.levels = fan, [[zero] * fan * -(-size // fan)]
+        while len(self.levels[-1]) > fan:
+            nodes = len(self.levels[-1]) // fan
+            self.levels.append([zero] * fan * -(-nodes // fan))
+
+    def add(self, rank, what):
+        for counts in self.levels:
+            counts[rank] += what
+            rank //= self.fan
+
+    def below(self, place):
+        """What was added at ranks below ``place``."""
+        total = 0
+        for counts in self.levels:
+            total += sum(counts[place - place % self.fan : place])
+            place //= self.fan
+        return total
+
+    def find(self, k):
+        """The rank at which the k-th of the added ones stands, from 0."""
+        at = 0
+        for counts in reversed(self.levels):
+            at *= self.fan
+            while k >= counts[at]:
+                k -= counts[at]
+                at += 1
+        return at
+
+
+def _walked(df, column, out, walk):
+    """The table of ``walk(x, order)``, which gives an answer or None for every row of an instrument in time order; ``order`` are the places
+    of its values (missing ones left out) by size and time."""
+
+    def run(t):
+        t = t.sort_by("cal_ix")
+        values = t.column("x").combine_chunks()
+        known = np.flatnonzero(values.is_valid().to_numpy(zero_copy_only=False))
+        order = known[np.argsort(values.drop_null().to_numpy(), kind="stable")]
+        answers = pa.array(walk(values.to_pylist(), order.tolist()), pa.float64())
+        made = pa.table([t.column("instrument"), t.column("cal_ix"), answers], names=["instrument", "cal_ix", out])
+        return made.filter(answers.is_valid())
+
+    rows = df.select("instrument", "cal_ix", F.col(column).cast("double").alias("x"))
+    kinds = dict(rows.dtypes)
+    return rows.groupBy("instrument").applyInArrow(run, f"instrument {kinds['instrument']}, cal_ix {kinds['cal_ix']}, {out} double")
 
 
 def quantile(df, column, out, q):
     """Linear-interpolated quantile of the values so far."""
-    values = _values(df, column)
-    everything = Window.partitionBy("instrument").orderBy("x", "cal_ix")
-    entries = values.select(*_KEYS, "x", (F.row_number().over(everything) - 1).cast("long").alias("r"))
-    levels = _levels(entries)
-    so_far = F.count("__x").over(Window.partitionBy("instrument").orderBy("cal_ix").rowsBetween(Window.unboundedPreceding, 0))
-    asked = df.select(*_KEYS, F.col(column).alias("__x")).withColumn("n", so_far).where("n > 0")
-    at = (F.col("n") - 1) * F.lit(float(q))
-    sides = F.array(*[F.struct(F.lit(s).alias("side"), e.cast("long").alias("k")) for s, e in (("low", F.floor(at)), ("high", F.ceil(at)))])
-    asked = asked.select(*_KEYS, at.alias("at"), F.explode(sides).alias("s")).select(*_KEYS, "at", "s.*", F.lit(0).cast("long").alias("node"))
-    for level in range(levels):
-        rows = _running(_with_questions(entries, asked, level, levels), level, levels, F.lit(1).cast("long"), "counts")
-        # the child that holds the k-th value, and how many values lie under the children before it
-        step = lambda acc, c: F.when(acc["found"], acc).otherwise(
-            F.struct((acc["before"] + c > F.col("k")).alias("found"), F.when(acc["before"] + c > F.col("k"), acc["before"]).otherwise(acc["before"] + c).alias("before"), F.when(acc["before"] + c > F.col("k"), acc["child"]).otherwise(acc["child"] + 1).alias("child"))
-        )
-        start = F.struct(F.lit(False).alias("found"), F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("child"))
-        rows = rows.where("ask = 1").withColumn("go", F.aggregate("counts", start, step))
-        asked = rows.select(*_KEYS, "at", "side", (F.col("k") - F.col("go.before")).alias("k"), (F.col("node") * FAN + F.col("go.child")).alias("node"))
-    found = asked.join(entries.select("instrument", F.col("r").alias("node"), "x"), ["instrument", "node"])
-    pair = found.groupBy(*_KEYS).agg(F.max("at").alias("at"), *[F.max(F.when(F.col("side") == s, F.col("x"))).alias(s) for s in ("low", "high")])
-    return pair.select(*_KEYS, (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias(out))
-
-
-def _below(entries, questions, levels, sums):
-    """Questions (instrument, cal_ix, place) with ``under`` (and ``total``): number (and sum) of the values so far whose rank is below
-    ``place``."""
-    asked = questions.withColumns({"node": F.lit(0).cast("long"), "under": F.lit(0).cast("long"), **({"total": F.lit(0.0)} if sums else {})})
-    for level in range(levels):
-        digit = F.expr(f"(place div {FAN ** (levels - 1 - level)}) % {FAN}")
-        rows = _with_questions(entries, asked, level, levels)
-        rows = _running(rows, level, levels, F.lit(1).cast("long"), "counts")
-        rows = _running(rows, level, levels, F.col("x"), "amounts") if sums else rows
-        left = lambda c: F.aggregate(F.slice(c, F.lit(1), digit.cast("int")), F.lit(0.0 if c == "amounts" else 0).cast("double" if c == "amounts" else "long"), lambda a, v: a + v)
-        rows = rows.where("ask = 1").withColumn("under", F.col("under") + left("counts"))
-        rows = rows.withColumn("total", F.col("total") + left("amounts")) if sums else rows
-        asked = rows.withColumn("node", F.col("node") * FAN + digit).select(*asked.columns)
-    return asked.drop("node")
+    fan, q = FAN, float(q)
+
+    def walk(x, order):
+        tree, rank, n, answers = _Tree(len(order) or 1, fan), dict(zip(order, range(len(order)))), 0, []
+        for k, v in enumerate(x):
+            if v is not None:
+                tree.add(rank[k], 1)
+                n += 1
+            if not n:
+                answers.append(None)
+                continue
+            at = (n - 1) * q
+            low, high = floor(at), ceil(at)
+            a = x[order[tree.find(low)]]
+            b = a if high == low else x[order[tree.find(high)]]
+            answers.append(a + (b - a) * (at - low))
+        return answers
+
+    return _walked(df, column, out, walk)
 
 
 def rank(df, column, out):
     """Percentile rank of the current value among those so far, ties averaged."""
-    values = _values(df, column)
-    # equal values share the rank of the first of them
-    entries = values.select(*_KEYS, "x", (F.rank().over(Window.partitionBy("instrument").orderBy("x")) - 1).cast("long").alias("r"))
-    upto = lambda *by: Window.partitionBy("instrument", *by).orderBy("cal_ix").rowsBetween(Window.unboundedPreceding, 0)
-    one = F.lit(1)
-    asked = entries.select(*_KEYS, F.col("r").alias("place"), F.count(one).over(upto()).alias("n"), F.count(one).over(upto("x")).alias("same"))
-    under = _below(entries, asked, _levels(entries), False)
-    return under.select(*_KEYS, ((F.col("under") + (F.col("same") + 1) / 2) / F.col("n")).alias(out))
+    fan = FAN
+
+    def walk(x, order):
+        tree, first, same, answers = _Tree(len(order) or 1, fan), {}, {}, []
+        # equal values share the rank of the first of them
+        for r, k in enumerate(order):
+            first.setdefault(x[k], r)
+        n = 0
+        for v in x:
+            if v is None:
+                answers.append(None)
+                continue
+            tree.add(first[v], 1)
+            n, same[v] = n + 1, same.get(v, 0) + 1
+            answers.append((tree.below(first[v]) + (same[v] + 1) / 2) / n)
+        return answers
+
+    return _walked(df, column, out, walk)
 
 
 def mean_distance(df, column, out):
     """Mean absolute distance of the values so far from their mean: values below the mean are counted and summed."""
-    upto = Window.partitionBy("instrument").orderBy("cal_ix").rowsBetween(Window.unboundedPreceding, 0)
-    v = F.col("__x")
-    so_far = df.select(*_KEYS, F.col(column).alias("__x")).select(*_KEYS, F.avg(v).over(upto).alias("mean"), F.count(v).over(upto).alias("n")).where("n > 0")
-    entries = _values(df, column).select(*_KEYS, "x", (F.row_number().over(Window.partitionBy("instrument").orderBy("x", "cal_ix")) - 1).cast("long").alias("r"))
-    # the place of a mean among all values of the instrument: values below it come first
-    both = entries.select("instrument", "cal_ix", F.col("x").alias("at"), F.lit(1).alias("entry"), F.lit(None).cast("long").alias("n"))
-    both = both.unionByName(so_far.select("instrument", "cal_ix", F.col("mean").alias("at"), F.lit(0).alias("entry"), "n"))
-    place = F.coalesce(F.sum("entry").over(Window.partitionBy("instrument").orderBy("at", "entry").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    asked = both.withColumn("place", place.cast("long")).where("entry = 0").select(*_KEYS, "place", F.col("at").alias("mean"), "n")
-    # a place above every rank needs a digit more at most
-    under = _below(entries, asked, _levels(entries.select((F.col("r") + 1).alias("r"))), True)
-    # distances above and below the mean are equal
-    return under.select(*_KEYS, (2 * (F.col("mean") * F.col("under") - F.col("total")) / F.col("n")).alias(out))
+    fan = FAN
+
+    def walk(x, order):
+        size = len(order) or 1
+        counts, sums, rank = _Tree(size + 1, fan), _Tree(size + 1, fan, 0.0), dict(zip(order, range(len(order))))
+        totals = np.cumsum([0.0 if v is None else v for v in x])
+        numbers = np.cumsum([v is not None for v in x])
+        means = totals / np.maximum(numbers, 1)
+        # the place of a mean among all values of the instrument
+        places = np.searchsorted(np.array([x[k] for k in order], float), means, side="left").tolist()
+        answers = []
+        for k, (v, n, mean, place) in enumerate(zip(x, numbers.tolist(), means.tolist(), places)):
+            if v is not None:
+                counts.add(rank[k], 1)
+                sums.add(rank[k], v)
+            # distances above and below the mean are equal
+            answers.append(2 * (mean * counts.below(place) - sums.below(place)) / n if n else None)
+        return answers
+
+    return _walked(df, column, out, walk)
