@@ -5,6 +5,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidepanel.functions import growing as G
 from tidepanel.operators import clean as C
@@ -74,3 +75,15 @@ def test_growing_statistics_make_one_pass_of_an_instrument(spark):
         # no windows of running counts, and no join of questions with answers
         assert "Window" not in plan and "Join" not in plan and "Union" not in plan
         assert made.count() > 70
+
+
+def test_component_steps_do_not_shuffle_the_returns(spark, returns):
+    x = returns.where("ret IS NOT NULL").select("date", "instrument", F.col("ret").alias("x"))
+    made = []
+    plain, Q._times = Q._times, lambda *a: made.append(plain(*a)) or made[-1]
+    try:
+        Q.principal_components(x, 2)
+    finally:
+        Q._times = plain
+    plans = [m._jdf.queryExecution().optimizedPlan().toString() for m in made]
+    assert plans and all("broadcast" in p for p in plans)
