@@ -184,10 +184,19 @@ def order_book_features(quotes):
 
 def intensity(ticks, code, short_seconds, long_seconds):
     """Share of one event code over a short and a long time window, per row; averaged per hour by the caller."""
-    flag = (F.col("code") == code).cast("double")
+    flag = (F.col("code") == code).cast("int")
     df = time_halo(ticks.withColumns({"__us": micros("ts"), "__f": flag}), "ts", long_seconds)
     part = Window.partitionBy("instrument", "chunk").orderBy("__us")
-    ratio = lambda s: F.sum("__f").over(part.rangeBetween(-s * 1_000_000, 0)) / F.count(F.lit(1)).over(part.rangeBetween(-s * 1_000_000, 0))
+
+    def inside(count, s):
+        """Rows of the window: those up to now without those before it. Both counts only grow, so a row costs the same in a dense window."""
+        until = lambda end: part.rangeBetween(Window.unboundedPreceding, end)
+        return count.over(until(0)) - F.coalesce(count.over(until(-s * 1_000_000 - 1)), F.lit(0))
+
+    def ratio(s):
+        known = inside(F.count("__f"), s)
+        return F.when(known > 0, inside(F.count_if(F.col("__f") == 1), s) / inside(F.count(F.lit(1)), s))
+
     out = df.withColumns({"short": ratio(short_seconds), "long": ratio(long_seconds)}).where("own")
     return out.groupBy("instrument", F.window("ts", "60 minutes")["start"].alias("bin")).agg(
         F.avg("short").alias("intensity"), F.avg((F.col("short") > F.col("long")).cast("double")).alias("relative_intensity")
