@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.elem import INF, finite
-from tidepanel.operators.scale import Bounds, attach, attach_stats, bounded, exact_quantiles, xs_order
+from tidepanel.operators.scale import GROUP_ROWS, Bounds, attach, attach_stats, bounded, exact_quantiles, xs_order
 
 EPS = 1e-12  # fixed value: added to a fitted median distance
 
@@ -99,19 +99,25 @@ def cs_zscore(df, cols, bounds=Bounds(), by=("datetime",)):
     return out.withColumns(z).drop(*aggs)
 
 
-def _date_median(df, value, name, bounds):
-    return exact_quantiles(df, ["datetime"], value, {name: 0.5}, bounds)
+def _date_medians(df, named, bounds):
+    """Medians per date of several columns (output name -> column) from one reading of ``df``."""
+    if bounds.names is not None and bounds.names <= GROUP_ROWS:
+        return df.groupBy("datetime").agg(*[F.percentile(c, F.lit(0.5)).alias(n) for n, c in named.items()])
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.col(c).cast("double").alias("x")) for n, c in named.items()]))
+    long = df.select("datetime", each.alias("e")).select("datetime", "e.n", "e.x")
+    rows = bounds.dates * len(named) if bounds.dates is not None else None
+    long = exact_quantiles(long, ["datetime", "n"], "x", {"m": 0.5}, Bounds(rows, bounds.names))
+    return long.groupBy("datetime").agg(*[F.max(F.when(F.col("n") == n, F.col("m"))).alias(n) for n in named])
 
 
 def cs_robust_zscore(df, cols, bounds=Bounds()):
-    """(x - median) / (1.4826 * median distance) per date."""
-    for c in cols:
-        df = attach(df, _date_median(df, c, "__med", bounds), ["datetime"], bounds.dates)
-        df = df.withColumn("__d", F.abs(F.col(c) - F.col("__med")))
-        df = attach(df, _date_median(df, "__d", "__mad", bounds), ["datetime"], bounds.dates)
-        scale = F.col("__mad") * 1.4826
-        df = df.withColumn(c, (F.col(c) - F.col("__med")) / F.when(scale != 0, scale)).drop("__med", "__mad", "__d")
-    return df
+    """(x - median) / (1.4826 * median distance) per date. All columns share the two readings of ``df`` that the medians take."""
+    df = attach(df, _date_medians(df, {f"__med_{c}": c for c in cols}, bounds), ["datetime"], bounds.dates)
+    df = df.withColumns({f"__d_{c}": F.abs(F.col(c) - F.col(f"__med_{c}")) for c in cols})
+    df = attach(df, _date_medians(df, {f"__mad_{c}": f"__d_{c}" for c in cols}, bounds), ["datetime"], bounds.dates)
+    scale = {c: F.col(f"__mad_{c}") * 1.4826 for c in cols}
+    df = df.withColumns({c: (F.col(c) - F.col(f"__med_{c}")) / F.when(scale[c] != 0, scale[c]) for c in cols})
+    return df.drop(*[f"__{k}_{c}" for c in cols for k in ("med", "mad", "d")])
 
 
 def cs_rank_norm(df, cols, bounds=Bounds()):
