@@ -67,10 +67,9 @@ def asof_join(left, right, key="instrument", time="datetime", valid_until=None,
         both = both.join(bounded(busy, busy.count()), key, "left").withColumn("__chunk", F.when(F.col("__cuts").isNotNull(), chunk).otherwise(0)).drop("__cuts")
     w = Window.partitionBy(*part).orderBy(time, "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("__m", F.last("__r", ignorenulls=True).over(w))
-    newest = both.where("__side = 0").groupBy(*part).agg(F.max_by("__r", F.struct(time, "__tie")).alias("__c"))
     before = Window.partitionBy(key).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     # every part that has a left row needs a carry, also one without right rows
-    chunks = both.select(*part).distinct().join(newest, part, "left")
+    chunks = both.groupBy(*part).agg(F.max_by("__r", F.when(F.col("__side") == 0, F.struct(time, "__tie"))).alias("__c"))
     carry = chunks.select(*part, F.last("__c", ignorenulls=True).over(before).alias("__carry"))
     # only parts after the first have one
     carry = carry.where("__carry IS NOT NULL")
