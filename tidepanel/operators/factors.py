@@ -240,6 +240,32 @@ def composite_score(features, bounds=Bounds()):
     return df.withColumn("score", score).select(*features.columns, "score")
 
 
+def trailing_drawdown(df, w, value, rows, name):
+    """Deepest fall below an earlier value within the last ``rows`` rows, 0 where there is none.
+
+    Top, bottom and fall of 1, 2, 4, ... rows come from two neighbouring blocks of half the rows: the deepest fall lies in one of them
+    or leads from the top of the older to the bottom of the newer. A row costs the logarithm of ``rows``, and no list is made.
+    """
+    here = lambda n: (F.col(f"__top{n}"), F.col(f"__low{n}"), F.col(f"__fall{n}"))
+    earlier = lambda n, k: tuple(F.lag(c, k).over(w) for c in here(n))
+
+    def merge(new, old):
+        across = new[1] / F.when(old[0] > 0, old[0]) - 1
+        return F.greatest(new[0], old[0]), F.least(new[1], old[1]), F.least(new[2], old[2], across)
+
+    out = df.withColumns({"__top1": F.col(value), "__low1": F.col(value), "__fall1": F.lit(0.0)})
+    made, size = ["__top1", "__low1", "__fall1"], 1
+    while 2 * size <= rows:
+        names = [f"__{k}{2 * size}" for k in ("top", "low", "fall")]
+        out = out.withColumns(dict(zip(names, merge(here(size), earlier(size, size)))))
+        made, size = made + names, 2 * size
+    total, done = here(size), size
+    while done < rows:
+        size = 1 << (rows - done).bit_length() - 1
+        total, done = merge(total, earlier(size, done)), done + size
+    return out.withColumn(name, total[2]).drop(*made)
+
+
 def symbol_risk(panel, benchmark, calendar_rows=None):
     """Trailing volatility (60), drawdown (60) and beta (120 rows) on every date. ``benchmark``: (datetime, bench)."""
     df = panel.where("close IS NOT NULL").join(bounded(benchmark, calendar_rows), "datetime", "left")
@@ -249,17 +275,9 @@ def symbol_risk(panel, benchmark, calendar_rows=None):
     x = F.when(F.col("ret").isNotNull(), F.col("bench"))
     y = F.when(F.col("bench").isNotNull(), F.col("ret"))
     var = F.var_samp(x).over(f120)
-    closes = F.collect_list("close").over(f60)
-    zero = F.struct(F.lit(0.0).alias("top"), F.lit(0.0).alias("low"))
-
-    def step(acc, c):
-        top = F.greatest(acc["top"], c)
-        return F.struct(top.alias("top"), F.least(acc["low"], c / top - 1).alias("low"))
-
-    return df.withColumns(
+    return trailing_drawdown(df, w, "close", 60, "drawdown_60").withColumns(
         {
             "vol_60": F.when(F.count("ret").over(f60) > 1, F.stddev_samp("ret").over(f60) * 252**0.5),
-            "drawdown_60": F.aggregate(closes, zero, step, lambda acc: acc["low"]),
             "beta_120": F.when((F.count(x).over(f120) >= 20) & (var > 1e-9), F.covar_samp(y, x).over(f120) / F.when(var > 0, var)),
         }
     )
