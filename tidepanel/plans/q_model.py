@@ -229,13 +229,18 @@ def udaf_window(spark, sf_dir):
 
 @query("udaf_resample", "instrument:s month:d value:f", f"WITH {T.BARS} SELECT instrument, CAST(date_trunc('month', datetime) AS DATE) AS month, max(close) - min(close) AS value FROM bars GROUP BY 1, 2")
 def udaf_resample(spark, sf_dir):
-    import pandas as pd
+    """A user aggregate in two parts: its state per batch of rows, then the states merged by group, so no group costs a Python call."""
 
-    @F.pandas_udf("double")
-    def spread(x: pd.Series) -> float:
-        return float(x.max() - x.min())
+    def states(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            g = pa.Table.from_batches([b]).group_by(["instrument", "month"]).aggregate([("close", "max"), ("close", "min")])
+            yield from g.select(["instrument", "month", "close_max", "close_min"]).rename_columns(["instrument", "month", "hi", "lo"]).to_batches()
 
-    return T.bars(spark, sf_dir).groupBy("instrument", F.trunc("datetime", "month").alias("month")).agg(spread("close").alias("value"))
+    rows = T.bars(spark, sf_dir).select("instrument", F.trunc("datetime", "month").alias("month"), F.when(~F.isnan("close"), F.col("close")).alias("close"))
+    merged = rows.mapInArrow(states, "instrument string, month date, hi double, lo double").groupBy("instrument", "month")
+    return merged.agg((F.max("hi") - F.min("lo")).alias("value"))
 
 
 @query("udtf_inst", KEY + "value:f", f"WITH {T.BARS} SELECT instrument, datetime, sum(volume) OVER (PARTITION BY instrument ORDER BY datetime ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM bars")
