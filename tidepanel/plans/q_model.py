@@ -14,6 +14,7 @@ from tidepanel.plans.q_evaluate import FULL, corr, ic_sql
 from tidepanel.plans.q_universe import SEGMENT, segment_table
 from tidepanel.plans.registry import query
 from tidepanel.operators.universe import tag_segments
+from tidepanel.session import stored
 from tidepanel.sources import panel as P
 
 KEY = "instrument:s datetime:d "
@@ -143,7 +144,8 @@ _ORDERS = ", ".join(f"row_number() OVER (ORDER BY md5(instrument || '|' || CAST(
     SELECT feature, importance, bin, row_number() OVER (PARTITION BY bin ORDER BY md5(feature || '|1')) <= ceil([0.8, 0.7, 0.6, 0.5, 0.4][dense_rank() OVER (ORDER BY bin DESC)] * count(*) OVER (PARTITION BY bin)) AS chosen FROM n""",
 )
 def permutation_importance(spark, sf_dir):
-    d = _rows(spark, sf_dir)
+    # the fit and each permutation read the rows again
+    d = stored(_rows(spark, sf_dir).select("instrument", "datetime", "label", *FEATURES))
     return M.permutation_importance(M.linear_fit(d, FEATURES), d, FEATURES)
 
 

@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -51,3 +52,10 @@ def cut_lineage(df):
     """``df`` read from the shared folder: what was computed is not computed again, and executors may be lost."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df):
+    """``df`` as a compressed table in the shared folder, for steps that read the same rows many times."""
+    path = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
