@@ -80,6 +80,16 @@ def test_intervals_are_disjoint_and_say_what_each_day_says(spark):
     assert P.disjoint_intervals(df.where("false"), sources).count() == 0
 
 
+def test_spans_that_cannot_win_a_day_of_a_month_meet_none_of_its_pieces(spark):
+    rows = [("a", 2024 * 12 + m, dt.date(2023, 1, 1) + dt.timedelta(i), dt.date(2025, 1, 1), i % 3, "x", "s") for m in (2, 12) for i in range(300)]
+    # a better one for some days; one of February that ends on the last day, and one that ends a day before
+    rows += [("a", 2024 * 12 + 2, dt.date(2024, 2, 10), dt.date(2024, 2, 20), 0, "y", "s"), ("b", 2024 * 12 + 2, dt.date(2024, 2, 1), dt.date(2024, 3, 1), 1, "y", "s")]
+    rows += [("b", 2024 * 12 + 2, dt.date(2024, 2, 1), dt.date(2024, 2, 29), 0, "z", "s"), ("b", 2024 * 12 + 2, dt.date(2024, 1, 1), dt.date(2024, 2, 29), 1, "w", "s")]
+    df = spark.createDataFrame(rows, "instrument string, __m int, __a date, __b date, __rank int, __v string, __s string")
+    got = sorted((r["instrument"], r["__m"] - 2024 * 12, r["__rank"], r["__v"], str(r["__a"])) for r in P._rivals(df, "instrument").collect())
+    assert got == [("a", 2, 0, "x", "2023-10-25"), ("a", 2, 0, "y", "2024-02-10"), ("a", 12, 0, "x", "2023-10-25"), ("b", 2, 0, "z", "2024-02-01"), ("b", 2, 1, "y", "2024-02-01")]
+
+
 def test_company_facts(spark):
     report = lambda accn, val, end="2020-03-31", filed="2020-05-01": {k: v for k, v in dict(accn=accn, val=val, end=end, filed=filed).items() if v is not None}
     facts = {

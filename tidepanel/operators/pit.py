@@ -169,6 +169,20 @@ def facts_extract(companies, wanted, concepts, units, key="company"):
     return best.select(key, "accession", "o.concept", "o.unit", "o.r.val", "o.r.end", "o.r.filed")
 
 
+def _month(c):
+    return F.year(c) * 12 + F.month(c)
+
+
+def _rivals(monthly, key):
+    """Of the spans open in a month (``key``, __m, __a, __b, __rank, __v, __s) those that can win a day of it. One that covers the whole
+    month beats all that rank behind it, wherever they lie, so mostly a few are left of many."""
+    order = F.struct("__rank", -F.datediff("__a", F.lit("1970-01-01")), "__v", "__s")
+    first = F.make_date(F.expr("(__m - 1) div 12").cast("int"), F.expr("(__m - 1) % 12 + 1").cast("int"), F.lit(1))
+    whole = F.when((F.col("__a") <= first) & (F.col("__b") > F.last_day(first)), order)
+    best = F.min(whole).over(Window.partitionBy(key, "__m"))
+    return monthly.withColumns({"__order": order, "__best": best}).where(F.col("__best").isNull() | (F.col("__order") <= F.col("__best"))).drop("__order", "__best")
+
+
 def disjoint_intervals(spans, priority, key="instrument", start="start", end="end", value="code", source="source"):
     """``key``, ``start``, ``end``, ``value``, ``source``: overlapping spans resolved into disjoint ones.
 
@@ -185,11 +199,10 @@ def disjoint_intervals(spans, priority, key="instrument", start="start", end="en
     line = Window.partitionBy(key).orderBy("__a")
     pieces = borders.withColumn("__to", F.lead("__a").over(line)).where("__to IS NOT NULL")
     # a piece meets only the spans that are open in the month in which it begins, so a busy key spreads over months
-    month = lambda c: F.year(c) * 12 + F.month(c)
     last = borders.where(F.col("__a") < open_end).groupBy(key).agg(F.max("__a").alias("__last"))
-    monthly = known.join(last, key).withColumn("__m", F.explode(F.sequence(month("__a"), month(F.least("__b", "__last")))))
+    monthly = _rivals(known.join(last, key).withColumn("__m", F.explode(F.sequence(_month("__a"), _month(F.least("__b", "__last"))))), key)
     same_month = (F.col(f"p.{key}") == F.col(f"k.{key}")) & (F.col("p.__m") == F.col("k.__m"))
-    cover = pieces.withColumn("__m", month("__a")).alias("p").join(monthly.alias("k"), same_month & (F.col("p.__a") >= F.col("k.__a")) & (F.col("p.__a") < F.col("k.__b")))
+    cover = pieces.withColumn("__m", _month("__a")).alias("p").join(monthly.alias("k"), same_month & (F.col("p.__a") >= F.col("k.__a")) & (F.col("p.__a") < F.col("k.__b")))
     best = F.min(F.struct(F.col("__rank").alias("r"), (-F.datediff("k.__a", F.lit("1970-01-01"))).alias("d"), F.col("__v").alias("v"), F.col("__s").alias("s")))
     chosen = cover.groupBy(F.col(f"p.{key}").alias(key), F.col("p.__a").alias("a"), F.col("p.__to").alias("b")).agg(best.alias("x")).select(key, "a", "b", "x.v", "x.s")
     # islands: a piece goes on from the one before if it begins where that ends and says the same
