@@ -130,3 +130,43 @@ def test_a_bucket_is_dealt_in_proportion_to_its_members(spark):
     members = spark.range(n).selectExpr("1L AS key", "0 AS last", "unhex(hex(id)) AS node", "unhex(hex(id % 2 * id)) AS root", "9L AS n_shingles", "unhex('') AS sketch")
     dealt = minhash._dealt(members.selectExpr("*", f"{n}L AS n", "unhex(hex(0L)) AS main", f"{n // 2}L AS minors")).groupBy("block", "chunk").count().collect()
     assert sum(r["count"] for r in dealt) <= n + n // 2 * n // minhash.BLOCK and len(dealt) == n // minhash.BLOCK
+
+
+def test_every_pair_of_a_bucket_is_looked_at_however_large_it_is(spark, monkeypatch):
+    """A pair that shares one band only, in a bucket of many different texts."""
+    texts = {n: " ".join(f"w{n}x{i}" for i in range(30)) for n in range(40)}
+    texts[9] = texts[8] + " more"
+    marks = np.arange(40 * 112, dtype=np.uint32).reshape(40, 28, 4)
+    marks[:, 0] = 7
+    marks[9, 1:, :3] = marks[8, 1:, :3]
+    made = spark.createDataFrame([(n, bytearray(m.tobytes())) for n, m in enumerate(marks)], "id long, sketch binary")
+    real = minhash.sketches
+    monkeypatch.setattr(minhash, "sketches", lambda *args: real(*args).drop("sketch").join(made, "id"))
+    monkeypatch.setattr(minhash, "MINORS", 8)
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    hashes = sorted((minhash.set_digest(minhash.shingle_set(t, 2)), n) for n, t in texts.items())
+    assert {hashes[0][1], hashes[-1][1]}.isdisjoint({8, 9})  # neither is a hub
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert got(minhash.near_duplicates(df)) == brute(texts, 2)
+
+
+def test_sketches_rule_out_no_pair(spark):
+    """Two sets alike whose sketches have next to nothing in common are left for the full sets, two that differ are not."""
+    a = minhash.shingle_set(" ".join(f"w{i}" for i in range(100)), 2)
+    rows = [(bytearray(bytes([n])), len(s), bytearray(np.arange(n * 112, n * 112 + 112, dtype=np.uint32).tobytes()), bytearray(minhash.counts(s).tobytes())) for n, s in ((1, a), (2, a[5:]), (3, a[:60]))]
+    reps = spark.createDataFrame(rows, "set_hash binary, n_shingles long, sketch binary, counts binary")
+    pairs = spark.createDataFrame([(rows[0][0], r[0], 3) for r in rows[1:]], "hub binary, node binary, n long")
+    assert [(bytes(r.hub), bytes(r.node)) for r in minhash.alike(pairs, reps, 28, 4, 80).collect()] == [(b"\x01", b"\x02")]
+
+
+def test_counts_bound_what_two_sets_share():
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 90, 2000, 90_000):
+        for share in (0.3, 0.75, 0.8, 0.9, 1.0):
+            a = rng.integers(0, 2**63, n, dtype=np.uint64)
+            b = np.concatenate([a[: max(1, int(share * n))], rng.integers(0, 2**63, n // 8, dtype=np.uint64)])
+            x, y = minhash.counts(a), minhash.counts(b)
+            both = max(1, int(share * n))
+            if 100 * both >= 80 * (len(a) + len(b) - both):
+                assert minhash.may_reach(x, y, len(a), len(b), 80)
+    assert not minhash.may_reach(minhash.counts(a[:90]), minhash.counts(a[45:135]), 90, 90, 80)
