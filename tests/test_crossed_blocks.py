@@ -44,3 +44,21 @@ def test_crossed_blocks_give_the_same_pairs(spark, returns, monkeypatch):
     assert len(want[0]) == 24**2
     assert all(same(a, rows(m())) for a, m in zip(want, make))
     assert Q.mean_correlation(whole, 23, block=4).first().level == pytest.approx(level, rel=1e-9)
+
+
+def test_components_of_few_dates_end_after_a_step_or_two(spark, returns, monkeypatch):
+    """Returns without any structure, whose leading directions hardly differ: from any other start they take a step for every few dates."""
+    x = returns.where("ret IS NOT NULL AND NOT isnan(ret) AND instrument IS NOT NULL").selectExpr("date", "instrument", "ret AS x")
+    steps, plain = [], Q._times
+    monkeypatch.setattr(Q, "_times", lambda *a: steps.append(1) or plain(*a))
+    loads, top = Q.principal_components(x, 2, extra=0)
+    assert len(steps) <= 4
+    monkeypatch.setattr(Q, "GRAM_DATES", 3)
+    steps.clear()
+    want, best = Q.principal_components(x, 2, extra=0)
+    assert len(steps) > 4 and top == pytest.approx(best, rel=1e-9)
+    a, b = ({r.instrument: r.f for r in d.collect()} for d in (loads, want))
+    assert a.keys() == b.keys()
+    for i in a:
+        for j in a:
+            assert sum(p * q for p, q in zip(a[i], a[j])) == pytest.approx(sum(p * q for p, q in zip(b[i], b[j])), abs=1e-6)
